@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from gigmatch.llm.common import bounded, documents, drop_ids, materialise, new_dir
 
 SPACES = r"[\x20\x09-\x0D]+"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; without allocating files ahead, which costs megabytes for each partition however small.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -42,8 +45,9 @@ def stream_state(spark: SparkSession, log_dir: str, schema, files_per_trigger: i
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(log_dir)
         kept = stream.groupBy("digest").agg(_keeper().alias("keeper"), F.count(F.lit(1)).alias("size"))
@@ -56,7 +60,8 @@ def stream_state(spark: SparkSession, log_dir: str, schema, files_per_trigger: i
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     keeper = "keeper struct<no_id: boolean, doc_id: bigint, uid: bigint, locator: string>"
     index = spark.read.schema(f"digest string, {keeper}, size bigint, batch int").parquet(out)
     return index.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("size").alias("size"))
