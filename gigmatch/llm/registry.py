@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from gigmatch.llm import exact_dedup, hilbert, secrets
+from gigmatch.llm import exact_dedup, hilbert, language, packing, quality, secrets, token_counts
 
 QUERIES = {
+    "op1_crf_quality": quality.op1_crf_quality,
+    "op3_longest_match_token_counts": token_counts.op3_longest_match_token_counts,
+    "op4_bloom_language_id": language.op4_bloom_language_id,
     "op5_hilbert_sharding": hilbert.op5_hilbert_sharding,
     "op7_streaming_exact_dedup": exact_dedup.op7_streaming_exact_dedup,
     "op9_trigram_secret_scan": secrets.op9_trigram_secret_scan,
+    "op10_pattern_packing": packing.op10_pattern_packing,
 }
 SQL = {
     "op7_streaming_exact_dedup": exact_dedup.SQL,
