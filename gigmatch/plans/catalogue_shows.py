@@ -556,7 +556,7 @@ def explain_show(spark, sf):
 
 # --- playlist -----------------------------------------------------------------------------------------------------
 
-CANDIDATES = "SELECT artist_id, max(score_total) AS score, any_value(raw_name) AS raw_name FROM matches JOIN scores USING (event_id) JOIN artists USING (artist_id) WHERE status = 'matched' AND scoring_version = 'discovery-v1' GROUP BY 1"
+CANDIDATES = "SELECT artist_id, max(score_total) AS score, any_value(raw_name) AS raw_name FROM matches JOIN (SELECT event_id, scoring_version, score_total FROM scores) USING (event_id) JOIN artists USING (artist_id) WHERE status = 'matched' AND scoring_version = 'discovery-v1' GROUP BY 1"
 COUNTS = "SELECT a.artist_id, count(p.user_id) AS plays FROM artists a LEFT JOIN plays p USING (artist_id) GROUP BY 1"
 CHOSEN = f"SELECT *, plays <= 25 AS under_explored, row_number() OVER (ORDER BY score DESC, plays, raw_name, artist_id)::INTEGER AS rank FROM ({CANDIDATES}) JOIN ({COUNTS}) USING (artist_id) WHERE artist_id IN (SELECT artist_id FROM matches) AND artist_id IN (SELECT artist_id FROM plays) QUALIFY rank <= 30"
 
