@@ -37,9 +37,12 @@ def _bag(text: str) -> set[bytes]:
 
 def _shape(texts: list[str]) -> np.ndarray:
     """Length-weighted means of the line features of each text."""
-    table, length, lines = line_features(texts)
-    first = np.cumsum(lines) - lines
-    return np.add.reduceat(table * length[:, None], first) / np.add.reduceat(length, first)[:, None]
+    out = [np.zeros((0, len(NAMES)))]
+    for start, end in slices([len(t) for t in texts], 500_000):
+        table, length, lines = line_features(texts[start:end])
+        first = np.cumsum(lines) - lines
+        out.append(np.add.reduceat(table * length[:, None], first) / np.add.reduceat(length, first)[:, None])
+    return np.concatenate(out)
 
 
 @dataclass
@@ -62,43 +65,68 @@ class DomainModel:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_domains(texts: list[str], labels: list[str], domains: list[str], words: int = WORDS) -> DomainModel:
-    """Softmax regression on line shapes and on the words whose presence tells most about the domain."""
-    y = np.array([domains.index(x) for x in labels])
-    share = np.bincount(y, minlength=len(domains)) / max(len(y), 1)
-    seen: dict[bytes, np.ndarray] = {}
-    for text, k in zip(texts, y):
-        for w in _bag(text):
-            seen.setdefault(w, np.zeros(len(domains)))[k] += 1
-    common = [(w, c) for w, c in seen.items() if w and c.sum() >= 5]
-    gain = lambda c: float((c * np.log(np.maximum(c / c.sum(), 1e-12) / np.maximum(share, 1e-12))).sum())
-    best = sorted(common, key=lambda x: (-gain(x[1]), x[0]))[:words]
-    shapes = _shape(texts) if texts else np.zeros((0, len(NAMES)))
-    scale = np.maximum(shapes.std(0), 1e-3) if len(texts) else np.ones(len(NAMES))
-    model = DomainModel(domains, {w: i for i, (w, _) in enumerate(best)}, scale, np.zeros((len(best) + len(NAMES) + 1, len(domains))))
-    if not texts:
-        return model
-    x, target = model.features(texts), np.eye(len(domains))[y]
-    m, v = np.zeros_like(model.weights), np.zeros_like(model.weights)
+def telling_words(sample: DataFrame, domains: list[str], words: int = WORDS) -> list[bytes]:
+    """The words of ``sample`` (text, domain) whose presence tells most about the domain, counted in the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, domain in zip(batch.column("text").to_pylist(), batch.column("domain").to_pylist()):
+                bag = sorted(_bag(text or "") - {b""})
+                yield pa.RecordBatch.from_arrays([pa.array(bag, pa.binary()), pa.array([domain] * len(bag), pa.string())], ["word", "domain"])
+
+    totals = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = max(sum(totals.values()), 1)
+    seen = sample.select("text", "domain").mapInArrow(run, "word binary, domain string")
+    counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains])
+    gain = F.lit(0.0)
+    for d in domains:
+        share = max(totals.get(d, 0) / whole, 1e-12)
+        gain = gain + F.when(F.col(f"n_{d}") > 0, F.col(f"n_{d}") * F.log(F.col(f"n_{d}") / F.col("n") / share)).otherwise(0.0)
+    top = counts.filter("n >= 5").select("word", F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "word").limit(words)
+    return [bytes(r["word"]) for r in top.collect()]
+
+
+def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
+    weights, target = np.zeros((x.shape[1], classes)), np.eye(classes)[y]
+    m, v = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, EPOCHS + 1):
-        out = x @ model.weights
+        out = x @ weights
         p = np.exp(out - out.max(1, keepdims=True))
-        g = x.T @ (p / p.sum(1, keepdims=True) - target) / len(x) + 1e-4 * model.weights
+        g = x.T @ (p / p.sum(1, keepdims=True) - target) / len(x) + 1e-4 * weights
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        model.weights = model.weights - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return model
+        weights = weights - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return weights
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: int = TRAIN_DOCS) -> DomainModel:
-    """Fit on about ``train_docs`` labelled documents, chosen by a hash of the id."""
+    """Softmax regression on line shapes and telling words of about ``train_docs`` labelled documents, by a hash of the id.
+
+    Texts stay in the cluster; the driver gets one feature vector per training document.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
     known = known.filter(F.col("domain").isin(domains))
     share = min(1.0, train_docs / max(known.count(), 1))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    chosen = chosen.groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    rows = docs.join(F.broadcast(chosen), "doc_id").filter(F.length("text") < 200_000).select("doc_id", "text", "domain")
-    sample = rows.toPandas().sort_values(["doc_id", "text"])
-    return fit_domains([t or "" for t in sample["text"]], sample["domain"].tolist(), domains)
+    chosen = chosen.groupBy("doc_id").agg(F.max("domain").alias("domain"))  # about train_docs rows
+    sample = materialise(docs.join(F.broadcast(chosen), "doc_id").select("text", "domain"), "mix-sample")
+    words = telling_words(sample, domains)
+    model = DomainModel(domains, {w: i for i, w in enumerate(words)}, np.ones(len(NAMES)), np.zeros((len(words) + len(NAMES) + 1, len(domains))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for start, end in slices([len(t) for t in texts], 500_000):
+                rows = [r.tobytes() for r in model.features(texts[start:end]).astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("domain").slice(start, end - start)], ["x", "domain"])
+
+    rows = sorted((bytes(r["x"]), r["domain"]) for r in sample.mapInArrow(run, "x binary, domain string").collect())
+    if rows:
+        x = np.stack([np.frombuffer(r, np.float32) for r, _ in rows]).astype(float)
+        shapes = slice(len(words), len(words) + len(NAMES))
+        model.scale = np.maximum(x[:, shapes].std(0), 1e-3)
+        x[:, shapes] /= model.scale
+        model.weights = fit_softmax(x, np.array([domains.index(d) for _, d in rows]), len(domains))
+    return model
 
 
 def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
