@@ -20,8 +20,9 @@ from gigmatch.llm.features import NAMES, line_features
 
 #: Domains in the order of the posteriors, and the shares of all tokens that they are to have.
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
-#: Expected number of labelled training documents, and words taken as features.
-TRAIN_DOCS, WORDS = 6000, 300
+#: Expected number of labelled training documents, words taken as features at most, and the least gain (in nats over
+#: the sample) that keeps chance out of them.
+TRAIN_DOCS, WORDS, LEAST_GAIN = 6000, 300, 15.0
 EPOCHS, RATE = 300, 0.05
 #: The fit ends at this largest relative error of a domain's total, or after so many steps.
 TOLERANCE, STEPS = 1e-4, 30
@@ -31,8 +32,11 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "clean")
 
 
+_MARKS = b".,;:!?\"'()#$%&*|"
+
+
 def _bag(text: str) -> set[bytes]:
-    return {w.strip(b".,;:!?\"'()") for w in text.lower().encode("utf-8", "replace").split()}
+    return {w.strip(_MARKS) for w in text.lower().encode("utf-8", "replace").split()}
 
 
 def _shape(texts: list[str]) -> np.ndarray:
@@ -82,7 +86,7 @@ def telling_words(sample: DataFrame, domains: list[str], words: int = WORDS) ->
     for d in domains:
         share = max(totals.get(d, 0) / whole, 1e-12)
         gain = gain + F.when(F.col(f"n_{d}") > 0, F.col(f"n_{d}") * F.log(F.col(f"n_{d}") / F.col("n") / share)).otherwise(0.0)
-    top = counts.filter("n >= 5").select("word", F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "word").limit(words)
+    top = counts.filter("n >= 5").select("word", F.round(gain, 9).alias("gain")).filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(words)
     return [bytes(r["word"]) for r in top.collect()]
 
 
