@@ -26,6 +26,8 @@ END_OF_DOCUMENT = 1
 WORDS_KEPT = 500_000
 #: Steps of the least-squares fit, and second and third lengths tried in patterns of three and four.
 FIT_STEPS, SECOND, THIRD = 200, 32, 8
+#: Patterns leave at most this part of a sequence free; looser ones are left to the packing of residuals.
+LOOSE = 50
 
 
 class Encoder:
@@ -128,31 +130,30 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 
 def candidate_patterns(counts: np.ndarray) -> np.ndarray:
-    """Patterns of two to four lengths that fill a sequence exactly, one per row, padded with zeros.
+    """Patterns of up to four lengths, one per row, padded with zeros; the last length fills up as far as one can.
 
     The first length runs over all that occur; in patterns of three and four, second and third lengths run over
-    quantiles of the occurring ones, and the last is what is missing.
+    quantiles of the occurring ones; the last is the longest occurring one that still fits.
     """
     capacity = len(counts) - 1
     there = np.flatnonzero(counts[:capacity])
     if not len(there):
         return np.zeros((0, 4), np.int64)
     mass = np.cumsum(counts[there])
+    fitting = np.zeros(capacity + 1, np.int64)  # the longest occurring length up to each
+    fitting[there] = there
+    fitting = np.maximum.accumulate(fitting)
 
     def spread(n: int) -> np.ndarray:
         return np.unique(there[np.minimum(np.searchsorted(mass, (np.arange(n) + 0.5) / n * mass[-1]), len(there) - 1)])
 
-    seconds, thirds = spread(SECOND), spread(THIRD)
-    ones = [np.stack([there, capacity - there], 1)]
-    a, b = np.meshgrid(there, seconds, indexing="ij")
-    twos = np.stack([a.ravel(), b.ravel(), capacity - a.ravel() - b.ravel()], 1)
-    a, b, c = np.meshgrid(there, thirds, thirds, indexing="ij")
-    threes = np.stack([a.ravel(), b.ravel(), c.ravel(), capacity - a.ravel() - b.ravel() - c.ravel()], 1)
     out = []
-    for rows in (*ones, twos, threes):
-        rows = rows[rows[:, -1] > 0]
-        rows = np.sort(rows[counts[rows[:, -1]] > 0], 1)[:, ::-1]
-        out.append(np.pad(rows, ((0, 0), (0, 4 - rows.shape[1]))))
+    for inner in ((), (spread(SECOND),), (spread(THIRD), spread(THIRD))):
+        rows = np.stack([x.ravel() for x in np.meshgrid(there, *inner, indexing="ij")], 1)
+        left = capacity - rows.sum(1)
+        rows = np.concatenate([rows, fitting[np.maximum(left, 0)][:, None]], 1)[left >= 0]
+        rows = rows[capacity - rows.sum(1) <= capacity // LOOSE]
+        out.append(np.pad(np.sort(rows, 1)[:, ::-1], ((0, 0), (0, 4 - rows.shape[1]))))
     return np.unique(np.concatenate(out), axis=0)
 
 
@@ -229,11 +230,12 @@ def plan(counts: np.ndarray) -> list[tuple[dict[int, int], int]]:
     patterns = candidate_patterns(left)
     if len(patterns):
         repeats = fit_repeats(patterns, left.astype(float))
-        for i in np.argsort(-repeats, kind="stable"):
-            if repeats[i] < 0.05:
-                break
+        # Rounded counts are taken up longest length first, as long pieces have the fewest partners.
+        for i in np.lexsort((-repeats, -patterns[:, 0])):
+            if repeats[i] < 0.5:
+                continue
             lengths, each = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
-            n = int(min(np.ceil(repeats[i]), (left[lengths] // each).min()))
+            n = int(min(np.rint(repeats[i]), (left[lengths] // each).min()))
             if n > 0:
                 left[lengths] -= n * each
                 out.append(({int(a): int(b) for a, b in zip(lengths, each)}, n))
