@@ -251,7 +251,9 @@ def links(prints: DataFrame) -> DataFrame:
                 key, owner = join_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[owner])], ["key", "print"])
 
-    keys = prints.select("print").mapInArrow(keyed, "key long, print long")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prints.select("print").repartition(parts, "print")  # a small table that a hundredfold of keys comes from
+    keys = dealt.mapInArrow(keyed, "key long, print long")
     met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_same_key, "key long, a long, b long")
     met = materialise(met, "simhash-met")
     direct = met.filter(F.col("key").isNull()).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
@@ -281,7 +283,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each group of near duplicates, all columns as they were."""
+    """``docs`` with the row of the smallest doc_id of each group of near duplicates, all columns as they were.
+
+    Rows with a null id go; rows that share the id that stays, stay with it.
+    """
     found = near_duplicates(docs)
     gone = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
     return drop_ids(docs, materialise(gone.distinct(), "simhash-gone"))
