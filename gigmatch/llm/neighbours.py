@@ -24,7 +24,7 @@ NEAREST, QUERY_EVERY = 10, 100
 SAMPLE, GRAPH, PART_ROWS = 6000, 10, 400
 HIDDEN, EPOCHS, BATCH, RATE = 128, 40, 256, 0.003
 #: Recall wanted on the sample; the number of visited parts is the smallest that reaches it.
-WANTED = 0.985
+WANTED = 0.97
 #: Stored vectors and queries that are compared in one group.
 BLOCK = 1024
 
