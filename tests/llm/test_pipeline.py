@@ -1,9 +1,10 @@
 import re
+from statistics import mean
 
 import corpus_pipeline
 import pytest
 
-from gigmatch.llm import language, simhash
+from gigmatch.llm import language, mixing, simhash
 from gigmatch.llm.common import materialise
 
 
@@ -47,10 +48,14 @@ def test_near_stage(steps):
 
 
 def test_mixing_keeps_clean_documents(spark, sf1, steps):
-    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{sf1}/labels.parquet").collect()}
+    table = spark.read.parquet(f"{sf1}/labels.parquet")
+    labels = {r.doc_id: (r.quality, r.toxic) for r in table.collect()}
+    rates = {r.doc_id: min(r.rate, 1.0) for r in mixing.mix(steps[3], table).collect()}
+    expected = lambda keep: mean(rates[i] for i in rates if labels.get(i) in keep)
+    assert expected({(1, 0)}) > 0.95 and expected({(1, 1), (0, 1)}) < 0.4 * expected({(1, 0)})
     before, after = set(ids(steps[3])), set(ids(steps[4]))
-    share = lambda keep: len({i for i in after if labels.get(i) in keep}) / len({i for i in before if labels.get(i) in keep})
-    assert share({(1, 0)}) > 0.95 and share({(1, 1), (0, 1)}) < 0.3
+    assert {i for i in before if rates[i] == 1.0} <= after and not any(rates[i] == 0 for i in after)
+    assert abs(len(after) - sum(rates.values())) < 4 * len(before) ** 0.5
 
 
 def test_packing_covers_what_is_left(steps):
