@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bounded, documents, drop_ids, materialise, new_dir
+from gigmatch.llm.common import BROADCAST_ROWS, bounded, documents, drop_ids, materialise, new_dir
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Disk-backed state; without allocating files ahead, which costs megabytes for each partition however small.
@@ -67,12 +67,12 @@ def stream_state(spark: SparkSession, log_dir: str, schema, files_per_trigger: i
     return index.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("size").alias("size"))
 
 
-def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 1000) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): keep_id, group_size, kept, text_sha256 and ``digest``.
+def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 1000, few: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): keep_id, group_size, kept and text_sha256.
 
     Null text counts as empty.  Of equal texts the smallest doc_id stays (null ids last); of repeated rows with the
     same id and text exactly one is kept.  An empty table gives an empty result.  ``digest`` can be exchanged: a weak
-    one costs time, never correctness.
+    one costs time, never correctness.  Up to ``few`` groups of copies are broadcast to find their texts.
     """
     spark = docs.sparkSession
     norm = normalised(F.col("text"))
@@ -104,11 +104,16 @@ def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 1000) -
             ),
             "dedup-groups",
         )
-    small = bounded(groups)
+    small = bounded(groups, few)
 
     # Full bytes of every hit: partial minima and maxima collapse copies before the shuffle, however many there are.
-    hits = rows.join(small.select("digest"), "digest")
-    differing = hits.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    # With too many groups to broadcast, texts are aggregated before the join: one after it would reuse the join's
+    # shuffle by digest, and a group's copies would all lie in one task.
+    extremes = [F.min("norm").alias("low"), F.max("norm").alias("high")]
+    if groups.count() <= few:
+        differing = rows.join(small.select("digest"), "digest").groupBy("digest").agg(*extremes)
+    else:
+        differing = rows.groupBy("digest").agg(*extremes).join(groups.select("digest"), "digest", "left_semi")
     collided = materialise(differing.filter("low <> high").select("digest"), "dedup-collided")
 
     by_digest = small if collided.isEmpty() else small.join(F.broadcast(collided), "digest", "left_anti")

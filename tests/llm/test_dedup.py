@@ -21,9 +21,9 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda n: F.crc32(n) % 3])
-@pytest.mark.parametrize("files", [1, 1000])
-def test_odd_rows(odd, digest, files):
-    got = exact_dedup.exact_dedup(odd.repartition(3), digest, files).collect()
+@pytest.mark.parametrize("files, few", [(1, 1000), (1000, 1000), (1000, 0)])
+def test_odd_rows(odd, digest, files, few):
+    got = exact_dedup.exact_dedup(odd.repartition(3), digest, files, few).collect()
     want, groups = brute([(r.doc_id, r.text) for r in odd.collect()])
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == want
     assert sum(r.kept for r in got) == groups
