@@ -234,7 +234,9 @@ def _blocks(long: DataFrame) -> DataFrame:
         found = _links(prints.view(np.uint64))
         return pd.DataFrame({"u": [prints[i] for i, _ in found], "v": [prints[j] for _, j in found]}, dtype="int64")
 
-    return pairs.groupBy("key", "low", "high").applyInPandas(run, "u long, v long")
+    # Dealt by all three columns: the join's shuffle by key alone would put all blocks of a run into one task.
+    dealt = pairs.repartition("key", "low", "high")
+    return dealt.groupBy("key", "low", "high").applyInPandas(run, "u long, v long")
 
 
 def links(prints: DataFrame) -> DataFrame:
