@@ -151,13 +151,20 @@ class _Node:
     parts: list = field(default_factory=list)
 
     def text(self) -> str:
-        return " ".join(" ".join(p if isinstance(p, str) else p.text() for p in self.parts).split())
+        return " ".join(" ".join(p for p in self._parts() if isinstance(p, str)).split())
 
     def walk(self) -> Iterator["_Node"]:
         yield self
-        for p in self.parts:
+        yield from (p for p in self._parts() if not isinstance(p, str))
+
+    def _parts(self) -> Iterator["_Node | str"]:
+        """All that lies below, in document order, without recursion: elements left open may nest to any depth."""
+        left = self.parts[::-1]
+        while left:
+            p = left.pop()
+            yield p
             if not isinstance(p, str):
-                yield from p.walk()
+                left += p.parts[::-1]
 
     def fits(self, s: Select) -> bool:
         if s.tag and self.tag != s.tag or s.cls and s.cls not in (self.attrs.get("class") or "").split():

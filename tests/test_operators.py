@@ -197,3 +197,9 @@ def test_writers(spark, tmp_path):
     raw = spark.createDataFrame([("s", "1", "A", ["B"], dt.date(2026, 7, 4), None, "20:00", "Hall", None, None)], "source string, source_id string, headliner string, openers array<string>, date date, doors_time string, show_time string, venue string, on_sale_date date, ticket_url string")
     files.write_snapshot(raw, ref(), str(tmp_path / "snap"))
     assert files.read_snapshots(spark, str(tmp_path / "snap")).first().headliner == "A"
+
+
+def test_cards_below_elements_left_open():
+    spec = html_feeds.CardSpec("s", html_feeds.Select("div", "ev"), html_feeds.Select("h3"), html_feeds.Select("time"), html_feeds.Select("a", take="href"))
+    page = '<div class="ev"><h3>Big <b>Band</b> live</h3><time>Jun 3</time><a href="u1">x</a></div>'
+    assert html_feeds.cards("<p>" * 5000 + page, spec) == html_feeds.cards(page, spec) == [("u1", "Big Band live", "Jun 3", "Jun 3", "", "u1")]
