@@ -5,6 +5,9 @@ codeword within 3 bits of every word, and any two words at most 2 bits apart hav
 of both: a segment's codewords within 4 bits (1 or 6 of them) are keys that survive 2 errors.  Pigeonholing at most
 four errors over the segments, and over their halves, shows which exact parts and which codewords must agree; each
 case is one family of join keys of at least 30 bits.  Pairs that meet under a key are verified by their distance.
+
+That radius links few texts of a high Jaccard similarity.  With ``similar`` given, texts whose sets of 5-word
+shingles reach it link as well: candidates share a band of MinHash values, and their sets are compared whole.
 """
 
 from __future__ import annotations
@@ -18,13 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import documents, drop_ids, materialise, slices
+from gigmatch.llm.common import bounded, documents, drop_ids, materialise, slices
 from gigmatch.llm.components import components
 
 #: Words per shingle, hash seed, and differing bits at which fingerprints still link.
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Fingerprints of one key that a task compares at once; longer runs are compared in pairs of blocks.
 BLOCK = 2048
+#: Texts whose sets of so many words a shingle reach this Jaccard similarity are near copies for the pipeline.
+WIDE_SHINGLE, SIMILAR = 5, 0.8
+#: Bands and MinHash values in each: two texts of similarity 0.8 share no band with probability 2e-5.
+BANDS, BAND = 36, 6
+#: Texts of one band that a task compares at once, as sets of shingles.
+TEXTS = 1024
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 #: Lowest bit and width of the segments.
@@ -139,6 +148,125 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
+def wide_shingles(text: str) -> np.ndarray:
+    """Sorted distinct hashes of a text's 5-word shingles; of all its words if it has fewer, none if it has none."""
+    from xxhash import xxh64_intdigest
+
+    found = text.encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    if len(found) <= WIDE_SHINGLE:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = [0, *(ends[:-WIDE_SHINGLE] + 1).tolist()]
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[WIDE_SHINGLE - 1 :].tolist())], np.uint64))
+
+
+def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """One key per band of each set's MinHash values; none for an empty set."""
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(0, 1 << 31, BANDS * BAND, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    masks = rng.integers(0, 1 << 32, BANDS * BAND, dtype=np.uint32)
+    mixers = rng.integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    some = [i for i, x in enumerate(sets) if len(x)]
+    out: list[list[int]] = [[] for _ in sets]
+    if not some:
+        return out
+    flat = (np.concatenate([sets[i] for i in some]) >> np.uint64(32)).astype(np.uint32)
+    first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in some])[:-1]])
+    lows = np.stack([np.minimum.reduceat((flat ^ m) * f, first) for f, m in zip(factors, masks)], 1)
+    keys = (lows.astype(np.uint64).reshape(-1, BANDS, BAND) * mixers).sum(2, dtype=np.uint64)
+    keys ^= keys >> np.uint64(29)
+    keys = keys * mixers[:, 0] + np.arange(BANDS, dtype=np.uint64)
+    for i, k in zip(some, keys.view(np.int64).tolist()):
+        out[i] = k
+    return out
+
+
+def add_bands(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, a hash of the text and its band keys for every row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in slices([len(t) for t in texts], 500_000):
+                prints = pa.array(fingerprints(texts[a:b]).view(np.int64))
+                keys = pa.array(band_keys([wide_shingles(t) for t in texts[a:b]]), pa.list_(pa.int64()))
+                ids, tids = (batch.column(c).slice(a, b - a) for c in ("doc_id", "tid"))
+                yield pa.RecordBatch.from_arrays([ids, prints, tids, keys], ["doc_id", "print", "tid", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("tid", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, tid long, keys array<long>")
+
+
+def _alike(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity reaches ``similar``."""
+    out = []
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    mine = np.split(codes, np.cumsum(sizes)[:-1])
+    left, flat = np.arange(len(sets)), codes  # not reached yet, and their codes
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    reached: list[int] = []
+    while len(left):
+        if not reached:
+            reached.append(int(left[0]))
+            left, flat = left[1:], flat[sizes[left[0]] :]
+            continue
+        at = reached.pop()
+        mark[mine[at]] = True
+        both = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(sizes[left]) - sizes[left])
+        mark[mine[at]] = False
+        near = both / (sizes[left] + sizes[at] - both) >= similar
+        if near.any():
+            found = left[near].tolist()
+            out += [(at, i) for i in found]
+            reached += found
+            flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
+    return out
+
+
+def similar_links(docs: DataFrame, banded: DataFrame, similar: float) -> DataFrame:
+    """(u, v): pairs of fingerprints whose texts' sets of 5-word shingles reach ``similar``, enough to connect them all.
+
+    ``banded`` is the materialised ``add_bands`` of ``docs``.  Bands of the same texts are compared once; a band of
+    many texts is dealt into blocks, and each pair of blocks is one group.
+    """
+    rows = banded.select("tid", "print", F.explode("keys").alias("key"))
+    mixed = F.xxhash64("tid")
+    marks = [F.count(F.lit(1)).alias("n"), F.sum(mixed.bitwiseAND(F.lit((1 << 31) - 1))).alias("total"), F.bit_xor(mixed).alias("odd")]
+    groups = rows.groupBy("key").agg(*marks, F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low <> high")
+    once = groups.groupBy("n", "total", "odd", "low", "high").agg(F.min("key").alias("run"))
+    once = materialise(once.select("run", "n"), "simhash-bands")
+    some = bounded(once)
+    blocks = F.ceil(F.col("n") / TEXTS).cast("int")
+    members = rows.join(some, rows["key"] == some["run"]).select("key", "tid", "print", blocks.alias("blocks")).distinct()
+    members = materialise(members, "simhash-members")
+
+    wanted = bounded(materialise(members.select(F.col("tid").alias("want")).distinct(), "simhash-wanted"))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    texts = texts.join(wanted, texts["tid"] == wanted["want"], "left_semi").dropDuplicates(["tid"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_shingles(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(found, pa.binary())], ["t", "shingles"])
+
+    cut = materialise(texts.select("tid", "text").mapInArrow(sets, "t long, shingles binary"), "simhash-sets")
+    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    dealt = members.select("key", "tid", "print", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "tid", "print", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        prints = found["print"].to_numpy(np.int64)
+        pairs = _alike([np.frombuffer(x, np.uint64) for x in found["shingles"]], similar)
+        return pd.DataFrame({"u": [prints[i] for i, _ in pairs], "v": [prints[j] for _, j in pairs]}, dtype="int64")
+
+    met = dealt.join(cut, dealt["tid"] == cut["t"]).select("key", "one", "two", "print", "shingles").repartition("key", "one", "two")
+    return met.groupBy("key", "one", "two").applyInPandas(run, "u long, v long").filter("u <> v").distinct()
+
+
 def add_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a long) of every row of ``docs``; null text counts as empty."""
 
@@ -263,15 +391,17 @@ def links(prints: DataFrame) -> DataFrame:
     return direct if long.isEmpty() else direct.unionByName(_blocks(long)).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of ``docs``.
 
+    Fingerprints at most 4 bits apart link, and, unless ``similar`` is None, texts whose similarity reaches it.
     Texts without words have fingerprint zero and link like any other.  Rows with a null id get the component of
     their fingerprint; it is null if no id is reachable.  An empty table gives an empty result.
     """
-    prints = materialise(add_fingerprints(docs), "simhash-prints")
+    prints = materialise(add_fingerprints(docs) if similar is None else add_bands(docs), "simhash-prints")
     classes = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    found = components(links(classes))
+    linking = links(classes)
+    found = components(linking if similar is None else linking.unionByName(similar_links(docs, prints, similar)))
     rooted = found.join(classes, found["node"] == classes["print"]).select("node", "root", "least")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     linked = rooted.join(lowest, "root").select(F.col("node").alias("linked"), "component")
@@ -295,5 +425,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), similar=None)
 

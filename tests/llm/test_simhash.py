@@ -99,3 +99,45 @@ def test_components_of_a_path(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(edges.limit(0)).count() == 0
+
+
+def wide_sets(texts):
+    words = [t.lower().split() for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in words]
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_similar_texts_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "TEXTS", block)
+    rng = np.random.default_rng(3)
+    texts = []
+    for size in (40, 120, 400, 1600):
+        for _ in range(4):
+            base = [f"w{int(x)}" for x in rng.integers(0, 5000, size)]
+            texts.append(" ".join(base))
+            for _ in range(5):
+                words = list(base)
+                for at in rng.choice(size, int(rng.integers(1, max(size // 25, 2))), replace=False):
+                    words[int(at)] = f"z{int(rng.integers(0, 10**9))}"
+                texts.append(" ".join(words))
+    sets, parent = wide_sets(texts), list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    missed = 0
+    for i, mine in enumerate(sets):
+        for j in range(i):
+            near = int(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() <= 4
+            alike = len(mine & sets[j]) / len(mine | sets[j]) >= 0.8
+            missed += alike and not near
+            if alike or near:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert missed > 10  # pairs that the fingerprints' radius leaves out
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(got.values()))
