@@ -8,7 +8,7 @@ targets; rates start at 1, so the fit changes them no more than it has to.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,8 @@ class DomainModel:
     words: dict[bytes, int]
     scale: np.ndarray
     weights: np.ndarray
+    #: Domains that training documents had.
+    seen: set[str] = field(default_factory=set)
 
     def features(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.words)))
@@ -124,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: in
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("domain").slice(start, end - start)], ["x", "domain"])
 
     rows = sorted((bytes(r["x"]), r["domain"]) for r in sample.mapInArrow(run, "x binary, domain string").collect())
+    model.seen = {d for _, d in rows}
     if rows:
         x = np.stack([np.frombuffer(r, np.float32) for r, _ in rows]).astype(float)
         shapes = slice(len(words), len(words) + len(NAMES))
@@ -150,15 +153,19 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long, p array<double>")
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the fit's steps: 1, then in each step less the inner product with its vector, held at 0."""
+def rate(p: Column, steps: list[list[float]], most: float | None = None) -> Column:
+    """A document's rate after the fit's steps: 1, then in each step less the inner product with its vector, held at 0.
+
+    With ``most`` it is held at that as well.
+    """
     if not steps:
         return F.lit(1.0)
     table = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
 
     def move(now: Column, step: Column) -> Column:
         change = F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(0.0), now - change)
+        moved = F.greatest(F.lit(0.0), now - change)
+        return moved if most is None else F.least(F.lit(float(most)), moved)
 
     return F.aggregate(table, F.lit(1.0), move)
 
@@ -216,9 +223,78 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return members.select("doc_id", "tokens", *shown, rate(F.col("p"), steps).alias("rate"))
 
 
+def fit_kept(members: DataFrame, targets: list[float]) -> tuple[list[list[float]], dict]:
+    """Steps of a fit like ``fit_rates`` with rates held in [0, 1], for a sample that can drop but not repeat rows.
+
+    No domain is wanted beyond what it has: a scarce one keeps its documents, and no other is lowered in its stead.
+    Totals that no such rates meet are approached until a step no longer lowers the largest error by a hundredth.
+    """
+    n = len(targets)
+
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(n + 2 * n * n)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                tokens = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float)
+                p = batch.column("p").flatten().to_numpy().reshape(-1, n)
+                r = np.ones(len(p))
+                for step in steps:
+                    r = np.clip(r - p @ np.array(step), 0.0, 1.0)
+                weighed = p * tokens[:, None]
+                above, inside = r > 0, (r > 0) & (r < 1)
+                out += np.concatenate([r @ weighed, (weighed[inside].T @ p[inside]).ravel(), (weighed[above].T @ p[above]).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in out], [f"s{k}" for k in range(len(out))])
+
+        names = [f"s{k}" for k in range(n + 2 * n * n)]
+        parts = members.select("tokens", "p").mapInArrow(run, ", ".join(f"{x} double" for x in names))
+        got = np.array([float(x or 0) for x in parts.agg(*[F.sum(x) for x in names]).first()])
+        return got[:n], [g.reshape(n, n) for g in (got[n : n + n * n], got[n + n * n :]) if g.any()]
+
+    now, grams = totals([])
+    have = now
+    want = np.minimum(np.array(targets) * have[0] / targets[0], have)
+    scale = np.maximum(np.where(want > 0, want, have), 1e-9)
+    steps: list[list[float]] = []
+    error = np.abs((now - want) / scale).max()
+    while len(steps) < STEPS and error > TOLERANCE:
+        best = None
+        for gram in grams:  # of the documents between the bounds, then of all that are not held at 0
+            step, _, _, _ = np.linalg.lstsq(gram, now - want, rcond=1e-9)
+            for _ in range(6):
+                after, free = totals([*steps, step.tolist()])
+                left = np.abs((after - want) / scale).max()
+                if left < error:
+                    best = step, after, free, left
+                    break
+                step = step / 2
+            if best is not None:
+                break
+        if best is None:
+            break
+        step, now, grams, left = best
+        steps.append(step.tolist())
+        small, error = error - left < 0.01 * error, left
+        if small:
+            break
+    return steps, {"have": have.tolist(), "want": want.tolist(), "got": now.tolist(), "steps": len(steps)}
+
+
+def kept_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """doc_id and rate, from 0 to 1, of every row of ``docs``; all rates are 1 if no training document has one of the domains."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = train(rows, labels, list(targets))
+    if model.seen != set(targets):
+        return rows.select("doc_id", F.lit(1.0).alias("rate"))
+    members = materialise(memberships(rows, model), "mix-members")
+    steps, _ = fit_kept(members, list(targets.values()))
+    return members.select("doc_id", rate(F.col("p"), steps, 1.0).alias("rate"))
+
+
 def sample_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with each row kept with probability min(rate, 1), by a hash of its id; rates above 1 repeat nothing."""
-    rates = mix(docs, labels, targets)
+    """``docs`` with each row kept with the probability of ``kept_rates``, by a hash of its id."""
+    rates = kept_rates(docs, labels, targets)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     gone = materialise(rates.filter(draw >= F.col("rate")).select(F.col("doc_id").alias("_gone")).distinct(), "mix-gone")
     return drop_ids(docs, gone)

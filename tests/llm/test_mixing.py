@@ -38,3 +38,27 @@ def test_odd_rows(odd, none, labels):
     assert equal.p_clean == pytest.approx(1 / 3)
     kept = mixing.sample_by_rate(odd, labels)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+@pytest.mark.parametrize("low, toxic", [(0.02, 0.01), (0.005, 0.002), (0.0, 0.0), (0.3, 0.01), (0.25, 0.15)])
+def test_bounded_rates_keep_clean_documents(spark, low, toxic):
+    rng = np.random.default_rng(4)
+    domain = rng.choice(3, 4000, p=[1 - low - toxic, low, toxic])
+    p = np.array([rng.dirichlet(np.where(np.arange(3) == d, 40.0, 0.3)) for d in domain])
+    tokens = rng.integers(50, 500, 4000)
+    members = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
+    targets = list(mixing.TARGETS.values())
+    steps, _ = mixing.fit_kept(members, targets)
+    rates = np.array([r.r for r in members.select(mixing.rate(F.col("p"), steps, 1.0).alias("r")).collect()])
+    assert (rates >= 0).all() and (rates <= 1).all() and rates[domain == 0].mean() > 0.98
+    totals = (p * (tokens * rates)[:, None]).sum(0)
+    have = (p * tokens[:, None]).sum(0)
+    want = np.minimum(np.array(targets) * have[0] / targets[0], have)
+    assert np.allclose(totals, want, rtol=0.1)  # dropped documents carry some of the scarce domain's tokens with them
+
+
+@pytest.mark.parametrize("known", [[], [(1, 1, 0), (2, 0, 0)]])
+def test_labels_without_a_domain_drop_nothing(spark, known):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and other words number {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    assert mixing.sample_by_rate(docs, labels).count() == 60
