@@ -109,4 +109,15 @@ def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``_row``, a number of its own for every row, written so that it can't change."""
+    return materialise(docs.select("*", F.monotonically_increasing_id().alias("_row")), name)
+
+
+def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` (of ``numbered``) without those in ``dropped`` (a materialised one-column table ``_gone``), and without ``_row``."""
+    gone = bounded(dropped)
+    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").drop("_row")
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import documents, drop_ids, materialise, slices
+from gigmatch.llm.common import documents, drop_rows, materialise, numbered, slices
 from gigmatch.llm.features import NAMES, line_features
 
 #: Domains in the order of the posteriors, and the shares of all tokens that they are to have.
@@ -281,23 +281,24 @@ def fit_kept(members: DataFrame, targets: list[float]) -> tuple[list[list[float]
     return steps, {"have": have.tolist(), "want": want.tolist(), "got": now.tolist(), "steps": len(steps)}
 
 
-def kept_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id and rate, from 0 to 1, of every row of ``docs``; all rates are 1 if no training document has one of the domains."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(rows, labels, list(targets))
+def kept_rates(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """_row and rate, from 0 to 1, of every row (of ``numbered``); all are 1 if no training document has one of the domains."""
+    texts = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = train(texts.select("doc_id", "text"), labels, list(targets))
     if model.seen != set(targets):
-        return rows.select("doc_id", F.lit(1.0).alias("rate"))
-    members = materialise(memberships(rows, model), "mix-members")
+        return texts.select("_row", F.lit(1.0).alias("rate"))
+    members = materialise(memberships(texts.select(F.col("_row").alias("doc_id"), "text"), model), "mix-members")
     steps, _ = fit_kept(members, list(targets.values()))
-    return members.select("doc_id", rate(F.col("p"), steps, 1.0).alias("rate"))
+    return members.select(F.col("doc_id").alias("_row"), rate(F.col("p"), steps, 1.0).alias("rate"))
 
 
 def sample_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with each row kept with the probability of ``kept_rates``, by a hash of its id."""
-    rates = kept_rates(docs, labels, targets)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    gone = materialise(rates.filter(draw >= F.col("rate")).select(F.col("doc_id").alias("_gone")).distinct(), "mix-gone")
-    return drop_ids(docs, gone)
+    """``docs`` with each row kept with the probability of its own ``kept_rates``, by a hash of its id (without one, of its place)."""
+    rows = numbered(docs, "mix-rows")
+    rates = kept_rates(rows, labels, targets)
+    drawn = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.col("_row")).alias("by")).join(rates, "_row")
+    draw = F.pmod(F.xxhash64(F.col("by"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    return drop_rows(rows, materialise(drawn.filter(draw >= F.col("rate")).select(F.col("_row").alias("_gone")), "mix-gone"))
 
 
 def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

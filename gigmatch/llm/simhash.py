@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bounded, documents, drop_ids, materialise, slices
+from gigmatch.llm.common import bounded, documents, drop_rows, materialise, numbered, slices
 from gigmatch.llm.components import components
 
 #: Words per shingle, hash seed, and differing bits at which fingerprints still link.
@@ -415,13 +415,20 @@ def near_duplicates(docs: DataFrame, similar: float | None = SIMILAR) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each group of near duplicates, all columns as they were.
+    """``docs`` with one row of each group of near duplicates, all columns as they were.
 
-    Rows with a null id go; rows that share the id that stays, stay with it.
+    The smallest doc_id stays, null ids last; rows are told apart by a number of their own, not by their ids.
     """
-    found = near_duplicates(docs)
-    gone = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return drop_ids(docs, materialise(gone.distinct(), "simhash-gone"))
+    rows = numbered(docs, "simhash-rows")
+    by_row = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = by_row.select(F.col("doc_id").alias("r"), "component_id")
+    found = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("id")), found["r"] == F.col("_row"))
+    found = materialise(found.select("r", "id", "component_id"), "simhash-found")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "r"))
+    groups = found.groupBy("component_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = bounded(materialise(groups.select(F.col("component_id").alias("c"), F.col("first.r").alias("stays")), "simhash-stays"))
+    gone = found.join(groups, found["component_id"] == groups["c"]).filter("r <> stays").select(F.col("r").alias("_gone"))
+    return drop_rows(rows, materialise(gone, "simhash-gone"))
 
 
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

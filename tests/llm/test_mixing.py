@@ -62,3 +62,11 @@ def test_labels_without_a_domain_drop_nothing(spark, known):
     docs = spark.createDataFrame([(i, f"word{i % 7} and other words number {i}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
     assert mixing.sample_by_rate(docs, labels).count() == 60
+
+
+def test_a_row_is_drawn_by_its_own_rate(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good"), (1, "bad"), (None, "good"), (None, "bad")], "doc_id long, text string")
+    rates = lambda rows, labels, targets: rows.select("_row", F.when(F.col("text") == "bad", 0.0).otherwise(1.0).alias("rate"))
+    monkeypatch.setattr(mixing, "kept_rates", rates)
+    kept = mixing.sample_by_rate(docs, docs)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "good"), (1, "good")]

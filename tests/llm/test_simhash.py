@@ -141,3 +141,11 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, block):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(got.values()))
+
+
+def test_rows_without_an_id_or_with_the_same_one(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(50))
+    rows = [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (7, text(4)), (None, text(5)), (9, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in simhash.keep_one(docs).collect()}
+    assert kept == {(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (9, text(5))}
