@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: shared-folder tables, safe broadcasts, total orders."""
+"""Helpers shared by the training-data operators: shared-folder tables, safe broadcasts, row bitmaps, total orders."""
 
 from __future__ import annotations
 
@@ -7,17 +7,25 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Right sides of at most this many (narrow) rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 300_000
+#: Bits of one of Spark's bitmaps (4 KB each), and how many bitmaps one broadcast may hold (64 MB).
+BITS, BITMAPS = 32_768, 16_384
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share.
+
+    A session that names none gets a temporary one if it runs on one machine (tests); on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='gigmatch-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -103,21 +111,97 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``dropped`` (a materialised one-column table ``_gone``)."""
-    gone = bounded(dropped)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with ``_row``, a number of its own for every row, written so that it can't change."""
     return materialise(docs.select("*", F.monotonically_increasing_id().alias("_row")), name)
 
 
-def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``rows`` (of ``numbered``) without those in ``dropped`` (a materialised one-column table ``_gone``), and without ``_row``."""
-    gone = bounded(dropped)
-    return rows.join(gone, rows["_row"] == gone["_gone"], "left_anti").drop("_row")
+def file_numbers(files: DataFrame, first: int = 0) -> DataFrame:
+    """(_file, _number) of the distinct paths in ``files`` (_file), in order from ``first``; one row per file."""
+    order = Window.orderBy("_file")  # over one row per file, never over the data
+    return materialise(files.select("_file").distinct().select("_file", (F.row_number().over(order) + (first - 1)).cast("long").alias("_number")), "files")
+
+
+def placed(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``_file`` and ``_at``: the file that each row is read from and its place there; None if that isn't known."""
+    if "_metadata" in docs.columns:
+        return None
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return None
+
+
+def row_number(number: Column, at: Column) -> Column:
+    return F.shiftleft(number, 33).bitwiseOR(at)
+
+
+def with_rows(docs: DataFrame, name: str, stored: bool = False) -> DataFrame:
+    """``docs`` with ``_row``, a number of its own for every row that each scan gives it again.
+
+    ``stored`` says that ``docs`` reads files and repeats none of their rows: a row is then known by its file and its
+    place there, and nothing is written but the list of files.  Otherwise a numbered copy is written.
+    """
+    found = placed(docs) if stored else None
+    if found is None:
+        return numbered(docs, name)
+    numbers = file_numbers(found)
+    return found.join(F.broadcast(numbers), "_file").select(*docs.columns, row_number(F.col("_number"), F.col("_at")).alias("_row"))
+
+
+def bitmaps(rows: DataFrame, name: str, by: list[str] = []) -> DataFrame:
+    """(…, _bucket, _bits): the numbers ``_row`` of ``rows`` as bitmaps, written once; 4 KB for 32,768 consecutive numbers."""
+    at = F.col("_row") + F.lit(1)  # these functions number from 1
+    marked = rows.select(*by, F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_place"))
+    return materialise(marked.groupBy(*by, "_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits")), name)
+
+
+def has_bit(bits: Column, row: Column) -> Column:
+    """Whether a bitmap of the row's bucket holds it; false without a bitmap."""
+    place = F.bitmap_bit_position(row + F.lit(1))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+
+def marked(rows: DataFrame, bits: DataFrame, columns: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keep`` of ``rows`` (with ``_row``) beside the bitmaps ``columns`` of its bucket (null where there are none).
+
+    Only bitmaps are broadcast, an eighth of a byte per row and column, and no row of ``rows`` is ever shuffled: beyond
+    ``BITMAPS`` of them the row numbers are cut into ranges, each joined with its own bitmaps.  A range of numbers is
+    a range of files, so each file is read for one or two of them.
+    """
+
+    def join(part: DataFrame, own: DataFrame) -> DataFrame:
+        wide = part.withColumn("_at_bucket", F.bitmap_bucket_number(F.col("_row") + F.lit(1)))
+        return keep(wide.join(F.broadcast(own), F.col("_at_bucket") == F.col("_bucket"), "left").drop("_at_bucket", "_bucket"))
+
+    most = max(BITMAPS // len(columns), 1)
+    n = bits.count()
+    if n <= most:
+        return join(rows, bits)
+    cuts = [r["_bucket"] for r in global_rank(bits.select("_bucket"), ["_bucket"], "bucket-ranks").filter(F.col("_rank") % most == 0).select("_bucket").collect()]
+    edges = [None, *sorted(cuts)[1:], None]
+    parts = []
+    for low, high in zip(edges, edges[1:]):
+        part, own = rows, bits
+        if low is not None:
+            part, own = part.filter(F.col("_row") >= (low - 1) * BITS), own.filter(F.col("_bucket") >= low)
+        if high is not None:
+            part, own = part.filter(F.col("_row") < (high - 1) * BITS), own.filter(F.col("_bucket") < high)
+        parts.append(join(part, own))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def drop_rows(rows: DataFrame, dropped: DataFrame, name: str = "gone") -> DataFrame:
+    """``rows`` (of ``with_rows``) without those whose number is in ``dropped`` (_row), and without ``_row``."""
+    gone = bitmaps(dropped, name)
+    return marked(rows, gone, ["_bits"], lambda df: df.filter(~has_bit(F.col("_bits"), F.col("_row"))).drop("_bits", "_row"))
+
+
+def only_rows(rows: DataFrame, wanted: DataFrame, name: str = "wanted") -> DataFrame:
+    """The ``rows`` (of ``with_rows``) whose number is in ``wanted`` (_row)."""
+    some = bitmaps(wanted, name)
+    return marked(rows, some, ["_bits"], lambda df: df.filter(has_bit(F.col("_bits"), F.col("_row"))).drop("_bits"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

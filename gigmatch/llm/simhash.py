@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bounded, documents, drop_rows, materialise, numbered, slices
+from gigmatch.llm.common import bounded, documents, drop_rows, materialise, only_rows, slices, with_rows
 from gigmatch.llm.components import components
 
 #: Words per shingle, hash seed, and differing bits at which fingerprints still link.
@@ -184,8 +184,8 @@ def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
     return out
 
 
-def add_bands(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, a hash of the text and its band keys for every row of ``docs``."""
+def add_bands(rows: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, a hash of the text, its band keys and _row for every row of ``rows`` (of ``with_rows``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,11 +193,11 @@ def add_bands(docs: DataFrame) -> DataFrame:
             for a, b in slices([len(t) for t in texts], 500_000):
                 prints = pa.array(fingerprints(texts[a:b]).view(np.int64))
                 keys = pa.array(band_keys([wide_shingles(t) for t in texts[a:b]]), pa.list_(pa.int64()))
-                ids, tids = (batch.column(c).slice(a, b - a) for c in ("doc_id", "tid"))
-                yield pa.RecordBatch.from_arrays([ids, prints, tids, keys], ["doc_id", "print", "tid", "keys"])
+                ids, tids, at = (batch.column(c).slice(a, b - a) for c in ("doc_id", "tid", "_row"))
+                yield pa.RecordBatch.from_arrays([ids, prints, tids, keys, at], ["doc_id", "print", "tid", "keys", "_row"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("tid", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, tid long, keys array<long>")
+    read = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "_row")
+    return read.withColumn("tid", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, tid long, keys array<long>, _row long")
 
 
 def _alike(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
@@ -227,11 +227,12 @@ def _alike(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
     return out
 
 
-def similar_links(docs: DataFrame, banded: DataFrame, similar: float) -> DataFrame:
+def similar_links(numbered: DataFrame, banded: DataFrame, similar: float) -> DataFrame:
     """(u, v): pairs of fingerprints whose texts' sets of 5-word shingles reach ``similar``, enough to connect them all.
 
-    ``banded`` is the materialised ``add_bands`` of ``docs``.  Bands of the same texts are compared once; a band of
-    many texts is dealt into blocks, and each pair of blocks is one group.
+    ``banded`` is the materialised ``add_bands`` of ``numbered`` (of ``with_rows``).  Bands of the same texts are
+    compared once; a band of many texts is dealt into blocks, and each pair of blocks is one group.  Texts are read
+    where they lie, one row of each; their sets of shingles are what is shuffled.
     """
     rows = banded.select("tid", "print", F.explode("keys").alias("key"))
     mixed = F.xxhash64("tid")
@@ -244,9 +245,10 @@ def similar_links(docs: DataFrame, banded: DataFrame, similar: float) -> DataFra
     members = rows.join(some, rows["key"] == some["run"]).select("key", "tid", "print", blocks.alias("blocks")).distinct()
     members = materialise(members, "simhash-members")
 
-    wanted = bounded(materialise(members.select(F.col("tid").alias("want")).distinct(), "simhash-wanted"))
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    texts = texts.join(wanted, texts["tid"] == wanted["want"], "left_semi").dropDuplicates(["tid"])
+    wanted = members.select(F.col("tid").alias("want")).distinct()
+    one = banded.join(wanted, banded["tid"] == wanted["want"], "left_semi").groupBy("tid").agg(F.min("_row").alias("_row"))
+    texts = only_rows(numbered.select("text", "_row"), one.select("_row"), "simhash-wanted")
+    texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,8 +305,9 @@ def _links(prints: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _same_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key to links (a, b) with key null, and rows of runs beyond BLOCK passed on with their key.
+    """Rows sorted by key to links (a, b) with key null; rows of some runs are passed on with their key instead.
 
+    These are runs beyond BLOCK, and a partition's first and last run, which may go on in the partitions beside it.
     A run may go on in the next batch; at most BLOCK rows are held back for it.
     """
 
@@ -313,7 +316,7 @@ def _same_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
 
     held_key, held = None, np.zeros(0, np.int64)
-    passing = False  # the current run is longer than BLOCK
+    passing = False  # rows of the current run are passed on
 
     def close() -> list[tuple]:
         distinct = np.unique(held)
@@ -330,24 +333,24 @@ def _same_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_runs = (ends - first > 1) | (first == 0) | (ends == len(key))
         for at, end in zip(first[open_runs], ends[open_runs]):
             if held_key is None or key[at] != held_key:
-                if held_key is not None and len(held) > 1:
+                if len(held) > 1:
                     rows += close()
-                held_key, held, passing = int(key[at]), np.zeros(0, np.int64), False
+                passing = held_key is None
+                held_key, held = int(key[at]), np.zeros(0, np.int64)
             held = np.concatenate([held, value[at:end]])
             if passing or len(held) > BLOCK:
                 rows += [(held_key, int(v), None) for v in held]
                 held, passing = np.zeros(0, np.int64), True
         yield emit(rows)
-    if held_key is not None and len(held) > 1:
-        yield emit(close())
+    yield emit([(held_key, int(v), None) for v in held])
 
 
 def _blocks(long: DataFrame) -> DataFrame:
-    """Links within runs beyond BLOCK: a run is dealt into blocks by a hash, and each pair of blocks is one group.
+    """Links within runs passed on: a run is dealt into blocks by a hash, and each pair of blocks is one group.
 
     A group holds about twice BLOCK rows and gives a spanning forest of its links.
     """
-    sizes = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = long.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = sizes.select(F.col("key").alias("run"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = long.join(sizes, long["key"] == sizes["run"]).select(
         "key", F.col("a").alias("print"), "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("own")
@@ -384,24 +387,37 @@ def links(prints: DataFrame) -> DataFrame:
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = prints.select("print").repartition(parts, "print")  # a small table that a hundredfold of keys comes from
     keys = dealt.mapInArrow(keyed, "key long, print long")
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_same_key, "key long, a long, b long")
+    # Dealt by ranges of key and fingerprint: a run too long for one task is cut.
+    met = keys.repartitionByRange(parts, "key", "print").sortWithinPartitions("key", "print").mapInArrow(_same_key, "key long, a long, b long")
     met = materialise(met, "simhash-met")
     direct = met.filter(F.col("key").isNull()).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     long = met.filter(F.col("key").isNotNull()).select("key", "a")
     return direct if long.isEmpty() else direct.unionByName(_blocks(long)).distinct()
 
 
-def near_duplicates(docs: DataFrame, similar: float | None = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: float | None = SIMILAR, stored: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of ``docs``.
 
     Fingerprints at most 4 bits apart link, and, unless ``similar`` is None, texts whose similarity reaches it.
     Texts without words have fingerprint zero and link like any other.  Rows with a null id get the component of
-    their fingerprint; it is null if no id is reachable.  An empty table gives an empty result.
+    their fingerprint; it is null if no id is reachable.  An empty table gives an empty result; further columns,
+    whatever their names, are not read.
     """
-    prints = materialise(add_fingerprints(docs) if similar is None else add_bands(docs), "simhash-prints")
+    if similar is None:
+        return _grouped(materialise(add_fingerprints(docs), "simhash-prints"))
+    return _similar(with_rows(docs.select("doc_id", "text"), "simhash-rows", stored), similar)
+
+
+def _similar(rows: DataFrame, similar: float) -> DataFrame:
+    prints = materialise(add_bands(rows), "simhash-prints")
+    return _grouped(prints, similar_links(rows, prints, similar))
+
+
+def _grouped(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Components over the fingerprints' own links and ``more`` of them."""
     classes = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-classes")
     linking = links(classes)
-    found = components(linking if similar is None else linking.unionByName(similar_links(docs, prints, similar)))
+    found = components(linking if more is None else linking.unionByName(more))
     rooted = found.join(classes, found["node"] == classes["print"]).select("node", "root", "least")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     linked = rooted.join(lowest, "root").select(F.col("node").alias("linked"), "component")
@@ -414,23 +430,23 @@ def near_duplicates(docs: DataFrame, similar: float | None = SIMILAR) -> DataFra
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, stored: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns as they were.
 
-    The smallest doc_id stays, null ids last; rows are told apart by a number of their own, not by their ids.
+    The smallest doc_id stays, null ids last; rows are told apart by their places, not by their ids.  ``stored``:
+    ``docs`` reads files and repeats no row of them; else a copy is written.
     """
-    rows = numbered(docs, "simhash-rows")
-    by_row = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    rows = with_rows(docs, "simhash-rows", stored)
+    by_row = _similar(rows.select(F.col("_row").alias("doc_id"), "text", "_row"), SIMILAR)
     found = by_row.select(F.col("doc_id").alias("r"), "component_id")
     found = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("id")), found["r"] == F.col("_row"))
     found = materialise(found.select("r", "id", "component_id"), "simhash-found")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "r"))
     groups = found.groupBy("component_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = bounded(materialise(groups.select(F.col("component_id").alias("c"), F.col("first.r").alias("stays")), "simhash-stays"))
-    gone = found.join(groups, found["component_id"] == groups["c"]).filter("r <> stays").select(F.col("r").alias("_gone"))
-    return drop_rows(rows, materialise(gone, "simhash-gone"))
+    gone = found.join(groups, found["component_id"] == groups["c"]).filter("r <> stays").select(F.col("r").alias("_row"))
+    return drop_rows(rows, gone, "simhash-gone")
 
 
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), similar=None)
-

@@ -1,0 +1,54 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gigmatch.llm import common
+
+
+@pytest.fixture()
+def table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(200_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit(1).alias("shard")).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("most", [2, 16_384])
+def test_rows_are_dropped_by_number(table, monkeypatch, stored, most):
+    monkeypatch.setattr(common, "BITMAPS", most)
+    rows = common.with_rows(table, "rows", stored)
+    assert rows.select("_row").distinct().count() == 200_000
+    gone = common.materialise(rows.filter("doc_id % 3 = 1").select("_row"), "gone-rows")
+    left = common.drop_rows(rows, gone)
+    assert left.columns == table.columns
+    assert left.agg(F.count("*"), F.sum("doc_id")).first()[:] == table.filter("doc_id % 3 <> 1").agg(F.count("*"), F.sum("doc_id")).first()[:]
+    some = common.only_rows(rows, gone)
+    assert some.count() == gone.count() and some.filter("doc_id % 3 <> 1").isEmpty()
+    assert common.drop_rows(rows, gone.limit(0)).count() == 200_000
+    assert common.only_rows(rows, gone.limit(0)).isEmpty()
+
+
+def test_no_text_is_shuffled(spark, table, monkeypatch):
+    monkeypatch.setattr(common, "BITMAPS", 2)
+    rows = common.with_rows(table, "rows", True)
+    left = common.drop_rows(rows, rows.filter("doc_id % 2 = 0").select("_row"))
+    plan = left._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "BroadcastHashJoin" in physical and "Exchange hashpartitioning" not in physical and "SortMergeJoin" not in physical
+
+
+def test_tables_that_read_no_files_are_copied(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
+    rows = common.with_rows(df, "rows", True)
+    assert rows.select("_row").distinct().count() == 3 and rows.columns == ["doc_id", "text", "_row"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
