@@ -2,7 +2,8 @@
 
 A classifier fitted on a labelled table gives every document posterior probabilities over the domains.  Projected
 gradient least squares then fits nonnegative document rates whose expected token totals per domain match the
-targets; rates start at 1, so the fit changes them no more than it has to.
+targets; rates start at 1, so the fit changes them no more than it has to.  Tokens are those of the public word
+vocabulary that documents are packed with.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import documents, drop_rows, materialise, numbered, slices
+from gigmatch.llm.common import bitmaps, documents, has_bit, marked, materialise, slices, with_rows
 from gigmatch.llm.features import NAMES, line_features
+from gigmatch.llm.packing import encoder
+from gigmatch.llm.words import default_vocabulary
 
 #: Domains in the order of the posteriors, and the shares of all tokens that they are to have.
 TARGETS = {"clean": 0.91, "low": 0.05, "toxic": 0.04}
@@ -24,6 +27,10 @@ TARGETS = {"clean": 0.91, "low": 0.05, "toxic": 0.04}
 #: the sample) that keeps chance out of them.
 TRAIN_DOCS, WORDS, LEAST_GAIN = 6000, 300, 8.0
 EPOCHS, RATE = 300, 0.05
+#: Of the training documents, every so many-th is held out to calibrate the posteriors.
+HELD_OUT = 5
+#: Distinct words (between ASCII spaces) whose token counts a worker remembers at most; then it starts anew.
+WORDS_KEPT = 400_000
 #: The fit ends at this largest relative error of a domain's total, or after so many steps.
 TOLERANCE, STEPS = 1e-4, 30
 
@@ -35,8 +42,28 @@ def label_domain(quality: Column, toxic: Column) -> Column:
 _MARKS = b".,;:!?\"'()#$%&*|"
 
 
-def _bag(text: str) -> set[bytes]:
-    return {w.strip(_MARKS) for w in text.lower().encode("utf-8", "replace").split()}
+def _cut(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").split()
+
+
+def _bag(words: list[bytes]) -> set[bytes]:
+    return {w.strip(_MARKS) for w in set(words)}
+
+
+_COUNTS: dict[str, dict[bytes, int]] = {}
+
+
+def token_counts(texts: list[list[bytes]], path: str) -> np.ndarray:
+    """Tokens of texts given by their lower-cased words; the vocabulary's pieces never cross the spaces between them."""
+    counts = _COUNTS.setdefault(path, {})
+    if len(counts) > WORDS_KEPT:
+        counts.clear()
+    new = sorted(set().union(*texts) - counts.keys())
+    for i in range(0, len(new), 10_000):
+        part = new[i : i + 10_000]
+        counts.update(zip(part, encoder(path).count([w.decode("utf-8") for w in part])))
+    look = counts.__getitem__
+    return np.array([sum(map(look, words)) for words in texts], np.int64)
 
 
 def _shape(texts: list[str]) -> np.ndarray:
@@ -58,15 +85,15 @@ class DomainModel:
     #: Domains that training documents had.
     seen: set[str] = field(default_factory=set)
 
-    def features(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: list[str], cut: list[list[bytes]] | None = None) -> np.ndarray:
         x = np.zeros((len(texts), len(self.words)))
-        for i, text in enumerate(texts):
-            hit = [self.words[w] for w in _bag(text) & self.words.keys()]
+        for i, words in enumerate(map(_cut, texts) if cut is None else cut):
+            hit = [self.words[w] for w in _bag(words) & self.words.keys()]
             x[i, hit] = 1
         return np.concatenate([x, _shape(texts) / self.scale, np.ones((len(texts), 1))], 1)
 
-    def posteriors(self, texts: list[str]) -> np.ndarray:
-        out = self.features(texts) @ self.weights
+    def posteriors(self, texts: list[str], cut: list[list[bytes]] | None = None) -> np.ndarray:
+        out = self.features(texts, cut) @ self.weights
         p = np.exp(out - out.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -77,7 +104,7 @@ def telling_words(sample: DataFrame, domains: list[str], words: int = WORDS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, domain in zip(batch.column("text").to_pylist(), batch.column("domain").to_pylist()):
-                bag = sorted(_bag(text or "") - {b""})
+                bag = sorted(_bag(_cut(text or "")) - {b""})
                 yield pa.RecordBatch.from_arrays([pa.array(bag, pa.binary()), pa.array([domain] * len(bag), pa.string())], ["word", "domain"])
 
     totals = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -104,10 +131,22 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
     return weights
 
 
+def calibration(out: np.ndarray, y: np.ndarray) -> float:
+    """The factor on log odds under which held-out labels are most likely, from 1/8 to 2."""
+    factors = 2.0 ** np.linspace(-3, 1, 33)
+
+    def loss(f: float) -> float:
+        z = out * f - (out * f).max(1, keepdims=True)
+        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).sum())
+
+    return float(factors[np.argmin([loss(f) for f in factors])])
+
+
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: int = TRAIN_DOCS) -> DomainModel:
     """Softmax regression on line shapes and telling words of about ``train_docs`` labelled documents, by a hash of the id.
 
-    Texts stay in the cluster; the driver gets one feature vector per training document.
+    Texts stay in the cluster; the driver gets one feature vector per training document.  How sure the posteriors are
+    is set on a part of these documents that a first fit leaves out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
     known = known.filter(F.col("domain").isin(domains))
@@ -132,25 +171,30 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: in
         shapes = slice(len(words), len(words) + len(NAMES))
         model.scale = np.maximum(x[:, shapes].std(0), 1e-3)
         x[:, shapes] /= model.scale
-        model.weights = fit_softmax(x, np.array([domains.index(d) for _, d in rows]), len(domains))
+        y = np.array([domains.index(d) for _, d in rows])
+        model.weights = fit_softmax(x, y, len(domains))
+        out = np.arange(len(y)) % HELD_OUT == 0  # rows are in the order of their features
+        if len(np.unique(y[~out])) == len(np.unique(y)) > 1 and out.sum() >= 20:
+            model.weights = model.weights * calibration(x[out] @ fit_softmax(x[~out], y[~out], len(domains)), y[out])
     return model
 
 
-def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """doc_id, tokens (words between ASCII spaces) and p, the posterior of each domain, for every row of ``docs``."""
+def memberships(docs: DataFrame, model: DomainModel, key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """``key`` (long), tokens and p, the posterior of each domain, for every row of ``docs`` (``key``, text)."""
+    path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for start, end in slices([len(t) for t in texts], 1_000_000):
                 part = texts[start:end]
-                tokens = np.array([len(t.encode("utf-8", "replace").split()) for t in part], np.int64)
+                cut = [_cut(t) for t in part]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, end - start), pa.array(tokens), pa.array(list(model.posteriors(part)))],
-                    ["doc_id", "tokens", "p"],
+                    [batch.column(key).slice(start, end - start), pa.array(token_counts(cut, path)), pa.array(list(model.posteriors(part, cut)))],
+                    [key, "tokens", "p"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long, p array<double>")
+    return docs.select(key, "text").mapInArrow(run, f"{key} long, tokens long, p array<double>")
 
 
 def rate(p: Column, steps: list[list[float]], most: float | None = None) -> Column:
@@ -211,10 +255,11 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None) -> DataFrame:
-    """doc_id, tokens, p_<domain> and rate of every row of ``docs``.
+    """doc_id, tokens, p_<domain> and rate of every row of ``docs``; rates may be above 1 (see ``draw_copies``).
 
-    Null and empty texts have no tokens: they count for no total and keep the rate of their posteriors.  Without
-    labelled documents all posteriors are equal.  An empty table gives an empty result.
+    Null and empty texts have no tokens: they count for no total and keep the rate of their posteriors.  Rows alike
+    in text get equal rates, repeated ids and null ids or not.  Without labelled documents all posteriors are equal.
+    An empty table gives an empty result; further columns, whatever their names, are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = materialise(memberships(rows, train(rows, labels, list(targets))), "mix-members")
@@ -223,11 +268,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return members.select("doc_id", "tokens", *shown, rate(F.col("p"), steps).alias("rate"))
 
 
-def fit_kept(members: DataFrame, targets: list[float]) -> tuple[list[list[float]], dict]:
-    """Steps of a fit like ``fit_rates`` with rates held in [0, 1], for a sample that can drop but not repeat rows.
+def fit_kept(members: DataFrame, targets: list[float], most: float = 1.0) -> tuple[list[list[float]], dict]:
+    """Steps of a fit like ``fit_rates`` with rates held in [0, ``most``].
 
-    No domain is wanted beyond what it has: a scarce one keeps its documents, and no other is lowered in its stead.
-    Totals that no such rates meet are approached until a step no longer lowers the largest error by a hundredth.
+    No domain is wanted beyond ``most`` times what it has: a scarce one keeps its documents (at 1), and no other is
+    lowered in its stead.  Totals that no such rates meet are approached until a step no longer lowers the largest
+    error by a hundredth.
     """
     n = len(targets)
 
@@ -241,9 +287,9 @@ def fit_kept(members: DataFrame, targets: list[float]) -> tuple[list[list[float]
                 p = batch.column("p").flatten().to_numpy().reshape(-1, n)
                 r = np.ones(len(p))
                 for step in steps:
-                    r = np.clip(r - p @ np.array(step), 0.0, 1.0)
+                    r = np.clip(r - p @ np.array(step), 0.0, most)
                 weighed = p * tokens[:, None]
-                above, inside = r > 0, (r > 0) & (r < 1)
+                above, inside = r > 0, (r > 0) & (r < most)
                 out += np.concatenate([r @ weighed, (weighed[inside].T @ p[inside]).ravel(), (weighed[above].T @ p[above]).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in out], [f"s{k}" for k in range(len(out))])
 
@@ -254,7 +300,7 @@ def fit_kept(members: DataFrame, targets: list[float]) -> tuple[list[list[float]
 
     now, grams = totals([])
     have = now
-    want = np.minimum(np.array(targets) * have[0] / targets[0], have)
+    want = np.minimum(np.array(targets) * have[0] / targets[0], have * most)
     scale = np.maximum(np.where(want > 0, want, have), 1e-9)
     steps: list[list[float]] = []
     error = np.abs((now - want) / scale).max()
@@ -281,24 +327,49 @@ def fit_kept(members: DataFrame, targets: list[float]) -> tuple[list[list[float]
     return steps, {"have": have.tolist(), "want": want.tolist(), "got": now.tolist(), "steps": len(steps)}
 
 
-def kept_rates(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """_row and rate, from 0 to 1, of every row (of ``numbered``); all are 1 if no training document has one of the domains."""
+def kept_rates(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 1.0) -> DataFrame:
+    """_row and rate, from 0 to ``most``, of every row (of ``with_rows``); all are 1 if no training document has one of the domains."""
     texts = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(texts.select("doc_id", "text"), labels, list(targets))
     if model.seen != set(targets):
         return texts.select("_row", F.lit(1.0).alias("rate"))
-    members = materialise(memberships(texts.select(F.col("_row").alias("doc_id"), "text"), model), "mix-members")
-    steps, _ = fit_kept(members, list(targets.values()))
-    return members.select(F.col("doc_id").alias("_row"), rate(F.col("p"), steps, 1.0).alias("rate"))
+    members = materialise(memberships(texts, model, "_row"), "mix-members")
+    steps, _ = fit_kept(members, list(targets.values()), most)
+    return members.select("_row", rate(F.col("p"), steps, most).alias("rate"))
 
 
-def sample_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with each row kept with the probability of its own ``kept_rates``, by a hash of its id (without one, of its place)."""
-    rows = numbered(docs, "mix-rows")
-    rates = kept_rates(rows, labels, targets)
+def draw_copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rows`` (of ``with_rows``) without ``_row``, each as often as its rate (_row, rate) says, on average.
+
+    The whole part of a rate is certain, the rest is drawn by a hash of the row's id (without one, of its place).
+    Copies are marked by one bitmap per count, so texts are never shuffled.
+    """
     drawn = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.col("_row")).alias("by")).join(rates, "_row")
     draw = F.pmod(F.xxhash64(F.col("by"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return drop_rows(rows, materialise(drawn.filter(draw >= F.col("rate")).select(F.col("_row").alias("_gone")), "mix-gone"))
+    whole = F.floor("rate")
+    times = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
+    counted = materialise(drawn.select("_row", times.alias("times")).filter("times <> 1"), "mix-times")
+    kinds = sorted(r["times"] for r in counted.select("times").distinct().collect())  # at most the largest rate's number
+    if not kinds:
+        return rows.drop("_row")
+    flags = bitmaps(counted, "mix-bits", ["times"])
+    wide = flags.groupBy("_bucket").agg(*[F.max(F.when(F.col("times") == k, F.col("_bits"))).alias(f"_bits_{k}") for k in kinds])
+    held = [has_bit(F.col(f"_bits_{k}"), F.col("_row")) for k in kinds]
+    many = F.lit(1)
+    for k, flag in zip(kinds, held):
+        many = F.when(flag, F.lit(k)).otherwise(many)
+    repeat = lambda df: df.withColumn("_copies", many).filter("_copies > 0").select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    once = lambda df: df.filter(many > 0).select(*rows.columns)
+    return marked(rows, materialise(wide, "mix-flags"), [f"_bits_{k}" for k in kinds], repeat if kinds[-1] > 1 else once).drop("_row", "_copy")
+
+
+def sample_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 1.0, stored: bool = False) -> DataFrame:
+    """``docs`` with each row as often as its own ``kept_rates`` say; with ``most`` at 1, none is repeated.
+
+    ``stored``: ``docs`` reads files and repeats no row of them; else a copy is written.
+    """
+    rows = with_rows(docs, "mix-rows", stored)
+    return draw_copies(rows, kept_rates(rows, labels, targets, most))
 
 
 def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,9 +94,21 @@ class Encoder:
         return out
 
 
+    def count(self, words: list[str]) -> list[int]:
+        """Numbers of tokens of each word."""
+        return [len(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """The vocabulary's encoder, loaded once in each worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """Token pieces of every whole text: doc_id, piece, start, length, ids_crc32 and, with ``ids``, the ids.
 
@@ -107,14 +119,12 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        encoder = _ENCODERS[path]
+        coder = encoder(path)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for first, last in slices([len(t) for t in texts], 2_000_000):
                 rows = []
-                for doc_id, got in zip(doc_ids[first:last], encoder.encode(texts[first:last])):
+                for doc_id, got in zip(doc_ids[first:last], coder.encode(texts[first:last])):
                     whole = np.append(got, np.uint32(END_OF_DOCUMENT)).astype("<u4")
                     for n, start in enumerate(range(0, len(whole), capacity)):
                         part = whole[start : start + capacity]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gigmatch.llm import mixing
+from gigmatch.llm import mixing, packing
 
 
 def test_totals_meet_targets(spark, sf1):
@@ -18,15 +18,68 @@ def test_totals_meet_targets(spark, sf1):
     assert (labels[[f"p_{d}" for d in mixing.TARGETS]].to_numpy().argmax(1) == domain).mean() > 0.95
 
 
-def test_rates_against_a_direct_fit(spark):
+def direct_fit(p, tokens, want):
+    """Nonnegative least squares on all documents at once: projected gradient from rates of 1, token-weighted."""
+    rates, a = np.ones(len(p)), p * tokens[:, None]
+    gram = np.linalg.inv(a.T @ p)
+    for _ in range(4000):
+        rates = np.maximum(0, rates - 0.5 * p @ gram @ (a.T @ rates - want))
+    return rates
+
+
+@pytest.mark.parametrize("targets", [[0.7, 0.2, 0.1], [0.2, 0.2, 0.6], [0.85, 0.1, 0.05]])
+def test_rates_against_a_direct_fit(spark, targets):
     rng = np.random.default_rng(9)
     p = rng.dirichlet([0.3, 0.3, 0.3], 300)
     tokens = rng.integers(1, 500, 300)
     members = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "tokens long, p array<double>")
-    steps, told = mixing.fit_rates(members, [0.7, 0.2, 0.1])
+    steps, told = mixing.fit_rates(members, targets)
     rates = np.array([r.r for r in members.select(mixing.rate(F.col("p"), steps).alias("r")).collect()])
-    assert (rates >= 0).all() and told["steps"] < mixing.STEPS
-    assert np.allclose((p * (tokens * rates)[:, None]).sum(0), told["want"], rtol=1e-3)
+    want = np.array(targets) * (p[:, 0] @ tokens) / targets[0]
+    assert (rates >= 0).all() and told["steps"] < mixing.STEPS and np.allclose(told["want"], want)
+    direct = direct_fit(p, tokens, want)
+    total = lambda r: (p * (tokens * r)[:, None]).sum(0)
+    assert np.allclose(total(rates), want, rtol=1e-3) and np.allclose(total(direct), want, rtol=1e-3)
+    assert tokens @ (rates - 1) ** 2 <= 1.1 * (tokens @ (direct - 1) ** 2) + 1e-6
+
+
+def test_tokens_are_those_that_are_packed(spark, odd):
+    got = {(r.doc_id, r.n) for r in packing.token_pieces(odd).groupBy("doc_id").agg((F.sum("length") - F.count("*")).alias("n")).collect() if r.doc_id not in (None, 2, 6)}
+    model = mixing.DomainModel(["a"], {}, np.ones(len(mixing.NAMES)), np.zeros((len(mixing.NAMES) + 1, 1)))
+    members = mixing.memberships(odd.select("doc_id", "text"), model).collect()
+    assert {(r.doc_id, r.tokens) for r in members if r.doc_id not in (None, 2, 6)} == got
+
+
+def test_posteriors_on_labels_that_were_not_learned(spark, sf1):
+    docs, labels = spark.read.parquet(f"{sf1}/documents.parquet"), spark.read.parquet(f"{sf1}/labels.parquet")
+    domains = list(mixing.TARGETS)
+    model = mixing.train(docs.select("doc_id", "text"), labels.filter("doc_id % 3 <> 0"), domains)
+    rest = labels.filter("doc_id % 3 = 0").join(docs, "doc_id").select("text", mixing.label_domain(F.col("quality"), F.col("toxic")).alias("d")).dropna().collect()
+    p = model.posteriors([r.text for r in rest])
+    y = np.array([domains.index(r.d) for r in rest])
+    assert (p.argmax(1) == y).mean() > 0.9
+    assert abs(p.max(1).mean() - (p.argmax(1) == y).mean()) < 0.08  # as sure as they are right
+
+
+def test_rates_above_one_repeat_rows(spark, sf1):
+    docs = spark.read.parquet(f"{sf1}/documents.parquet")
+    labels = spark.read.parquet(f"{sf1}/labels.parquet")
+    targets = {"clean": 0.7, "low": 0.18, "toxic": 0.12}
+    got = mixing.sample_by_rate(docs, labels, targets, most=3.0, stored=True)
+    assert got.columns == docs.columns
+    counts = got.groupBy("doc_id").count()
+    assert 1 < counts.agg(F.max("count")).first()[0] <= 3
+    model = mixing.train(docs.select("doc_id", "text"), labels, list(targets))
+    sums = mixing.memberships(got, model).agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(k))) for k in range(3)]).first()
+    assert np.allclose(np.array(sums) / sum(sums), list(targets.values()), atol=0.03)
+
+
+def test_copies_are_drawn_by_rate(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = mixing.with_rows(docs, "copies")
+    rates = rows.select("_row", F.when(F.col("doc_id") < 1000, 0.0).when(F.col("doc_id") < 2000, 1.0).when(F.col("doc_id") < 3000, 2.5).otherwise(0.25).alias("rate"))
+    got = {r.k: r.n for r in mixing.draw_copies(rows, rates).groupBy(F.floor(F.col("doc_id") / 1000).alias("k")).agg(F.count("*").alias("n")).collect()}
+    assert 0 not in got and got[1] == 1000 and abs(got[2] - 2500) < 80 and abs(got[3] - 250) < 70
 
 
 def test_odd_rows(odd, none, labels):
@@ -66,7 +119,7 @@ def test_labels_without_a_domain_drop_nothing(spark, known):
 
 def test_a_row_is_drawn_by_its_own_rate(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "good"), (1, "bad"), (None, "good"), (None, "bad")], "doc_id long, text string")
-    rates = lambda rows, labels, targets: rows.select("_row", F.when(F.col("text") == "bad", 0.0).otherwise(1.0).alias("rate"))
+    rates = lambda rows, labels, targets, most: rows.select("_row", F.when(F.col("text") == "bad", 0.0).otherwise(1.0).alias("rate"))
     monkeypatch.setattr(mixing, "kept_rates", rates)
     kept = mixing.sample_by_rate(docs, docs)
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "good"), (1, "good")]
