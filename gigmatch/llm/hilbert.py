@@ -8,10 +8,10 @@ the minima and maxima of any.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import documents, global_rank
+from gigmatch.llm.common import documents, global_rank, with_rank
 
 SHARDS = 24
 
@@ -60,27 +60,47 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(_ints(list(range(bits - 1, -1, -1))), start, step, lambda s: s["h"])
 
 
-def string_code(value: Column) -> Column:
-    """Order-preserving number of a string's first seven bytes."""
-    head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def string_cuts(df: DataFrame, name: str, bins: int) -> list[str]:
+    """Smallest values of at most ``bins`` bins: whole strings, cut so that each bin holds about as many rows.
+
+    Values are counted first, so a frequent one is one row; cumulative counts run within ranges of values.  With no
+    more values than bins each gets its own.
+    """
+    counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_rank(counts, ["v"], "hilbert-values")
+    if (values := ranked.count()) <= bins:
+        return [r["v"] for r in ranked.select("v").collect()] if values else []
+    whole = ranked.groupBy("_pid").agg(F.sum("n").alias("in"))  # one row per range partition
+    before = whole.select("_pid", F.sum("in").over(Window.orderBy("_pid")).alias("upto"), F.sum("in").over(Window.partitionBy()).alias("all"), "in")
+    here = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    at = ranked.join(F.broadcast(before), "_pid").withColumn("start", F.col("upto") - F.col("in") + F.coalesce(F.sum("n").over(here), F.lit(0)))
+    share = lambda c: F.floor(c * bins / F.col("all"))
+    first = at.filter((F.col("start") == 0) | (share(F.col("start")) > share(F.col("start") - 1)) | (share(F.col("start") + F.col("n") - 1) > share(F.col("start"))))
+    return sorted((r["v"] for r in first.select("v").collect()), key=lambda v: v.encode())[: 2 * bins]
 
 
 def quantise(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
     """Adds ``_cell_<name>`` in 0 .. 2^bits - 1: bin 0 for null, the others cut at quantiles over all rows.
 
-    The cut points are at most 2^bits - 2 numbers per dimension, whatever the input.
+    Few bins are spread over the whole range, so that each dimension counts from the first turn of the curve.  The
+    cut points are a few per cell and dimension, whatever the input; strings are compared whole.
     """
-    codes = {k: (string_code(c) if t == "string" else c.cast("double")) for (k, c), t in zip(dims.items(), _types(df, dims))}
-    wide = df.select("*", *[c.cast("double").alias(f"_code_{k}") for k, c in codes.items()])
+    kinds = _types(df, dims)
+    wide = df.select("*", *[(c if t == "string" else c.cast("double")).alias(f"_code_{k}") for (k, c), t in zip(dims.items(), kinds)])
     bins = (1 << bits) - 1
     shares = [i / bins for i in range(1, bins)]
-    cuts = wide.agg(*[F.percentile_approx(f"_code_{k}", shares, 10_000).alias(k) for k in dims]).first()
+    numbers = [k for k, t in zip(dims, kinds) if t != "string"]
+    cuts: dict[str, list] = {k: string_cuts(wide, f"_code_{k}", bins) for k, t in zip(dims, kinds) if t == "string"}
+    if numbers:
+        found = wide.agg(*[F.percentile_approx(f"_code_{k}", shares, 10_000).alias(k) for k in numbers], *[F.min(f"_code_{k}").alias(f"_min_{k}") for k in numbers]).first()
+        cuts |= {k: sorted({found[f"_min_{k}"], *(found[k] or [])} - {None}) for k in numbers}
 
     def bin_of(name: str) -> Column:
-        code, edges = F.col(f"_code_{name}"), sorted(set(cuts[name] or []))
-        above = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= code)) if edges else F.lit(0)
-        return F.when(code.isNull(), F.lit(0)).otherwise(above + F.lit(1)).cast("int")
+        code, edges = F.col(f"_code_{name}"), cuts[name]
+        if not edges:
+            return F.lit(0)
+        above = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= code))
+        return F.when(code.isNull(), F.lit(0)).otherwise(F.floor(above * bins / len(edges)).cast("int"))
 
     return wide.select("*", *[bin_of(k).alias(f"_cell_{k}") for k in dims])
 
@@ -90,12 +110,13 @@ def _types(df: DataFrame, dims: dict[str, Column]) -> list[str]:
 
 
 def hilbert_shards(df: DataFrame, dims: dict[str, Column], ties: list[Column], shards: int = SHARDS, bits: int = 5) -> DataFrame:
-    """``df`` with hilbert, shard and slot.  Law ``rows``: shard sizes differ by one at most.
+    """``df`` with hilbert, shard and slot; columns of these names that it has are replaced.
 
-    ``ties`` order the rows of one cell (rows equal in all of them are alike, so any order serves).  Null dimensions
-    fall in bin 0; fewer rows than shards leave shards empty; an empty table gives an empty result.
+    Law ``rows``: shard sizes differ by one at most.  ``ties`` order the rows of one cell (rows equal in all of them
+    are alike, so any order serves).  Null dimensions fall in bin 0; fewer rows than shards leave shards empty; an
+    empty table gives an empty result.
     """
-    names = df.columns
+    names = [c for c in df.columns if c not in ("hilbert", "shard", "slot")]
     tied = [f"_tie_{i}" for i in range(len(ties))]
     wide = quantise(df, dims, bits)
     index = hilbert_index([F.col(f"_cell_{k}") for k in dims], bits)
@@ -113,9 +134,13 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], ties: list[Column], s
 
 
 def write_shards(sharded: DataFrame, path: str, stats: list[str]) -> DataFrame:
-    """Write one folder per shard, rows in curve order, and a manifest of minima and maxima for pruning."""
+    """Write one folder per shard and a manifest of minima and maxima for pruning.
+
+    Rows are dealt by ranges of the curve, so a large shard is written by several tasks, each file a run of its slots.
+    """
     spark = sharded.sparkSession
-    ordered = sharded.repartition("shard").sortWithinPartitions("shard", "slot")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = sharded.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot")
     ordered.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/data")
     data = spark.read.parquet(f"{path}/data")
     ranges = [f(c).alias(f"{n}_{c}") for c in stats for n, f in (("min", F.min), ("max", F.max))]

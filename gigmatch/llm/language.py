@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import documents, id_remainder, slices
+from gigmatch.llm.common import documents, drop_rows, id_remainder, materialise, slices, with_rows
 
 ORDERS = (3, 4)
 HASHES = 3
@@ -35,7 +35,11 @@ _TABLE: list[np.ndarray] = []
 def _letters() -> np.ndarray:
     """Which code points are letters."""
     if not _TABLE:
-        _TABLE.append(np.fromiter((not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(0x110000)), bool))
+        table = np.zeros(0x110000, bool)
+        for first, end in ((0, 0xD800), (0xE000, 0x110000)):  # all but the surrogates
+            for run in regex.finditer(r"\p{L}+", "".join(map(chr, range(first, end)))):
+                table[first + run.start() : first + run.end()] = True
+        _TABLE.append(table)
     return _TABLE[0]
 
 
@@ -75,9 +79,9 @@ class Filters:
     chance: np.ndarray
 
     def slots(self, h: np.ndarray) -> list[np.ndarray]:
-        bits = len(self.masks).bit_length() - 1
-        low = np.uint64(len(self.masks) - 1)
-        return [((h >> np.uint64(j * bits)) & low).astype(np.int64) for j in range(HASHES)]
+        """Positions of each n-gram: steps of one odd stride, both taken from its hash, for filters of any size."""
+        low, stride = np.uint64(len(self.masks) - 1), (h >> np.uint64(32)) | np.uint64(1)
+        return [((h + np.uint64(j) * stride) & low).astype(np.int64) for j in range(HASHES)]
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Corrected n-gram hits: one row per text, one column per language."""
@@ -96,7 +100,7 @@ class Filters:
 def build_filters(entries: dict[str, np.ndarray]) -> Filters:
     languages = sorted(entries)
     most = max([1, *(len(v) for v in entries.values())])
-    size = 1 << min(21, max(10, (SLOTS * most - 1).bit_length()))
+    size = 1 << max(10, (SLOTS * most - 1).bit_length())  # grows with what is entered, so that no filter fills up
     filters = Filters(languages, np.zeros((size, max(1, -(-len(languages) // 8))), np.uint8), np.zeros(len(languages)))
     for k, name in enumerate(languages):
         for at in filters.slots(entries[name]):
@@ -169,10 +173,30 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the rows whose id's remainder by 4 isn't 2, predict all."""
+    """Learn from the rows whose id's remainder by 4 isn't 2 and whose text and lang aren't null, predict all.
+
+    One row per row of ``docs`` (doc_id, text, lang), repeated rows and null ids (not held out) included; the same
+    text gets the same prediction.  Whole texts count, however long.  Null and empty texts and texts without a letter
+    are ``und`` with score 0, as are all if nothing was learned; ties go to the first language in order.  An empty
+    table gives an empty result; further columns, whatever their names, are not read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     return predict(rows, train(rows.filter(id_remainder(F.col("doc_id"), 4) != 2)))
 
 
+def keep_known(docs: DataFrame, least_score: float, stored: bool = False) -> DataFrame:
+    """``docs`` without the rows whose language is unknown or scored below ``least_score``, all columns as they were.
+
+    Each row is decided by its own text.  ``stored``: ``docs`` reads files and repeats no row of them; else a copy is
+    written.
+    """
+    rows = with_rows(docs, "language-rows", stored)
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "_row")
+    filters = train(texts.filter(id_remainder(F.col("doc_id"), 4) != 2))
+    found = predict(texts.select(F.col("_row").alias("doc_id"), "text"), filters)
+    refused = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
+    return drop_rows(rows, materialise(refused.select(F.col("doc_id").alias("_row")), "language-refused"), "language-gone")
+
+
 def op4_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))

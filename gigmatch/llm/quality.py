@@ -12,14 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import documents, id_remainder, slices
+from gigmatch.llm.common import documents, id_remainder, materialise, slices
 from gigmatch.llm.features import NAMES, line_features
 
-#: Expected number of labelled training documents, and the most lines that one of them may have.
-TRAIN_DOCS, TRAIN_LINES = 5000, 3000
+#: Expected number of labelled training documents, and of their lines in all (each takes some 500 bytes in the fit):
+#: with longer documents fewer are taken, whatever the length of each.
+TRAIN_DOCS, TRAIN_LINES = 5000, 300_000
 THRESHOLD = 0.3
 STEPS, ROUNDS, RATE, PENALTY = 150, 3, 0.1, 1e-4
 
@@ -124,14 +125,33 @@ def fit(table: np.ndarray, length: np.ndarray, lines: np.ndarray, labels: np.nda
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Chain:
-    """Fit on about ``train_docs`` labelled rows whose id's remainder by 5 isn't 0, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> DataFrame:
+    """(text, quality) of about ``train_docs`` labelled rows whose id's remainder by 5 isn't 0, by a hash of the id.
+
+    In that order documents of each label are taken until they hold half of ``train_lines``: the first that reaches
+    it is the last one taken.
+    """
     usable = labels.filter((id_remainder(F.col("doc_id"), 5) != 0) & F.col("quality").isNotNull())
     total = usable.count()
     share = min(1.0, train_docs / max(total, 1))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    mixed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    chosen = usable.filter(mixed < share * (1 << 30))
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))  # about train_docs rows
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
+    known = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    known = materialise(known, "quality-sample")
+    body = F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("quality").orderBy("mixed", "digest", "lines").rowsBetween(Window.unboundedPreceding, -1)
+    lines = (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    sizes = known.select("doc_id", "quality", mixed.alias("mixed"), F.xxhash64("text").alias("digest"), lines.alias("lines"))
+    taken = sizes.withColumn("before", F.coalesce(F.sum("lines").over(order), F.lit(0))).filter(F.col("before") < train_lines / 2)
+    taken = taken.select("doc_id", "quality", "digest").distinct()
+    one = known.withColumn("digest", F.xxhash64("text")).join(F.broadcast(taken), ["doc_id", "quality", "digest"], "left_semi")
+    return one.select("text", "quality")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Chain:
+    """Fit on the ``sample``; texts stay in the cluster, the driver gets features of about ``train_lines`` lines."""
+    found = sample(docs, labels, train_docs, train_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> C
                 table, length, lines = line_features([t or "" for t in texts[start:end]])
                 ends = np.cumsum(lines)
                 for i, n in enumerate(lines):
-                    if n <= TRAIN_LINES:
-                        part = np.concatenate([table, length[:, None]], 1)[ends[i] - n : ends[i]]
-                        row = [pa.array([part.astype(np.float32).tobytes()]), pa.array([marks[start + i]], pa.int32())]
-                        yield pa.RecordBatch.from_arrays(row, ["lines", "quality"])
+                    part = np.concatenate([table, length[:, None]], 1)[ends[i] - n : ends[i]]
+                    row = [pa.array([part.astype(np.float32).tobytes()]), pa.array([marks[start + i]], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(row, ["lines", "quality"])
 
-    rows = sample.mapInArrow(run, "lines binary, quality int").collect()
+    rows = found.mapInArrow(run, "lines binary, quality int").collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["lines"])))  # the fit doesn't depend on the order of tasks
     parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(NAMES) + 1).astype(float) for r in rows]
     marks = np.array([r["quality"] for r in rows])
@@ -175,7 +194,14 @@ def score(docs: DataFrame, model: Chain) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from ``labels`` (doc_id, quality) and score every row of ``docs`` (doc_id, text)."""
+    """Learn from ``labels`` (doc_id, quality) and score every row of ``docs`` (doc_id, text).
+
+    One row per row of ``docs``, repeated rows and null ids (not held out) included; the same text gets the same
+    score.  Null and empty texts are scored as one empty line; whole texts count, however long.  Labels without a
+    quality or a document are left out; of several for one id the highest counts.  Without labels of both kinds the
+    score is one constant: high, unless all are 0.  An empty table gives an empty result; further columns, whatever
+    their names, are not read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return score(rows, train(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")))
 

@@ -32,6 +32,19 @@ def test_odd_rows(odd, none, labels):
     assert quality.classify(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_documents_of_many_lines_are_learned_from(spark, monkeypatch):
+    line = {1: "Plain prose about a thing that was said here, in whole sentences.", 0: "BUY!!! NOW $$$ | | | 777 #### CLICK"}
+    rows = [(i, "\n".join([line[i % 2]] * 4000)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for lines, taken in ((300_000, None), (20_000, 6)):
+        monkeypatch.setattr(quality, "TRAIN_LINES", lines)
+        found = quality.sample(docs, labels, train_lines=lines).groupBy("quality").count().collect()
+        assert len(found) == 2 and (taken is None or sum(r["count"] for r in found) == taken)
+    got = {r.doc_id: r.predicted for r in quality.score(docs, quality.train(docs, labels, train_lines=20_000)).collect()}
+    assert got == {i: i % 2 for i in range(40)}
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     model = quality.Chain(rng.normal(size=5), stay=0.7)
