@@ -21,6 +21,7 @@ class ScoringConfig:
     saturation: float | None = None
 
 
+#: Weights by version.
 CONFIGS: dict[str, ScoringConfig] = {
     "exact-match-v1": ScoringConfig({"taste": 1.0}),
     "discovery-v1": ScoringConfig({"taste": 0.5, "adjacency": 0.5, "discovery": 2.0, "recency": 0.3}, 5.0),

@@ -9,9 +9,15 @@ TRAILING_RUNS, DROP_SHARE, LEAST_RUNS = 7, 0.5, 3
 
 
 def latest_snapshot(snapshots: DataFrame, n: int = 1) -> DataFrame:
-    """Rows of the n-th latest capture of each source."""
+    """Rows of the n-th latest capture of each source.
+
+    Captures are ranked on one row each; shows are then picked by a join with one row per source, which also prunes
+    a table that is stored by source or capture.
+    """
     order = Window.partitionBy("source").orderBy(F.desc("captured_at"))
-    return snapshots.withColumn("_n", F.dense_rank().over(order)).filter(F.col("_n") == n).drop("_n")
+    runs = snapshots.select("source", "captured_at").distinct().withColumn("_n", F.row_number().over(order))
+    wanted = runs.filter(F.col("_n") == n).drop("_n")
+    return snapshots.join(F.broadcast(wanted), ["source", "captured_at"], "left_semi")  # one row per source
 
 
 def previous_snapshot(snapshots: DataFrame) -> DataFrame:
@@ -58,19 +64,25 @@ def change_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("source", "change_type", "detected_at").agg(F.count(F.lit(1)).alias("n"))
 
 
+def anomaly(n: Column, known: Column, mean: Column, drop: float = DROP_SHARE, least: int = LEAST_RUNS) -> Column:
+    """Why a run of ``n`` events after ``known`` runs of this mean is anomalous; null if it isn't."""
+    sudden = (known >= least) & (mean > 0) & (n < mean * (1 - drop))
+    # The messages.
+    return F.when(n == 0, F.format_string("Source '%s' returned 0 events", "source")).when(
+        sudden, F.format_string("Source '%s' returned %d events, trailing mean %.1f", F.col("source"), n, mean)
+    )
+
+
 def source_health(counts: DataFrame, window: int = TRAILING_RUNS, drop: float = DROP_SHARE, least: int = LEAST_RUNS) -> DataFrame:
     """Every run of each source (source, captured_at, n) against the runs before it.
 
     No rows at all is an anomaly, and so is a drop below the share of the trailing mean once there are enough runs;
-    anomalous runs count in the means after them.  A latest row per source is that source's health.
+    anomalous runs count in the means after them.  A latest row per source is that source's health.  A run that
+    returned nothing is known only by a row with n = 0, which the caller's calendar of runs supplies.
     """
     runs = Window.partitionBy("source").orderBy("captured_at")
     before = runs.rowsBetween(-window, -1)
-    mean, known = F.avg("n").over(before), F.count("n").over(before)
-    sudden = (known >= least) & (mean > 0) & (F.col("n") < mean * (1 - drop))
-    reason = F.when(F.col("n") == 0, F.format_string("Source '%s' returned 0 events", "source")).when(
-        sudden, F.format_string("Source '%s' returned %d events, trailing mean %.1f", F.col("source"), F.col("n"), mean)
-    )
+    reason = anomaly(F.col("n"), F.count("n").over(before), F.avg("n").over(before), drop, least)
     marked = counts.withColumn("anomaly_reason", reason).withColumn("anomaly_flag", F.col("anomaly_reason").isNotNull())
     good = F.when(~F.col("anomaly_flag"), F.col("captured_at"))
     return marked.select(

@@ -49,17 +49,24 @@ def resolve_exact(names: DataFrame, artists: DataFrame, match_empty_norm: bool =
     return _match(asked.join(_lowest(known, "norm"), "norm"), "exact")
 
 
-def best_of(asked: list[str], known: list[str], floor: float) -> list[tuple[int, float]]:
-    """For each asked string the first known one of greatest ratio, and that ratio; (-1, 0) below ``floor``.
-
-    Two bounds are never below the ratio: twice the shorter length, and twice the characters in common, over both
-    lengths.  Known strings are tried from the highest bound down until it falls below the best found.
-    """
+def letters(known: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The characters that occur, and how often each does in each string."""
     alphabet = {c: i for i, c in enumerate(sorted(set("".join(known))))}
     counts = np.zeros((len(known), len(alphabet)), np.int32)
     for i, k in enumerate(known):
         for c, n in Counter(k).items():
             counts[i, alphabet[c]] = n
+    return alphabet, counts
+
+
+def best_of(asked: list[str], known: list[str], floor: float, table: tuple[dict[str, int], np.ndarray] | None = None) -> list[tuple[int, float]]:
+    """For each asked string the first known one of greatest ratio, and that ratio; (-1, 0) below ``floor``.
+
+    Two bounds are never below the ratio: twice the shorter length, and twice the characters in common, over both
+    lengths.  Known strings are tried from the highest bound down until it falls below the best found.  ``table`` is
+    ``letters`` of ``known``, for callers that ask in batches.
+    """
+    alphabet, counts = table or letters(known)
     lengths = counts.sum(1)
     out = []
     for a in asked:
@@ -97,8 +104,9 @@ def resolve_fuzzy(names: DataFrame, artists: DataFrame, threshold: float = MATCH
         order = [r["known"] for r in sorted(listed, key=lambda r: r["artist_id"])]
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table = letters(order)
             for batch in batches:
-                found = best_of(batch["norm"].tolist(), order, floor)
+                found = best_of(batch["norm"].tolist(), order, floor, table)
                 rows = [(n, order[i], s) for n, (i, s) in zip(batch["norm"], found) if i >= 0]
                 yield pd.DataFrame(rows, columns=["norm", "known", "score"]).astype({"score": "float64"})
 

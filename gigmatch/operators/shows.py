@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gigmatch.functions import links, scoring, venues
@@ -77,6 +77,13 @@ def read_jdbc_matrix(venue_table: DataFrame, base_matrix: DataFrame, home_cell:
     )
 
 
+def read_jdbc_tables(spark: SparkSession, url: str, venue_table: str, matrix_table: str, home_cell: str, properties: dict[str, str] = {}) -> DataFrame:
+    """``read_jdbc_matrix`` of two tables in a database; only the home cell's rows leave it."""
+    venue = spark.read.jdbc(url, venue_table, properties=properties).select(F.col("venue_id"), F.col("name"))
+    matrix = spark.read.jdbc(url, matrix_table, properties=properties).select("venue_id", "cell_id", "base_seconds", "base_meters")
+    return read_jdbc_matrix(venue, matrix, home_cell)
+
+
 def venue_travel(venue_names: DataFrame, travel: DataFrame) -> DataFrame:
     """(venue, minutes, miles): the first travel row, by venue_id, whose name holds the venue's or lies in it.
 

@@ -121,33 +121,27 @@ COSINE = f"""SELECT x.key AS a, y.key AS b, sum(x.weight * y.weight) / (any_valu
     FROM t x JOIN t y USING (tag) JOIN n nx ON nx.key = x.key JOIN n ny ON ny.key = y.key GROUP BY 1, 2"""
 
 
-def size_tags(spark, sf):
-    """Performers' size tags alone: vectors of few tags that many share."""
-    return tagged(spark, sf).filter(F.col("tag").startswith("size-"))
+ALL_COSINE = f"(WITH t AS ({TAG_ROWS}), n AS (SELECT key, sqrt(sum(weight * weight)) AS norm FROM t GROUP BY 1) {COSINE})"
 
 
-SIZE_TAGS = f"SELECT * FROM ({TAG_ROWS}) WHERE tag LIKE 'size-%'"
-SIZE_COSINE = f"(WITH t AS ({SIZE_TAGS}), n AS (SELECT key, sqrt(sum(weight * weight)) AS norm FROM t GROUP BY 1) {COSINE})"
-
-
-@query(f"SELECT x.key AS a, y.key AS b, tag, x.weight AS wa, y.weight AS wb FROM ({SIZE_TAGS}) x JOIN ({SIZE_TAGS}) y USING (tag)")
+@query(f"SELECT x.key AS a, y.key AS b, tag, x.weight AS wa, y.weight AS wb FROM ({TAG_ROWS}) x JOIN ({TAG_ROWS}) y USING (tag)")
 def tag_overlap(spark, sf):
-    tags = size_tags(spark, sf)
+    tags = tagged(spark, sf)
     return history.tag_overlap(tags, tags)
 
 
-@query(f"SELECT a, b, round(similarity, 6) AS similarity FROM {SIZE_COSINE}")
+@query(f"SELECT a, b, round(similarity, 6) AS similarity FROM {ALL_COSINE}")
 def cosine(spark, sf):
-    tags = size_tags(spark, sf)
+    tags = tagged(spark, sf)
     return history.cosine(tags, tags).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
     f"""SELECT key, neighbor, similarity, rank::INTEGER AS rank FROM (SELECT a AS key, b AS neighbor, round(similarity, 6) AS similarity,
-    row_number() OVER (PARTITION BY a ORDER BY round(similarity, 6) DESC, b) AS rank FROM {SIZE_COSINE} WHERE a <> b AND round(similarity, 6) > 0) WHERE rank <= 10"""
+    row_number() OVER (PARTITION BY a ORDER BY round(similarity, 6) DESC, b) AS rank FROM {ALL_COSINE} WHERE a <> b AND round(similarity, 6) > 0) WHERE rank <= 10"""
 )
 def nearest_neighbors(spark, sf):
-    return history.nearest_neighbors(size_tags(spark, sf))
+    return history.nearest_neighbors(tagged(spark, sf))
 
 
 @query(
@@ -228,6 +222,18 @@ def resolve_events(spark, sf):
     return jobs.resolve_events(views.shows(spark, sf), views.artists(spark, sf), fuzzy=False)[0]
 
 
+def spelled(spark, sf):
+    """Shows whose headliners are spelled as in ``dirty``."""
+    return views.shows(spark, sf).drop("headliner").join(dirty(spark, sf).select("event_id", F.col("name").alias("headliner")), "event_id")
+
+
+@query()
+def resolve_events_fuzzy(spark, sf):
+    """All three steps on names with variants; every seventh performer's name comes with an identifier."""
+    known = views.artists(spark, sf).filter("mbid IS NOT NULL AND artist_id % 7 = 0").select(F.upper("raw_name").alias("name"), F.col("mbid").alias("event_mbid"))
+    return jobs.resolve_events(spelled(spark, sf), views.artists(spark, sf), mbids=known)[0]
+
+
 def search_results(spark, sf):
     """Three results per performer: another name, the name in capitals, the name with a blank identifier."""
     known = views.artists(spark, sf).select("raw_name", "artist_id")
@@ -274,11 +280,12 @@ def score_terms(spark, sf):
     return artist_scores(spark, sf)
 
 
-@query("""SELECT a.event_id, a.artist_id, 'exact-match-v1' AS version_a, 'discovery-v1' AS version_b, a.score_total AS total_a, b.score_total AS total_b,
-    round(b.taste_score - a.taste_score, 6) AS taste_delta, round(b.adjacency_score - a.adjacency_score, 6) AS adjacency_delta,
-    round(b.discovery_score - a.discovery_score, 6) AS discovery_delta, round(b.recency_score - a.recency_score, 6) AS recency_delta,
-    0.0::DOUBLE AS distance_delta, round(b.score_total - a.score_total, 6) AS total_delta
-    FROM artist_scores a JOIN artist_scores b USING (event_id, artist_id) WHERE a.scoring_version = 'exact-match-v1' AND b.scoring_version = 'discovery-v1'""")
+PIVOT = ", ".join(f"max({c}) FILTER (scoring_version = '{v}') AS {c.removesuffix('_score')}_{k}" for k, v in (("a", "exact-match-v1"), ("b", "discovery-v1")) for c in ("taste_score", "adjacency_score", "discovery_score", "recency_score", "score_total"))
+DELTAS = ", ".join(f"round({t}_b - {t}_a, 6) AS {t}_delta" for t in ("taste", "adjacency", "discovery", "recency"))
+
+
+@query(f"""SELECT event_id, artist_id, 'exact-match-v1' AS version_a, 'discovery-v1' AS version_b, score_total_a AS total_a, score_total_b AS total_b, {DELTAS},
+    0.0::DOUBLE AS distance_delta, round(score_total_b - score_total_a, 6) AS total_delta FROM (SELECT event_id, artist_id, {PIVOT} FROM artist_scores GROUP BY 1, 2)""")
 def ab_diff(spark, sf):
     return scoring.ab_diff(views.signals(spark, sf), "exact-match-v1", "discovery-v1")
 

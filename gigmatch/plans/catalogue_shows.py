@@ -27,6 +27,8 @@ from gigmatch.streaming import streams
 
 __all__ = ["QUERIES", "SQL"]
 
+#: Ids of shows that share a page: pages grow in number with the table, not in length.
+PAGE = 200
 MADE = "source, source_id, headliner, array_to_string(openers, '+') AS openers, date, show_time, venue, ticket_url"
 
 
@@ -75,16 +77,16 @@ def parse_ticketing_json(spark, sf):
         F.struct(F.struct(F.col("date").cast("string").alias("localDate"), F.concat("show_time", F.lit(":00")).alias("localTime")).alias("start")).alias("dates"),
         F.struct(F.when(e % 7 != 0, F.array(F.struct(F.col("venue").alias("name")))).alias("venues"), acts.alias("attractions")).alias("_embedded"),
     )
-    pages = views.shows(spark, sf).groupBy((e % 500).alias("page")).agg(F.collect_list(event).alias("events"))
+    pages = views.shows(spark, sf).groupBy(F.floor(e / PAGE).alias("page")).agg(F.collect_list(event).alias("events"))
     return flat(json_feeds.parse_ticketing_json(pages.select(obj(_embedded=F.struct("events")).alias("raw_json")), "tm"))
 
 
-@query("""SELECT 'flat' AS source, source_id, headliner || ' & Friends' AS headliner, '' AS openers, date, show_time, 'The Room' AS venue, ticket_url
+@query("""SELECT 'flat' AS source, source_id, headliner || ' & Friends, &lt;b> café ©' AS headliner, '' AS openers, date, show_time, 'The Room' AS venue, ticket_url
     FROM shows WHERE event_id % 6 <> 0""")
 def parse_flat_events_json(spark, sf):
-    title = F.concat("headliner", F.lit(" &#38; Friends"), F.when(F.col("event_id") % 6 == 0, " CANCELLED").otherwise(""))
+    title = F.concat("headliner", F.lit(" &#38; Friends, &#38;lt;b&#62; caf&eacute; &copy;"), F.when(F.col("event_id") % 6 == 0, " CANCELLED").otherwise(""))
     event = F.struct(F.concat_ws(" ", F.col("date").cast("string"), F.concat("show_time", F.lit(":00"))).alias("start_date"), title.alias("title"), F.col("source_id").alias("id"), F.col("ticket_url").alias("url"))
-    pages = views.shows(spark, sf).groupBy((F.col("event_id") % 500).alias("page")).agg(F.collect_list(event).alias("events"))
+    pages = views.shows(spark, sf).groupBy(F.floor(F.col("event_id") / PAGE).alias("page")).agg(F.collect_list(event).alias("events"))
     return flat(json_feeds.parse_flat_events_json(pages.select(obj(events=F.col("events")).alias("raw_json")), "flat", "The Room"))
 
 
@@ -95,7 +97,7 @@ def extract_jsonld_events(spark, sf):
     start = F.concat(F.date_format("date", "yyyy-M-d"), F.coalesce(F.concat(F.lit("T"), "show_time", F.lit("-7:00")), F.lit("")))
     body = F.to_json(F.struct(F.when(e % 8 == 0, "Closed today").otherwise(F.col("headliner")).alias("name"), start.alias("startDate"), F.col("source_id").alias("@id"), F.col("ticket_url").alias("url")))
     block = F.concat(F.lit('<div class="event"><script type="application/ld+json">'), body, F.lit("</script></div>"))
-    pages = views.shows(spark, sf).groupBy((e % 300).alias("page")).agg(F.array_join(F.collect_list(block), "\n").alias("html"))
+    pages = views.shows(spark, sf).groupBy(F.floor(e / PAGE).alias("page")).agg(F.array_join(F.collect_list(block), "\n").alias("html"))
     return flat(html_feeds.extract_jsonld_events(pages, "ld", "House", "https://house.example.org/"))
 
 
@@ -105,7 +107,7 @@ def extract_embedded_json_events(spark, sf):
     start = F.concat(F.col("date").cast("string"), F.coalesce(F.concat(F.lit("T"), "show_time", F.lit(":00-08:00")), F.lit("")))
     item = F.struct(F.when(e % 9 == 0, "closed").otherwise(F.col("headliner")).alias("title"), start.alias("start"), F.col("source_id").alias("id"), F.col("ticket_url").alias("url"))
     held = F.replace(F.to_json(F.collect_list(item)), F.lit('"'), F.lit("&quot;"))
-    pages = views.shows(spark, sf).groupBy((e % 300).alias("page")).agg(F.concat(F.lit('<div class="cal" data-events="'), held, F.lit('"></div>')).alias("html"))
+    pages = views.shows(spark, sf).groupBy(F.floor(e / PAGE).alias("page")).agg(F.concat(F.lit('<div class="cal" data-events="'), held, F.lit('"></div>')).alias("html"))
     return flat(html_feeds.extract_embedded_json_events(pages, "data-events", "emb", "Tavern"))
 
 
@@ -124,7 +126,7 @@ def extract_card_events(spark, sf):
         F.lit('</h2><span class="venue">'), "venue", F.lit('</span><span class="time">'), clock, F.lit('</span><a href="'), "ticket_url", F.lit('">tickets</a></div>'),
     )
     rows = views.shows(spark, sf).filter("ticket_url IS NOT NULL")
-    pages = rows.groupBy((F.col("event_id") % 300).alias("page")).agg(F.array_join(F.collect_list(F.concat(card, card)), "<br>").alias("html"))
+    pages = rows.groupBy(F.floor(F.col("event_id") / PAGE).alias("page")).agg(F.array_join(F.collect_list(F.concat(card, card)), "<br>").alias("html"))
     return flat(html_feeds.extract_card_events(pages, CARD, as_of()))
 
 
@@ -203,14 +205,30 @@ def raw_shows(spark, sf):
 
 @query(f"SELECT source, TIMESTAMP '{views.REF}' AS captured_at, count(*) AS event_count, sum(length(headliner))::BIGINT AS letters FROM shows GROUP BY 1")
 def write_snapshot(spark, sf):
+    path = streams.shared_dir(spark, "snapshots")
+    files.write_snapshot(raw_shows(spark, sf), ref(), path)
+    letters = F.sum(F.length("headliner")).alias("letters")
+    return spark.read.parquet(path).groupBy("source", "captured_at").agg(F.count(F.lit(1)).alias("event_count"), letters)
+
+
+@query(f"SELECT {MADE} FROM shows")
+def read_snapshots(spark, sf):
+    path = streams.shared_dir(spark, "snapshots")
+    files.write_snapshot(raw_shows(spark, sf), ref(), path)
+    return flat(files.read_snapshots(spark, path))
+
+
+@query(f"SELECT source, TIMESTAMP '{views.REF}' AS captured_at, count(*) AS event_count, sum(length(headliner))::BIGINT AS letters FROM shows GROUP BY 1 ")
+def snapshot_rows(spark, sf):
     made = files.snapshot_rows(raw_shows(spark, sf), ref())
     names = F.from_json("raw_content", "array<struct<headliner: string>>")
     letters = F.aggregate(names, F.lit(0).cast("long"), lambda s, x: s + F.length(x["headliner"]))
-    return made.select("source", "captured_at", "event_count", letters.alias("letters"))
+    counted = made.select("source", "captured_at", "event_count", letters.alias("letters")).groupBy("source", "captured_at")
+    return counted.agg(F.sum("event_count").alias("event_count"), F.sum("letters").alias("letters"))
 
 
-@query(f"SELECT {MADE} FROM shows")
-def read_snapshots(spark, sf):
+@query(f"SELECT {MADE} FROM shows ")
+def parse_snapshots(spark, sf):
     return flat(files.parse_snapshots(files.snapshot_rows(raw_shows(spark, sf), ref())))
 
 
@@ -656,7 +674,7 @@ def stream_source_health(spark, sf):
     rows = run_counts(spark, sf)
     path, out = streams.shared_dir(spark, "counts-in"), streams.shared_dir(spark, "counts-out")
     first = F.lit("2024-01-16").cast("date")
-    rows.filter(F.col("captured_at") < first).coalesce(1).write.parquet(path)
+    rows.filter(F.col("captured_at") < first).coalesce(1).write.parquet(path)  # one row per source and day
     rows.filter(F.col("captured_at") >= first).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("source string, captured_at date, n bigint").option("maxFilesPerTrigger", 1).parquet(path)
     streams.stream_source_health(stream, out, streams.shared_dir(spark, "state"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gigmatch.functions import links, scoring
-from gigmatch.functions.names import artist_key, normalize_name, track_match_score
+from gigmatch.functions.names import MATCH_THRESHOLD, REVIEW_FLOOR, artist_key, normalize_name, track_match_score
 from gigmatch.operators import captures, history, resolution, shows, upserts
 from gigmatch.sources.json_feeds import parse_play_history
 
@@ -39,17 +41,26 @@ def ingest_events(raw_events: DataFrame, stored_events: DataFrame, previous: Dat
     }
 
 
-def resolve_events(events: DataFrame, artists: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(matches, unmatched): one row per show and performer, the last billed name wins; names that match nothing are kept."""
+def resolve_events(
+    events: DataFrame, artists: DataFrame, fuzzy: bool = True, mbids: DataFrame | None = None, threshold: float = MATCH_THRESHOLD, floor: float = REVIEW_FLOOR
+) -> tuple[DataFrame, DataFrame]:
+    """(matches, unmatched): one row per show and performer, the last billed name wins; names that match nothing are kept.
+
+    A name is tried by its identifier (``mbids``: name, event_mbid), then by its normal form, then by similarity; the
+    first that knows it decides.
+    """
     names = resolution.event_artist_names(events)
-    exact = resolution.resolve_exact(names, artists)
-    found = exact
-    if fuzzy:
-        rest = names.join(exact.select("name"), "name", "left_anti")
-        found = exact.unionByName(resolution.resolve_fuzzy(rest, artists))
+    steps = [] if mbids is None else [lambda rest: resolution.resolve_mbid(rest.join(mbids.dropDuplicates(["name"]), "name"), artists)]
+    steps += [lambda rest: resolution.resolve_exact(rest, artists)]
+    steps += [lambda rest: resolution.resolve_fuzzy(rest, artists, threshold, floor)] if fuzzy else []
+    rest, parts = names.select("name").distinct(), []
+    for step in steps:
+        parts.append(step(rest))
+        rest = rest.join(parts[-1].select("name"), "name", "left_anti")
+    found = reduce(DataFrame.unionByName, parts)
     linked = names.join(found, "name")
     rows = linked.select("event_id", "artist_id", F.col("name").alias("matched_name"), "match_type", "confidence", "status", "pos")
-    unmatched = names.join(found.select("name"), "name", "left_anti").select("event_id", "pos", "name")
+    unmatched = names.join(rest, "name", "left_semi").select("event_id", "pos", "name")
     return resolution.last_write_wins(rows, ["event_id", "artist_id"], ["pos"]).drop("pos"), unmatched
 
 

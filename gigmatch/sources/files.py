@@ -12,13 +12,19 @@ _EVENT_JSON = """array<struct<source: string, source_id: string, headliner: stri
     doors_time: string, show_time: string, venue: string, on_sale_date: string, ticket_url: string>>"""
 
 
-def snapshot_rows(raw_events: DataFrame, captured_at: Column) -> DataFrame:
-    """(source, captured_at, raw_content, event_count): one capture per source, its shows as one JSON array."""
+def snapshot_rows(raw_events: DataFrame, captured_at: Column, per_value: int = 1000) -> DataFrame:
+    """(source, captured_at, part, raw_content, event_count): a capture's shows as JSON arrays.
+
+    An array holds about ``per_value`` shows, dealt by a hash of their ids: a large source gets more arrays, not a
+    longer one.
+    """
     event = F.struct(*[F.col(c).cast("string").alias(c) if c != "openers" else F.col(c) for c in RAW_EVENT])
+    sizes = raw_events.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / per_value).alias("_parts"))
+    rows = raw_events.join(sizes, "source").withColumn("part", F.pmod(F.xxhash64("source_id"), F.col("_parts")).cast("int"))
     listed = F.array_sort(F.collect_list(F.struct("source_id", event.alias("event"))))
-    grouped = raw_events.groupBy("source").agg(listed.alias("_l"), F.count(F.lit(1)).alias("event_count"))
+    grouped = rows.groupBy("source", "part").agg(listed.alias("_l"), F.count(F.lit(1)).alias("event_count"))
     content = F.to_json(F.transform("_l", lambda x: x["event"]))
-    return grouped.select("source", captured_at.alias("captured_at"), content.alias("raw_content"), "event_count")
+    return grouped.select("source", captured_at.alias("captured_at"), "part", content.alias("raw_content"), "event_count")
 
 
 def write_snapshot(raw_events: DataFrame, captured_at: Column, path: str) -> None:
@@ -65,13 +71,13 @@ def digest_json(digest: DataFrame) -> DataFrame:
 
 
 def write_digest(digest: DataFrame, format: str, path: str) -> None:
-    """The ordered digest as json, text or ics."""
+    """The ordered digest as json, text or ics; an ics calendar is one file, as its first and last lines must be."""
     ordered = digest.orderBy(F.desc("score_total"), "date", "source_id")
     column = {"json": digest_json, "text": digest_lines, "ics": digest_calendar}[format](ordered).select(F.col("entry" if format != "text" else "line").alias("value"))
     if format == "ics":
         spark = digest.sparkSession
         edge = lambda line: spark.createDataFrame([(line,)], "value string")
-        column = edge("BEGIN:VCALENDAR\nVERSION:2.0").union(column).union(edge("END:VCALENDAR"))
+        column = edge("BEGIN:VCALENDAR\nVERSION:2.0").union(column).union(edge("END:VCALENDAR")).coalesce(1)
     column.write.mode("overwrite").text(path)
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gigmatch.functions.times import doors_show_times, infer_year_date, month_to_num, parse_full_date, split_billing, unescape_html
+from gigmatch.functions.times import doors_show_times, infer_year_date, month_to_num, parse_full_date, rest_of, split_billing, unescape_html
 from gigmatch.sources.json_feeds import clock, filled, raw_event
 
 WEEKDAYS = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
@@ -89,11 +89,16 @@ def extract_listing_lines(lines: DataFrame, source: str, venue: str, url: str, t
     rows = rows.select("date", names.alias("names"), times.alias("times"), F.get(names, F.lit(0)).alias("headliner")).filter("headliner <> ''")
     return rows.select(*raw_event(
         source=F.lit(source), source_id=_date_id(F.col("date"), F.col("headliner")), headliner=F.col("headliner"),
-        openers=F.slice("names", 2, 1000), date=F.col("date"), doors_time=F.col("times.doors"), show_time=F.col("times.show"),
+        openers=rest_of(F.col("names")), date=F.col("date"), doors_time=F.col("times.doors"), show_time=F.col("times.show"),
         venue=F.lit(venue), ticket_url=F.lit(url),
     ))
 
 
+#: Phrases of weekly nights, and names that are no performers.
+WEEKLY = ("every thursday", "every monday", "jam session")
+NO_SHOW = "KARAOKE|BINGO"
+
+
 def extract_paragraph_events(paragraphs: DataFrame, source: str, venue: str, url: str, today: Column) -> DataFrame:
     """Shows from paragraphs (``paragraph``): one each, named by its first line and dated by the first line with a date."""
     text = F.trim(F.replace("paragraph", F.lit("​"), F.lit("")))
@@ -103,13 +108,15 @@ def extract_paragraph_events(paragraphs: DataFrame, source: str, venue: str, url
     month, day = month_to_num(F.regexp_extract(dated, pattern, 1)), F.regexp_extract(dated, pattern, 2).try_cast("int")
     rows = paragraphs.select(text.alias("text"), infer_year_date(month, day, today).alias("date"))
     low = F.lower("text")
-    weekly = low.contains("every thursday") | low.contains("every monday") | low.contains("jam session")
+    weekly = F.lit(False)
+    for phrase in WEEKLY:
+        weekly = weekly | low.contains(phrase)
     lines = F.split("text", "\n")
     rows = rows.filter(F.col("date").isNotNull() & ~weekly).select("text", "date", F.trim(F.get(lines, F.lit(0))).alias("headliner"), lines.alias("lines"))
-    rows = rows.filter((F.col("headliner") != "") & ~F.upper("headliner").rlike("KARAOKE|BINGO"))
-    guests = F.element_at(F.filter(F.slice("lines", 2, 1000), lambda x: F.lower(x).rlike("^(?:w/|with )")), -1)
+    rows = rows.filter((F.col("headliner") != "") & ~F.upper("headliner").rlike(NO_SHOW))
+    guests = F.element_at(F.filter(rest_of(F.col("lines")), lambda x: F.lower(x).rlike("^(?:w/|with )")), -1)
     with_guests = F.filter(F.transform(F.split(F.regexp_replace(guests, "(?i)^(?:w/|with )", ""), "&"), lambda n: F.trim(n)), lambda n: n != "")
-    has = F.exists(F.slice("lines", 2, 1000), lambda x: F.lower(x).rlike("^(?:w/|with )"))
+    has = F.exists(rest_of(F.col("lines")), lambda x: F.lower(x).rlike("^(?:w/|with )"))
     times = doors_show_times(F.col("text"))
     rows = rows.select("date", "headliner", F.when(has, with_guests).otherwise(F.array().cast("array<string>")).alias("openers"), times.alias("times"))
     return rows.select(*raw_event(

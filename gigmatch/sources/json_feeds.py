@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gigmatch.functions.times import unescape_html
+from gigmatch.functions.times import rest_of, unescape_html
 from gigmatch.operators.history import valid_plays
 
 #: Columns of a normalised show; times of day are ``HH:mm`` strings.
@@ -66,7 +66,7 @@ def parse_ticketing_json(raw: DataFrame, source: str) -> DataFrame:
         source=F.lit(source),
         source_id=F.col("e.id"),
         headliner=F.coalesce(F.get("acts", F.lit(0)), F.col("e.name")),
-        openers=F.slice("acts", 2, 1_000_000),
+        openers=rest_of(F.col("acts")),
         date=F.try_to_date(F.col("e.dates.start.localDate"), "yyyy-MM-dd"),
         show_time=clock(F.col("e.dates.start.localTime")),
         venue=F.coalesce(venue, F.lit("Unknown Venue")),

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gigmatch.functions.scoring import HALF_LIFE_DAYS, decay_weight
-from gigmatch.operators.captures import source_health
+from gigmatch.operators.captures import DROP_SHARE, LEAST_RUNS, TRAILING_RUNS, anomaly
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; a temporary one only on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='gigmatch-')}"
@@ -77,17 +82,28 @@ def diff_all(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return new.unionByName(added)
 
 
-def stream_source_health(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Write the health of each run (source, captured_at, n) as runs arrive in order; counts so far are kept by batch."""
-    spark = stream.sparkSession
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        known = batch.select("source", "captured_at", "n")
-        known.write.mode("overwrite").parquet(f"{out}/counts/{batch_id}")
-        paths = [f"{out}/counts/{i}" for i in range(batch_id + 1)]
-        rows = spark.read.schema("source string, captured_at date, n bigint").parquet(*paths)
-        fresh = source_health(rows).join(known.select("source", "captured_at"), ["source", "captured_at"], "left_semi")
-        fresh.write.mode("overwrite").parquet(f"{out}/health/batch={batch_id}")
+def stream_source_health(stream: DataFrame, out: str, checkpoint: str, window: int = TRAILING_RUNS, drop: float = DROP_SHARE, least: int = LEAST_RUNS) -> None:
+    """Write the health of each run (source, captured_at, n) as runs of a source arrive in order.
 
-    drain(stream, "append", checkpoint, each)
+    The state of a source is its last ``window`` counts and its last success, whatever the number of runs so far.
+    """
 
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, good = state.get if state.exists else ("", None)
+        counts = [int(n) for n in held.split(",") if n]
+        rows = []
+        for run in pd.concat(list(frames)).sort_values("captured_at").itertuples():
+            mean, n = (sum(counts) / len(counts) if counts else None), int(run.n)
+            if n and not (len(counts) >= least and mean > 0 and n < mean * (1 - drop)):
+                good = run.captured_at
+            known, counts = len(counts), [*counts, n][-window:]
+            rows.append((key[0], run.captured_at, good, n, counts, known, mean))
+        state.update((",".join(map(str, counts)), good))
+        yield pd.DataFrame(rows, columns=["source", "captured_at", "last_success_at", "last_event_count", "trailing_counts", "known", "mean"])
+
+    schema = "source string, captured_at date, last_success_at date, last_event_count bigint, trailing_counts array<bigint>, known int, mean double"
+    runs = stream.select("source", "captured_at", "n").groupBy("source")
+    found = runs.applyInPandasWithState(step, schema, "counts string, last_success_at date", "append", GroupStateTimeout.NoTimeout)
+    reason = anomaly(F.col("last_event_count"), F.col("known"), F.col("mean"), drop, least)
+    judged = found.withColumn("anomaly_reason", reason).withColumn("anomaly_flag", F.col("anomaly_reason").isNotNull()).drop("known", "mean")
+    drain(judged, "append", checkpoint, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/health/batch={i}"))

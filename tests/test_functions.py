@@ -107,6 +107,19 @@ def test_entities(spark):
     assert value(spark, times.unescape_html(F.lit("Rock &#8217;n&#x27; Roll &amp; &quot;Soul&quot; &# &#zz;"))) == "Rock ’n' Roll & \"Soul\" &# &#zz;"
 
 
+@pytest.mark.parametrize(
+    "text, plain", [("&#38;lt;b&#62; caf&eacute; &copy;", "&lt;b> café ©"), ("&amp;amp;", "&amp;"), (None, None), ("", ""), ("a & b &nosuch;", "a & b &nosuch;")]
+)
+def test_entities_are_decoded_once(spark, text, plain):
+    assert value(spark, times.unescape_html(F.lit(text).cast("string"))) == plain
+
+
+def test_all_openers_stay(spark):
+    got = value(spark, times.split_billing(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1500)), lambda i: i.cast("string")), " • ")))
+    assert got.headliner == "0" and got.openers == [str(i) for i in range(1, 1501)]
+    assert value(spark, times.split_billing(F.lit("")))["openers"] == []
+
+
 def test_venues(spark):
     assert value(spark, venues.canonicalize_venue(F.lit(" Revolution Hall - Portland "))) == "Revolution Hall"
     assert value(spark, venues.venue_size(F.lit("The Aladdin Theater"))) == "mid"

@@ -58,6 +58,35 @@ def test_resolution_bands(spark, world):
     assert [r.name for r in unmatched.collect()] == ["Nobody Known At All"]
 
 
+def test_resolution_by_identifier_and_thresholds(spark, world):
+    artists, _, _, events = world
+    mbids = spark.createDataFrame([("Nobody Known At All", "m3"), ("Mount Joy", "unknown"), ("Wilco", "m1")], "name string, event_mbid string")
+    matches, unmatched = jobs.resolve_events(events, artists, mbids=mbids)
+    got = {(r.event_id, r.artist_id): (r.matched_name, r.match_type) for r in matches.collect()}
+    assert got == {(1, 1): ("Wilco", "mbid"), (2, 2): ("Built To Spill!", "exact"), (3, 3): ("Nobody Known At All", "mbid")}
+    assert unmatched.count() == 0
+    status = lambda **k: {r.event_id: r.status for r in jobs.resolve_events(events, artists, **k)[0].filter("match_type = 'fuzzy'").collect()}
+    assert status() == {1: "matched"} and status(threshold=0.95) == {1: "review"} and status(threshold=0.95, floor=0.9) == {}
+
+
+def test_jdbc_matrix(spark):
+    url = "jdbc:derby:memory:travel;create=true"
+    spark.createDataFrame([(1, "Hall"), (2, "Room")], "venue_id long, name string").write.option("createTableColumnTypes", "name VARCHAR(64)").jdbc(url, "venue")
+    spark.createDataFrame([(1, "home", 600, 1609), (2, "away", 60, 10)], "venue_id long, cell_id string, base_seconds int, base_meters int").write.option("createTableColumnTypes", "cell_id VARCHAR(64)").jdbc(url, "matrix")
+    assert [tuple(r) for r in shows.read_jdbc_tables(spark, url, "venue", "matrix", "home").collect()] == [(1, "Hall", 10, 1.0)]
+
+
+def test_snapshots_of_a_large_source_are_several_values(spark):
+    rows = spark.range(500).select(
+        F.lit("s").alias("source"), F.col("id").cast("string").alias("source_id"), F.lit("H").alias("headliner"), F.array().cast("array<string>").alias("openers"),
+        F.lit("2026-01-01").cast("date").alias("date"), *[F.lit(None).cast("string").alias(c) for c in ("doors_time", "show_time", "venue")],
+        F.lit(None).cast("date").alias("on_sale_date"), F.lit(None).cast("string").alias("ticket_url"),
+    )
+    made = files.snapshot_rows(rows, ref(), 50)
+    assert made.count() == 10 and made.agg(F.max("event_count")).first()[0] < 100
+    assert files.parse_snapshots(made).select("source_id").distinct().count() == 500
+
+
 def test_names_without_latin_letters_match_nothing(spark):
     artists = spark.createDataFrame([(1, "東京", None)], "artist_id long, raw_name string, mbid string")
     asked = spark.createDataFrame([("大阪",)], "name string")
