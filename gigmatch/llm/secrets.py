@@ -1,9 +1,9 @@
 """Secret scans through a trigram inverted index.
 
 From each rule's regular expression a Boolean query over trigrams is derived that every matching text satisfies.
-The index lists, for each trigram that some query names, the documents holding it; intersecting those postings
-gives each rule's candidates, and only candidates meet the expression itself.  A rule without a mandatory trigram
-is verified on every document.
+The index is stored by trigram: for each one that some query names, a posting list of the rows holding it, as bitmaps.
+Intersecting and uniting posting lists gives each rule's candidates, and only candidates meet the expression itself.
+A rule without a mandatory trigram is verified on every document.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as parser
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bounded, documents, materialise
+from gigmatch.llm.common import bitmaps, documents, has_bit, marked, materialise, with_rows
 
 #: Strings that a part of an expression may stand for are listed up to this many, then the list starts anew.
 MOST_STRINGS = 64
@@ -119,36 +118,36 @@ def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for c in trigram_query(r.regex) for o in c for t in o})
 
 
-def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram number, doc_id): which documents hold which of ``trigrams``, ASCII letters in either case."""
-    lowered = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+def trigram_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+    """Postings (trigram number, _bucket, _bits) of ``rows`` (text, _row), stored in the order of the trigrams.
+
+    They say which rows hold which of ``trigrams``, ASCII letters in either case.
+    """
+    lowered = rows.select("_row", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return lowered.select("doc_id", F.explode(held).alias("trigram"))
+    postings = bitmaps(lowered.select("_row", F.explode(held).alias("trigram")), "secret-postings", ["trigram"])
+    return materialise(postings.orderBy("trigram", "_bucket"), "secret-index")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -> DataFrame:
-    """(cand_id, rules): for each document the bits of the rules whose query its postings satisfy.
+    """(_bucket, _rule_<i>): bitmaps of the rows whose postings satisfy the query of rule i.
 
-    The postings of a document are united in bit words of 60 trigrams; the conjunctions are tests on those words.
+    All trigrams of an option must be there, one option of each condition, and all conditions.
     """
     number = {t: i for i, t in enumerate(trigrams)}
-    words = range((len(trigrams) + 59) // 60)
-    bit = lambda w: F.when(
-        F.floor(F.col("trigram") / 60) == w, F.expr("shiftleft(1L, cast(trigram % 60 as int))")
-    ).otherwise(F.lit(0).cast("long"))
-    held = index.groupBy("doc_id").agg(*[F.bit_or(bit(w)).alias(f"w{w}") for w in words])
-
-    def whole(option: frozenset[str]) -> Column:
-        masks = [sum(1 << (number[t] % 60) for t in option if number[t] // 60 == w) for w in words]
-        return reduce(lambda a, b: a & b, [F.col(f"w{w}").bitwiseAND(F.lit(m)) == F.lit(m) for w, m in zip(words, masks) if m])
-
-    found = F.lit(0)
+    named = []
     for i, rule in enumerate(rules):
         query = trigram_query(rule.regex)
-        if query:
-            holds = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(whole, c)) for c in query])
-            found = found.bitwiseOR(F.when(holds, F.lit(1 << i)).otherwise(F.lit(0)))
-    return held.select(F.col("doc_id").alias("cand_id"), found.alias("rules")).filter("rules <> 0")
+        for c, condition in enumerate(query):
+            named += [(number[t], i, len(query), c, o, len(option)) for o, option in enumerate(condition) for t in option]
+    spark = index.sparkSession
+    wanted = spark.createDataFrame(named, "trigram int, rule int, conditions int, condition int, option int, whole int")
+    found = index.join(F.broadcast(wanted), "trigram")  # a few hundred rows, from the rules alone
+    count, every = F.count(F.lit(1)), lambda n: F.col("n") == F.col(n)
+    options = found.groupBy("rule", "conditions", "condition", "option", "whole", "_bucket").agg(F.bitmap_and_agg("_bits").alias("_bits"), count.alias("n")).filter(every("whole"))
+    met = options.groupBy("rule", "conditions", "condition", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    both = met.groupBy("rule", "conditions", "_bucket").agg(F.bitmap_and_agg("_bits").alias("_bits"), count.alias("n")).filter(every("conditions"))
+    return both.groupBy("_bucket").agg(*[F.max(F.when(F.col("rule") == i, F.col("_bits"))).alias(f"_rule_{i}") for i in range(len(rules))])
 
 
 def _spans(text: Column, number: int, rule: Rule) -> Column:
@@ -157,9 +156,9 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
         F.split(text, rule.regex, -1),
         F.arrays_zip(
             F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)).alias("m"),
-            F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)).alias("g"),
+            *([F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)).alias("g")] if rule.group else []),
         ),
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit["m"]).alias("n"), F.length(hit["g"]).alias("g")),
+        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit["m"]).alias("n"), F.length(hit["g" if rule.group else "m"]).alias("g")),
     )
     kind = "array<struct<start:int,kind:int,end:int>>"
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
@@ -181,31 +180,39 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     )
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stored: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id and ``found``, spans (start, kind, end) by start, then kind.
 
-    Null text counts as empty; positions are code points, ends exclusive; an empty table gives an empty result.
-    Repeated ids share candidates and are verified row by row.
+    Null text counts as empty; whole texts count, however long; positions are code points, ends exclusive.  Repeated
+    rows and null ids are scanned row by row.  An empty table gives an empty result; further columns, whatever their
+    names, are not read.  ``stored``: ``docs`` reads files and repeats no row of them; else a copy is written.  Texts
+    are read twice where they lie, once for the index and once for verification, and never shuffled.
     """
+    rows = with_rows(docs.select("doc_id", "text"), "secret-rows", stored)
     trigrams = vocabulary(rules)
-    found = materialise(candidates(trigram_index(docs, trigrams), rules, trigrams), "secret-candidates")
-    near = bounded(found)
-    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    body = body.join(near, body["doc_id"].eqNullSafe(near["cand_id"]), "left")
+    indexed = {i for i, r in enumerate(rules) if trigram_query(r.regex)}
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    parts = []
-    for i, rule in enumerate(rules):
-        listed = F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False)) if trigram_query(rule.regex) else F.lit(True)
-        parts.append(F.when(listed & F.col("body").rlike(rule.regex), _spans(F.col("body"), i, rule)).otherwise(none))
-    return body.select("doc_id", F.array_sort(F.concat(*parts)).alias("found"))
+
+    def verify(df: DataFrame) -> DataFrame:
+        body = df.withColumn("_body", F.coalesce("text", F.lit("")))
+        parts = []
+        for i, rule in enumerate(rules):
+            listed = has_bit(F.col(f"_rule_{i}"), F.col("_row")) if i in indexed else F.lit(True)
+            parts.append(F.when(listed & F.col("_body").rlike(rule.regex), _spans(F.col("_body"), i, rule)).otherwise(none))
+        return body.select("doc_id", F.array_sort(F.concat(*parts)).alias("found"))
+
+    if not indexed:
+        return verify(rows)
+    near = materialise(candidates(trigram_index(rows, trigrams), rules, trigrams), "secret-candidates")
+    return marked(rows, near, [f"_rule_{i}" for i in range(len(rules))], verify)
 
 
 def op9_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = scan(documents(spark, sf_dir), stored=True)
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
     return found.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)],
         F.sha2(_joined(base, RULES), 256).alias("base_sha256"),
         _joined(F.col("found"), RULES).alias("spans"),

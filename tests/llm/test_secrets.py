@@ -5,8 +5,10 @@ import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gigmatch.llm import secrets
+from gigmatch.llm.common import has_bit
 
 BASE = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
@@ -80,3 +82,24 @@ def test_queries():
     by = {r.kind: secrets.trigram_query(r.regex) for r in secrets.RULES}
     assert by["hex"] == [] and by["access"] == [[frozenset({"aki", "kia"})]]
     assert frozenset({"tok", "oke", "ken"}) in by["assign"][0] and len(by["assign"][0]) == 6
+
+
+def test_postings_are_intersected(spark):
+    """Candidates are exactly the rows whose trigrams satisfy a rule's query."""
+    texts = ["password=abcdef", "AKIA", "kia aki", "aki", "secret token", "eyjx.eyj", "-----begin x private key-----", "nothing", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    trigrams = secrets.vocabulary(secrets.RULES)
+    near = secrets.candidates(secrets.trigram_index(rows, trigrams), secrets.RULES, trigrams)
+    got = rows.join(near, F.bitmap_bucket_number(F.col("_row") + 1) == F.col("_bucket"), "left")
+    got = got.select("_row", *[has_bit(F.col(f"_rule_{i}"), F.col("_row")).alias(f"r{i}") for i in range(len(secrets.RULES))]).collect()
+    for r in got:
+        low = (texts[r._row] or "").lower()
+        held = {low[i : i + 3] for i in range(len(low) - 2)}
+        for i, rule in enumerate(secrets.RULES):
+            query = secrets.trigram_query(rule.regex)
+            assert r[f"r{i}"] == (bool(query) and all(any(o <= held for o in c) for c in query)), (low, rule.kind)
+
+
+def test_rules_without_trigrams_scan_fully(spark):
+    rows = secrets.scan(spark.createDataFrame([(1, "f" * 30)], "doc_id long, text string"), (secrets.BASE[2],)).collect()
+    assert [(s.start, s.end) for s in rows[0].found] == [(0, 30)]
