@@ -2,8 +2,8 @@
 
 A classifier fitted on a labelled table gives every document posterior probabilities over the domains.  Projected
 gradient least squares then fits nonnegative document rates whose expected token totals per domain match the
-targets; rates start at 1, so the fit changes them no more than it has to.  Tokens are those of the public word
-vocabulary that documents are packed with.
+targets; rates start at 1, so the fit changes them no more than it has to.  Tokens are the greedy
+longest-match pieces of ``token_counts``.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gigmatch.llm.common import bitmaps, documents, has_bit, marked, materialise, slices, with_rows
 from gigmatch.llm.features import NAMES, line_features
-from gigmatch.llm.packing import encoder
-from gigmatch.llm.words import default_vocabulary
+from gigmatch.llm.token_counts import STOP, automaton_of
+from gigmatch.llm.words import Numbers, default_vocabulary, words
 
 #: Domains in the order of the posteriors, and the shares of all tokens that they are to have.
 TARGETS = {"clean": 0.91, "low": 0.05, "toxic": 0.04}
@@ -29,7 +29,7 @@ TRAIN_DOCS, WORDS, LEAST_GAIN = 6000, 300, 8.0
 EPOCHS, RATE = 300, 0.05
 #: Of the training documents, every so many-th is held out to calibrate the posteriors.
 HELD_OUT = 5
-#: Distinct words (between ASCII spaces) whose token counts a worker remembers at most; then it starts anew.
+#: Distinct words whose token counts a worker remembers at most; then it starts anew.
 WORDS_KEPT = 400_000
 #: The fit ends at this largest relative error of a domain's total, or after so many steps.
 TOLERANCE, STEPS = 1e-4, 30
@@ -39,31 +39,38 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "clean")
 
 
-_MARKS = b".,;:!?\"'()#$%&*|"
+class WordTable:
+    """Words numbered as they are met: the tokens of each, and the feature that it is (-1: none)."""
 
+    def __init__(self, path: str, features: dict[str, int]) -> None:
+        self.path, self.features = path, features
+        self._forget()
 
-def _cut(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").split()
+    def _forget(self) -> None:
+        self.numbers, self.tokens, self.feature = Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def look(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of the words of each text."""
+        if len(self.numbers) > WORDS_KEPT:
+            self._forget()
+        get = self.numbers.__getitem__
+        held = [np.fromiter(map(get, found), np.int64, len(found)) for found in map(words, texts)]
+        if new := self.numbers.new:
+            automaton = automaton_of(self.path)
+            self.tokens = np.append(self.tokens, [automaton.count([*w.encode(), STOP]) for w in new])
+            self.feature = np.append(self.feature, [self.features.get(w, -1) for w in new])
+            new.clear()
+        return held
 
-def _bag(words: list[bytes]) -> set[bytes]:
-    return {w.strip(_MARKS) for w in set(words)}
 
+_TABLES: list[WordTable] = []
 
-_COUNTS: dict[str, dict[bytes, int]] = {}
 
-
-def token_counts(texts: list[list[bytes]], path: str) -> np.ndarray:
-    """Tokens of texts given by their lower-cased words; the vocabulary's pieces never cross the spaces between them."""
-    counts = _COUNTS.setdefault(path, {})
-    if len(counts) > WORDS_KEPT:
-        counts.clear()
-    new = sorted(set().union(*texts) - counts.keys())
-    for i in range(0, len(new), 10_000):
-        part = new[i : i + 10_000]
-        counts.update(zip(part, encoder(path).count([w.decode("utf-8") for w in part])))
-    look = counts.__getitem__
-    return np.array([sum(map(look, words)) for words in texts], np.int64)
+def word_table(path: str, features: dict[str, int]) -> WordTable:
+    """The worker's table for this vocabulary and these features; another one takes its place."""
+    if not _TABLES or (_TABLES[0].path, _TABLES[0].features) != (path, features):
+        _TABLES[:] = [WordTable(path, features)]
+    return _TABLES[0]
 
 
 def _shape(texts: list[str]) -> np.ndarray:
@@ -79,44 +86,49 @@ def _shape(texts: list[str]) -> np.ndarray:
 @dataclass
 class DomainModel:
     domains: list[str]
-    words: dict[bytes, int]
+    words: dict[str, int]
     scale: np.ndarray
     weights: np.ndarray
     #: Domains that training documents had.
     seen: set[str] = field(default_factory=set)
 
-    def features(self, texts: list[str], cut: list[list[bytes]] | None = None) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.words)))
-        for i, words in enumerate(map(_cut, texts) if cut is None else cut):
-            hit = [self.words[w] for w in _bag(words) & self.words.keys()]
-            x[i, hit] = 1
-        return np.concatenate([x, _shape(texts) / self.scale, np.ones((len(texts), 1))], 1)
+    def features(self, texts: list[str], table: WordTable, held: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.words) + 1))
+        for i, found in enumerate(held):
+            x[i, table.feature[found]] = 1  # the last column takes the words that are no feature
+        return np.concatenate([x[:, :-1], _shape(texts) / self.scale, np.ones((len(texts), 1))], 1)
+
+    def look(self, texts: list[str], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Features and tokens of each text."""
+        table = word_table(path or default_vocabulary(), self.words)
+        held = table.look(texts)
+        return self.features(texts, table, held), np.array([table.tokens[found].sum() for found in held], np.int64)
 
-    def posteriors(self, texts: list[str], cut: list[list[bytes]] | None = None) -> np.ndarray:
-        out = self.features(texts, cut) @ self.weights
+    def posteriors(self, features: np.ndarray) -> np.ndarray:
+        out = features @ self.weights
         p = np.exp(out - out.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def telling_words(sample: DataFrame, domains: list[str], words: int = WORDS) -> list[bytes]:
+def telling_words(sample: DataFrame, domains: list[str], most: int = WORDS) -> list[str]:
     """The words of ``sample`` (text, domain) whose presence tells most about the domain, counted in the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, domain in zip(batch.column("text").to_pylist(), batch.column("domain").to_pylist()):
-                bag = sorted(_bag(_cut(text or "")) - {b""})
-                yield pa.RecordBatch.from_arrays([pa.array(bag, pa.binary()), pa.array([domain] * len(bag), pa.string())], ["word", "domain"])
+                bag = sorted(set(words(text or "")))
+                yield pa.RecordBatch.from_arrays([pa.array(bag, pa.string()), pa.array([domain] * len(bag), pa.string())], ["word", "domain"])
 
     totals = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = max(sum(totals.values()), 1)
-    seen = sample.select("text", "domain").mapInArrow(run, "word binary, domain string")
+    seen = sample.select("text", "domain").mapInArrow(run, "word string, domain string")
     counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains])
     gain = F.lit(0.0)
     for d in domains:
         share = max(totals.get(d, 0) / whole, 1e-12)
         gain = gain + F.when(F.col(f"n_{d}") > 0, F.col(f"n_{d}") * F.log(F.col(f"n_{d}") / F.col("n") / share)).otherwise(0.0)
-    top = counts.filter("n >= 5").select("word", F.round(gain, 9).alias("gain")).filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(words)
-    return [bytes(r["word"]) for r in top.collect()]
+    top = counts.filter("n >= 5").select("word", F.round(gain, 9).alias("gain")).filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(most)
+    return [r["word"] for r in top.collect()]
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
@@ -154,21 +166,21 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: in
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.groupBy("doc_id").agg(F.max("domain").alias("domain"))  # about train_docs rows
     sample = materialise(docs.join(F.broadcast(chosen), "doc_id").select("text", "domain"), "mix-sample")
-    words = telling_words(sample, domains)
-    model = DomainModel(domains, {w: i for i, w in enumerate(words)}, np.ones(len(NAMES)), np.zeros((len(words) + len(NAMES) + 1, len(domains))))
+    telling = telling_words(sample, domains)
+    model = DomainModel(domains, {w: i for i, w in enumerate(telling)}, np.ones(len(NAMES)), np.zeros((len(telling) + len(NAMES) + 1, len(domains))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for start, end in slices([len(t) for t in texts], 500_000):
-                rows = [r.tobytes() for r in model.features(texts[start:end]).astype(np.float32)]
+                rows = [r.tobytes() for r in model.look(texts[start:end])[0].astype(np.float32)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("domain").slice(start, end - start)], ["x", "domain"])
 
     rows = sorted((bytes(r["x"]), r["domain"]) for r in sample.mapInArrow(run, "x binary, domain string").collect())
     model.seen = {d for _, d in rows}
     if rows:
         x = np.stack([np.frombuffer(r, np.float32) for r, _ in rows]).astype(float)
-        shapes = slice(len(words), len(words) + len(NAMES))
+        shapes = slice(len(telling), len(telling) + len(NAMES))
         model.scale = np.maximum(x[:, shapes].std(0), 1e-3)
         x[:, shapes] /= model.scale
         y = np.array([domains.index(d) for _, d in rows])
@@ -187,10 +199,9 @@ def memberships(docs: DataFrame, model: DomainModel, key: str = "doc_id", path:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for start, end in slices([len(t) for t in texts], 1_000_000):
-                part = texts[start:end]
-                cut = [_cut(t) for t in part]
+                x, tokens = model.look(texts[start:end], path)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).slice(start, end - start), pa.array(token_counts(cut, path)), pa.array(list(model.posteriors(part, cut)))],
+                    [batch.column(key).slice(start, end - start), pa.array(tokens), pa.array(list(model.posteriors(x)))],
                     [key, "tokens", "p"],
                 )
 

@@ -72,11 +72,14 @@ class Encoder:
         self.uses = np.concatenate([self.uses, np.zeros(len(ends), np.int64)])
         new.clear()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _trim(self) -> None:
         if len(self.numbers) > WORDS_KEPT:
             names = list(self.numbers)
             often = np.flatnonzero(self.uses >= max(3, np.sort(self.uses)[-WORDS_KEPT // 2]))
             self._forget([names[i] for i in often])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self._trim()
         plain = [plain_words(t) if is_plain(t) else None for t in texts]
         look = self.numbers.__getitem__
         held = [None if w is None else np.fromiter(map(look, w), np.int64, len(w)) for w in plain]
@@ -94,21 +97,9 @@ class Encoder:
         return out
 
 
-    def count(self, words: list[str]) -> list[int]:
-        """Numbers of tokens of each word."""
-        return [len(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The vocabulary's encoder, loaded once in each worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """Token pieces of every whole text: doc_id, piece, start, length, ids_crc32 and, with ``ids``, the ids.
 
@@ -119,7 +110,9 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        coder = _ENCODERS[path]
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for first, last in slices([len(t) for t in texts], 2_000_000):

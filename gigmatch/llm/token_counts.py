@@ -111,11 +111,18 @@ def _loaded(path: str) -> tuple[Automaton, Numbers, list[int]]:
     return _LOADED[path]
 
 
+def automaton_of(path: str) -> Automaton:
+    """The vocabulary's automaton, made once in each worker."""
+    return _loaded(path)[0]
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens per row of ``docs``: greedy longest-match pieces of every word of the whole text.
 
-    Null and empty texts have no words.  Words are cut as the vocabulary's pre-tokeniser does; greedy pieces are the
-    longest that fit from the left, which need not be the pieces that its merges would give.
+    Null and empty texts have no words; whole texts count, however long.  Words are cut as the vocabulary's
+    pre-tokeniser does; greedy pieces are the longest that fit from the left (there are no ties), which need not be
+    the pieces that its merges would give.  Repeated rows and null ids give a row each; an empty table gives an empty
+    result; further columns, whatever their names, are not read.
     """
     path = path or default_vocabulary()
 
