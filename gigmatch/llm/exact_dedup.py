@@ -45,9 +45,11 @@ def _keeper() -> Column:
 def _state_session(spark: SparkSession) -> SparkSession:
     """A session like ``spark`` whose streams keep their state on disk; the caller's own settings stay as they are."""
     session = spark.newSession()
-    for key, value in {**spark.conf.getAll, **STATE_STORE}.items():
+    for key, value in spark.conf.getAll.items():
         if session.conf.isModifiable(key):
             session.conf.set(key, value)
+    for key, value in STATE_STORE.items():  # not all of them are listed as modifiable
+        session.conf.set(key, value)
     return session
 
 
