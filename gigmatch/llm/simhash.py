@@ -200,49 +200,77 @@ def add_bands(rows: DataFrame) -> DataFrame:
     return read.withColumn("tid", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, tid long, keys array<long>, _row long")
 
 
-def _alike(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets whose Jaccard similarity reaches ``similar``."""
-    out = []
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+def _sizes_in_common(mine: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``sets`` (sorted, distinct, not empty) shares with ``mine`` (the same)."""
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
     sizes = np.array([len(x) for x in sets])
-    mine = np.split(codes, np.cumsum(sizes)[:-1])
-    left, flat = np.arange(len(sets)), codes  # not reached yet, and their codes
-    mark = np.zeros(int(codes.max()) + 1, bool)
-    reached: list[int] = []
-    while len(left):
-        if not reached:
-            reached.append(int(left[0]))
-            left, flat = left[1:], flat[sizes[left[0]] :]
-            continue
-        at = reached.pop()
-        mark[mine[at]] = True
-        both = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(sizes[left]) - sizes[left])
-        mark[mine[at]] = False
-        near = both / (sizes[left] + sizes[at] - both) >= similar
-        if near.any():
-            found = left[near].tolist()
-            out += [(at, i) for i in found]
-            reached += found
-            flat, left = flat[np.repeat(~near, sizes[left])], left[~near]
-    return out
+    return np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _jaccard(mine: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    both = _sizes_in_common(mine, sets)
+    return both / (len(mine) + np.array([len(x) for x in sets]) - both)
+
+
+def _near_hub(similar: float):
+    """Pairs (x, hub) whose sets reach ``similar``, from rows (x, hub, mine, there) with both sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs = batch.column("hub").to_numpy()
+            mine, there = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("mine", "there"))
+            good = np.zeros(len(hubs), bool)
+            order = np.argsort(hubs, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(hubs[order])) + 1):
+                if len(rows):
+                    good[rows] = _jaccard(there[rows[0]], [mine[i] for i in rows]) >= similar
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("x", "hub")], ["x", "hub"])
+
+    return run
+
+
+def _with_rest(similar: float):
+    """Links (u, v) between the texts of a group that its hub didn't reach and all of its texts, enough to connect them."""
+
+    def run(left: pd.DataFrame, whole: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(whole):
+            tids, sets = whole["tid"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in whole["shingles"]]
+            parent = {t: t for t in [*tids.tolist(), *left["tid"].tolist()]}
+
+            def root(t: int) -> int:
+                while parent[t] != t:
+                    parent[t] = t = parent[parent[t]]
+                return t
+
+            for t, v in zip(left["tid"].tolist(), left["shingles"]):
+                for other in tids[_jaccard(np.frombuffer(v, np.uint64), sets) >= similar].tolist():
+                    if (a := root(t)) != (b := root(other)):
+                        parent[a] = b
+                        out.append((t, other))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return run
 
 
 def similar_links(numbered: DataFrame, banded: DataFrame, similar: float) -> DataFrame:
     """(u, v): pairs of fingerprints whose texts' sets of 5-word shingles reach ``similar``, enough to connect them all.
 
-    ``banded`` is the materialised ``add_bands`` of ``numbered`` (of ``with_rows``).  Bands of the same texts are
-    compared once; a band of many texts is dealt into blocks, and each pair of blocks is one group.  Texts are read
-    where they lie, one row of each; their sets of shingles are what is shuffled.
+    ``banded`` is the materialised ``add_bands`` of ``numbered`` (of ``with_rows``).  A band's texts are compared with
+    one of them, its hub, first, so a large group of copies costs one comparison a copy.  Then those that aren't near
+    the hub are compared with all of their band, in pairs of blocks: no pair that shares a band stays undecided.
+    Bands of the same texts count once.  Texts are read where they lie, one row of each; what is shuffled are sets of
+    shingles, once for each hub of a text.
     """
     rows = banded.select("tid", "print", F.explode("keys").alias("key"))
     mixed = F.xxhash64("tid")
     marks = [F.count(F.lit(1)).alias("n"), F.sum(mixed.bitwiseAND(F.lit((1 << 31) - 1))).alias("total"), F.bit_xor(mixed).alias("odd")]
     groups = rows.groupBy("key").agg(*marks, F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low <> high")
     once = groups.groupBy("n", "total", "odd", "low", "high").agg(F.min("key").alias("run"))
-    once = materialise(once.select("run", "n"), "simhash-bands")
+    once = materialise(once.select("run", F.col("low").alias("hub")), "simhash-bands")
     some = bounded(once)
-    blocks = F.ceil(F.col("n") / TEXTS).cast("int")
-    members = rows.join(some, rows["key"] == some["run"]).select("key", "tid", "print", blocks.alias("blocks")).distinct()
+    members = rows.join(some, rows["key"] == some["run"]).select("key", "tid", "hub").distinct()
     members = materialise(members, "simhash-members")
 
     wanted = members.select(F.col("tid").alias("want")).distinct()
@@ -256,17 +284,38 @@ def similar_links(numbered: DataFrame, banded: DataFrame, similar: float) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(found, pa.binary())], ["t", "shingles"])
 
     cut = materialise(texts.select("tid", "text").mapInArrow(sets, "t long, shingles binary"), "simhash-sets")
-    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    dealt = members.select("key", "tid", "print", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "tid", "print", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        prints = found["print"].to_numpy(np.int64)
-        pairs = _alike([np.frombuffer(x, np.uint64) for x in found["shingles"]], similar)
-        return pd.DataFrame({"u": [prints[i] for i, _ in pairs], "v": [prints[j] for _, j in pairs]}, dtype="int64")
 
-    met = dealt.join(cut, dealt["tid"] == cut["t"]).select("key", "one", "two", "print", "shingles").repartition("key", "one", "two")
-    return met.groupBy("key", "one", "two").applyInPandas(run, "u long, v long").filter("u <> v").distinct()
+    # A hub of many texts meets them in blocks.
+    pairs = members.filter("tid <> hub").select(F.col("tid").alias("x"), "hub").distinct()
+    load = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TEXTS).cast("int").alias("blocks"))
+    asked = pairs.join(load, "hub").select("x", "hub", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
+    asked = asked.join(cut.select(F.col("t").alias("x"), F.col("shingles").alias("mine")), "x")
+    hubs = load.join(cut.select(F.col("t").alias("hub"), F.col("shingles").alias("there")), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "there")
+    met = asked.join(hubs, ["hub", "block"]).select("x", "hub", "mine", "there")
+    near = materialise(met.mapInArrow(_near_hub(similar), "x long, hub long"), "simhash-near")
+
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    far = members.filter("tid <> hub").join(near.withColumnRenamed("x", "tid"), ["tid", "hub"], "left_anti").select("key", "tid")
+    far = far.join(sizes.filter("n > 2"), "key").select("key", "tid", "n")
+    far = materialise(far, "simhash-far")
+    links_found = near.select(F.col("x").alias("u"), F.col("hub").alias("v"))
+    if not far.isEmpty():
+        counts = far.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TEXTS).cast("int").alias("m"), F.ceil(F.max("n") / TEXTS).cast("int").alias("k"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        own = lambda c: F.pmod(F.xxhash64("tid"), F.col(c)).cast("int")
+        left = far.select("key", "tid").join(counts, "key").select("key", "tid", own("m").alias("i"), every("k").alias("j"))
+        whole = members.select("key", "tid").join(counts, "key").select("key", "tid", every("m").alias("i"), own("k").alias("j"))
+        for_left, for_whole = (cut.select(F.col("t").alias("tid"), F.col("shingles").alias(name)) for name in ("own_set", "set"))
+        left = left.join(for_left, "tid").select("key", "i", "j", "tid", F.col("own_set").alias("shingles")).repartition("key", "i", "j")
+        whole = whole.join(for_whole, "tid").select("key", "i", "j", "tid", F.col("set").alias("shingles")).repartition("key", "i", "j")
+        block = ["key", "i", "j"]
+        links_found = links_found.unionByName(left.groupBy(*block).cogroup(whole.groupBy(*block)).applyInPandas(_with_rest(similar), "u long, v long"))
+
+    prints = banded.join(wanted, banded["tid"] == wanted["want"], "left_semi").select("tid", "print").distinct()
+    prints = materialise(prints, "simhash-tids")
+    first, second = (prints.select(F.col("tid").alias(t), F.col("print").alias(p)) for t, p in (("u", "a"), ("v", "b")))
+    return links_found.join(first, "u").join(second, "v").select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct()
 
 
 def add_fingerprints(docs: DataFrame) -> DataFrame:
