@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gigmatch.llm.common import bitmaps, documents, has_bit, marked, materialise, slices, with_rows
 from gigmatch.llm.features import NAMES, line_features
-from gigmatch.llm.token_counts import STOP, automaton_of
-from gigmatch.llm.words import Numbers, default_vocabulary, words
+from gigmatch.llm.token_counts import STOP, Automaton, load_pieces
+from gigmatch.llm.words import Numbers, default_vocabulary, held, words
 
 #: Domains in the order of the posteriors, and the shares of all tokens that they are to have.
 TARGETS = {"clean": 0.91, "low": 0.05, "toxic": 0.04}
@@ -30,7 +30,7 @@ EPOCHS, RATE = 300, 0.05
 #: Of the training documents, every so many-th is held out to calibrate the posteriors.
 HELD_OUT = 5
 #: Distinct words whose token counts a worker remembers at most; then it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: The fit ends at this largest relative error of a domain's total, or after so many steps.
 TOLERANCE, STEPS = 1e-4, 30
 
@@ -43,7 +43,7 @@ class WordTable:
     """Words numbered as they are met: the tokens of each, and the feature that it is (-1: none)."""
 
     def __init__(self, path: str, features: dict[str, int]) -> None:
-        self.path, self.features = path, features
+        self.automaton, self.features = Automaton(load_pieces(path)), features
         self._forget()
 
     def _forget(self) -> None:
@@ -54,23 +54,12 @@ class WordTable:
         if len(self.numbers) > WORDS_KEPT:
             self._forget()
         get = self.numbers.__getitem__
-        held = [np.fromiter(map(get, found), np.int64, len(found)) for found in map(words, texts)]
+        at = [np.fromiter(map(get, found), np.int64, len(found)) for found in map(words, texts)]
         if new := self.numbers.new:
-            automaton = automaton_of(self.path)
-            self.tokens = np.append(self.tokens, [automaton.count([*w.encode(), STOP]) for w in new])
+            self.tokens = np.append(self.tokens, [self.automaton.count([*w.encode(), STOP]) for w in new])
             self.feature = np.append(self.feature, [self.features.get(w, -1) for w in new])
             new.clear()
-        return held
-
-
-_TABLES: list[WordTable] = []
-
-
-def word_table(path: str, features: dict[str, int]) -> WordTable:
-    """The worker's table for this vocabulary and these features; another one takes its place."""
-    if not _TABLES or (_TABLES[0].path, _TABLES[0].features) != (path, features):
-        _TABLES[:] = [WordTable(path, features)]
-    return _TABLES[0]
+        return at
 
 
 def _shape(texts: list[str]) -> np.ndarray:
@@ -92,17 +81,18 @@ class DomainModel:
     #: Domains that training documents had.
     seen: set[str] = field(default_factory=set)
 
-    def features(self, texts: list[str], table: WordTable, held: list[np.ndarray]) -> np.ndarray:
+    def features(self, texts: list[str], table: WordTable, numbers: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.words) + 1))
-        for i, found in enumerate(held):
+        for i, found in enumerate(numbers):
             x[i, table.feature[found]] = 1  # the last column takes the words that are no feature
         return np.concatenate([x[:, :-1], _shape(texts) / self.scale, np.ones((len(texts), 1))], 1)
 
     def look(self, texts: list[str], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Features and tokens of each text."""
-        table = word_table(path or default_vocabulary(), self.words)
-        held = table.look(texts)
-        return self.features(texts, table, held), np.array([table.tokens[found].sum() for found in held], np.int64)
+        path = path or default_vocabulary()
+        table = held(f"domains {hash(tuple(self.words))} of {path}", lambda: WordTable(path, self.words))
+        numbers = table.look(texts)
+        return self.features(texts, table, numbers), np.array([table.tokens[found].sum() for found in numbers], np.int64)
 
     def posteriors(self, features: np.ndarray) -> np.ndarray:
         out = features @ self.weights

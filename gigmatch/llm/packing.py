@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gigmatch.llm.common import documents, materialise, slices, with_rank
-from gigmatch.llm.words import END, Numbers, default_vocabulary, is_plain, plain_words
+from gigmatch.llm.words import END, Numbers, default_vocabulary, held, is_plain, plain_words
 
 CAPACITY = 4096
 #: Id put after each document.
 END_OF_DOCUMENT = 1
 #: Distinct words whose ids a worker remembers at most; then it keeps the frequent ones.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 #: Steps of the least-squares fit, and second and third lengths tried in patterns of three and four.
 FIT_STEPS, SECOND, THIRD = 200, 32, 8
 #: Patterns leave at most this part of a sequence free; looser ones are left to the packing of residuals.
@@ -82,10 +82,10 @@ class Encoder:
         self._trim()
         plain = [plain_words(t) if is_plain(t) else None for t in texts]
         look = self.numbers.__getitem__
-        held = [None if w is None else np.fromiter(map(look, w), np.int64, len(w)) for w in plain]
+        known = [None if w is None else np.fromiter(map(look, w), np.int64, len(w)) for w in plain]
         self._learn()
         out = []
-        for text, at in zip(texts, held):
+        for text, at in zip(texts, known):
             if at is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
@@ -97,9 +97,6 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """Token pieces of every whole text: doc_id, piece, start, length, ids_crc32 and, with ``ids``, the ids.
 
@@ -110,9 +107,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        coder = _ENCODERS[path]
+        coder = held(f"ids of {path}", lambda: Encoder(path))
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for first, last in slices([len(t) for t in texts], 2_000_000):

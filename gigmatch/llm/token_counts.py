@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gigmatch.llm.common import documents, slices
-from gigmatch.llm.words import END, Numbers, default_vocabulary, words
+from gigmatch.llm.words import END, Numbers, default_vocabulary, held, words
 
 #: Distinct words whose counts a worker remembers at most; then it starts anew.
 WORDS_KEPT = 500_000
@@ -99,21 +99,12 @@ class Automaton:
         return total
 
 
-_LOADED: dict[str, tuple[Automaton, Numbers, list[int]]] = {}
-
-
 def _loaded(path: str) -> tuple[Automaton, Numbers, list[int]]:
-    if path not in _LOADED:
-        _LOADED[path] = (Automaton(load_pieces(path)), Numbers(), [])
-    automaton, numbers, counts = _LOADED[path]
+    automaton, numbers, counts = held(f"counts of {path}", lambda: (Automaton(load_pieces(path)), Numbers(), []))
     if len(numbers) > WORDS_KEPT:
-        _LOADED[path] = (automaton, Numbers(), [])
-    return _LOADED[path]
-
-
-def automaton_of(path: str) -> Automaton:
-    """The vocabulary's automaton, made once in each worker."""
-    return _loaded(path)[0]
+        numbers.clear()
+        counts.clear()
+    return automaton, numbers, counts
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -134,11 +125,11 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                 automaton, numbers, counts = _loaded(path)
                 for i in range(start, end):
                     found = words(texts[i] or "")
-                    held = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+                    at = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
                     counts.extend(automaton.count([*w.encode(), STOP]) for w in numbers.new)
                     numbers.new.clear()
                     n_words[i] = len(found)
-                    n_tokens[i] = sum(map(counts.__getitem__, held.tolist()))
+                    n_tokens[i] = sum(map(counts.__getitem__, at.tolist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words), pa.array(n_tokens)], ["doc_id", "n_words", "n_tokens"]
             )
