@@ -29,6 +29,8 @@ TRAIN_DOCS, WORDS, LEAST_GAIN = 6000, 300, 8.0
 EPOCHS, RATE = 300, 0.05
 #: Of the training documents, every so many-th is held out to calibrate the posteriors.
 HELD_OUT = 5
+#: Gain in log likelihood that one more parameter needs (the likelihood ratio test's five per cent).
+LEAST_EVIDENCE = 1.92
 #: Distinct words whose token counts a worker remembers at most; then it starts anew.
 WORDS_KEPT = 150_000
 #: The fit ends at this largest relative error of a domain's total, or after so many steps.
@@ -134,14 +136,18 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
 
 
 def calibration(out: np.ndarray, y: np.ndarray) -> float:
-    """The factor on log odds under which held-out labels are most likely, from 1/8 to 2."""
+    """The factor on log odds under which held-out labels are most likely, from 1/8 to 2.
+
+    It stays 1 unless another one makes them likelier by ``LEAST_EVIDENCE`` nats: small samples say little.
+    """
     factors = 2.0 ** np.linspace(-3, 1, 33)
 
     def loss(f: float) -> float:
         z = out * f - (out * f).max(1, keepdims=True)
         return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).sum())
 
-    return float(factors[np.argmin([loss(f) for f in factors])])
+    best = min(factors, key=loss)
+    return float(best) if loss(1.0) - loss(best) >= LEAST_EVIDENCE else 1.0
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: int = TRAIN_DOCS) -> DomainModel:
