@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from gigmatch.llm.common import bounded, documents, drop_rows, file_numbers, materialise, new_dir, only_rows, placed, row_number, with_rows
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Disk-backed state; without allocating files ahead, which costs megabytes for each partition however small.
+#: Disk-backed state; without allocating files ahead, which costs megabytes for each partition however small, and with
+#: one bound for the buffers and caches of all stores of an executor.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 LOG = "doc_id bigint, digest string, text_sha256 string, locator bigint"
 
