@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gigmatch.llm.common import documents, drop_rows, id_remainder, materialise, slices, with_rows
+from gigmatch.llm.workers import lean
 
 ORDERS = (3, 4)
 HASHES = 3
@@ -132,7 +133,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, least_share: float = LE
                         [pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]
                     )
 
-    grown = known.filter(chosen).select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    grown = known.filter(chosen).select("lang", "text").mapInArrow(lean(run), "lang string, gram long, n long")
     counts = grown.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     least = F.element_at(
         F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, max(1.0, least_share * min(n, train_docs)))]),
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             )
 
     rows = docs.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

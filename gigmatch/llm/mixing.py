@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from gigmatch.llm.common import bitmaps, documents, has_bit, marked, materialise, slices, with_rows
 from gigmatch.llm.features import NAMES, line_features
 from gigmatch.llm.token_counts import STOP, Automaton, load_pieces
-from gigmatch.llm.words import Numbers, default_vocabulary, held, words
+from gigmatch.llm.words import Numbers, default_vocabulary, words
+from gigmatch.llm.workers import held, lean
 
 #: Domains in the order of the posteriors, and the shares of all tokens that they are to have.
 TARGETS = {"clean": 0.91, "low": 0.05, "toxic": 0.04}
@@ -113,7 +114,7 @@ def telling_words(sample: DataFrame, domains: list[str], most: int = WORDS) -> l
 
     totals = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = max(sum(totals.values()), 1)
-    seen = sample.select("text", "domain").mapInArrow(run, "word string, domain string")
+    seen = sample.select("text", "domain").mapInArrow(lean(run), "word string, domain string")
     counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains])
     gain = F.lit(0.0)
     for d in domains:
@@ -172,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: in
                 rows = [r.tobytes() for r in model.look(texts[start:end])[0].astype(np.float32)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("domain").slice(start, end - start)], ["x", "domain"])
 
-    rows = sorted((bytes(r["x"]), r["domain"]) for r in sample.mapInArrow(run, "x binary, domain string").collect())
+    rows = sorted((bytes(r["x"]), r["domain"]) for r in sample.mapInArrow(lean(run, "domains"), "x binary, domain string").collect())
     model.seen = {d for _, d in rows}
     if rows:
         x = np.stack([np.frombuffer(r, np.float32) for r, _ in rows]).astype(float)
@@ -201,7 +202,7 @@ def memberships(docs: DataFrame, model: DomainModel, key: str = "doc_id", path:
                     [key, "tokens", "p"],
                 )
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} long, tokens long, p array<double>")
+    return docs.select(key, "text").mapInArrow(lean(run, "domains"), f"{key} long, tokens long, p array<double>")
 
 
 def rate(p: Column, steps: list[list[float]], most: float | None = None) -> Column:
@@ -301,7 +302,7 @@ def fit_kept(members: DataFrame, targets: list[float], most: float = 1.0) -> tup
             yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in out], [f"s{k}" for k in range(len(out))])
 
         names = [f"s{k}" for k in range(n + 2 * n * n)]
-        parts = members.select("tokens", "p").mapInArrow(run, ", ".join(f"{x} double" for x in names))
+        parts = members.select("tokens", "p").mapInArrow(lean(run), ", ".join(f"{x} double" for x in names))
         got = np.array([float(x or 0) for x in parts.agg(*[F.sum(x) for x in names]).first()])
         return got[:n], [g.reshape(n, n) for g in (got[n : n + n * n], got[n + n * n :]) if g.any()]
 

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gigmatch.llm.common import documents, materialise, slices, with_rank
-from gigmatch.llm.words import END, Numbers, default_vocabulary, held, is_plain, plain_words
+from gigmatch.llm.words import END, Numbers, default_vocabulary, is_plain, plain_words
+from gigmatch.llm.workers import held, lean
 
 CAPACITY = 4096
 #: Id put after each document.
@@ -124,7 +125,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run, "ids"), schema)
 
 
 def candidate_patterns(counts: np.ndarray) -> np.ndarray:
@@ -286,7 +287,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, ties: tuple[str, ...] = ("
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gigmatch.llm.common import documents, id_remainder, materialise, slices
 from gigmatch.llm.features import NAMES, line_features
+from gigmatch.llm.workers import lean
 
 #: Expected number of labelled training documents, and of their lines in all (each takes some 500 bytes in the fit):
 #: with longer documents fewer are taken, whatever the length of each.
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
                     row = [pa.array([part.astype(np.float32).tobytes()]), pa.array([marks[start + i]], pa.int32())]
                     yield pa.RecordBatch.from_arrays(row, ["lines", "quality"])
 
-    rows = found.mapInArrow(run, "lines binary, quality int").collect()
+    rows = found.mapInArrow(lean(run), "lines binary, quality int").collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["lines"])))  # the fit doesn't depend on the order of tasks
     parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(NAMES) + 1).astype(float) for r in rows]
     marks = np.array([r["quality"] for r in rows])
@@ -190,7 +191,7 @@ def score(docs: DataFrame, model: Chain) -> DataFrame:
             )
 
     rows = docs.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

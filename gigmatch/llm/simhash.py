@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gigmatch.llm.common import bounded, documents, drop_rows, materialise, only_rows, slices, with_rows
 from gigmatch.llm.components import components
+from gigmatch.llm.workers import lean
 
 #: Words per shingle, hash seed, and differing bits at which fingerprints still link.
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -197,7 +198,7 @@ def add_bands(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, prints, tids, keys, at], ["doc_id", "print", "tid", "keys", "_row"])
 
     read = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "_row")
-    return read.withColumn("tid", F.xxhash64("text")).mapInArrow(run, "doc_id long, print long, tid long, keys array<long>, _row long")
+    return read.withColumn("tid", F.xxhash64("text")).mapInArrow(lean(run), "doc_id long, print long, tid long, keys array<long>, _row long")
 
 
 def _sizes_in_common(mine: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -283,7 +284,7 @@ def similar_links(numbered: DataFrame, banded: DataFrame, similar: float) -> Dat
             found = [wide_shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(found, pa.binary())], ["t", "shingles"])
 
-    cut = materialise(texts.select("tid", "text").mapInArrow(sets, "t long, shingles binary"), "simhash-sets")
+    cut = materialise(texts.select("tid", "text").mapInArrow(lean(sets), "t long, shingles binary"), "simhash-sets")
 
     # A hub of many texts meets them in blocks.
     pairs = members.filter("tid <> hub").select(F.col("tid").alias("x"), "hub").distinct()
@@ -293,7 +294,7 @@ def similar_links(numbered: DataFrame, banded: DataFrame, similar: float) -> Dat
     hubs = load.join(cut.select(F.col("t").alias("hub"), F.col("shingles").alias("there")), "hub")
     hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "there")
     met = asked.join(hubs, ["hub", "block"]).select("x", "hub", "mine", "there")
-    near = materialise(met.mapInArrow(_near_hub(similar), "x long, hub long"), "simhash-near")
+    near = materialise(met.mapInArrow(lean(_near_hub(similar)), "x long, hub long"), "simhash-near")
 
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     far = members.filter("tid <> hub").join(near.withColumnRenamed("x", "tid"), ["tid", "hub"], "left_anti").select("key", "tid")
@@ -329,7 +330,7 @@ def add_fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, print long")
+    return rows.mapInArrow(lean(run), "doc_id long, print long")
 
 
 def _links(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -435,9 +436,9 @@ def links(prints: DataFrame) -> DataFrame:
 
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = prints.select("print").repartition(parts, "print")  # a small table that a hundredfold of keys comes from
-    keys = dealt.mapInArrow(keyed, "key long, print long")
+    keys = dealt.mapInArrow(lean(keyed), "key long, print long")
     # Dealt by ranges of key and fingerprint: a run too long for one task is cut.
-    met = keys.repartitionByRange(parts, "key", "print").sortWithinPartitions("key", "print").mapInArrow(_same_key, "key long, a long, b long")
+    met = keys.repartitionByRange(parts, "key", "print").sortWithinPartitions("key", "print").mapInArrow(lean(_same_key), "key long, a long, b long")
     met = materialise(met, "simhash-met")
     direct = met.filter(F.col("key").isNull()).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     long = met.filter(F.col("key").isNotNull()).select("key", "a")

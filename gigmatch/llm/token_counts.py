@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gigmatch.llm.common import documents, slices
-from gigmatch.llm.words import END, Numbers, default_vocabulary, held, words
+from gigmatch.llm.words import END, Numbers, default_vocabulary, words
+from gigmatch.llm.workers import held, lean
 
 #: Distinct words whose counts a worker remembers at most; then it starts anew.
 WORDS_KEPT = 500_000
@@ -135,7 +136,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return rows.mapInArrow(lean(run, "counts"), "doc_id long, n_words long, n_tokens long")
 
 
 def op3_longest_match_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

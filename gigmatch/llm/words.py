@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Callable
 
 import regex
 
@@ -44,17 +43,6 @@ def words(text: str) -> list[str]:
     return _ANY_WORD.findall("".join(c.lower() for c in unicodedata.normalize("NFC", text)))
 
 
-_HELD: dict[str, object] = {}
-
-
-def held(key: str, make: Callable[[], object]) -> object:
-    """What ``make`` gives, kept in a worker from one batch to the next: the tables of one operator at a time."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = make()
-    return _HELD[key]
-
-
 class Numbers(dict):
     """Numbers words in the order of their first lookup; ``new`` lists those not yet dealt with."""
 
