@@ -1,4 +1,4 @@
-"""What Python workers hold between tasks, and how they give memory back: they outlive tasks and stages."""
+"""What Python workers hold between tasks, how they give memory back (they outlive tasks and stages), and how much they work on at once."""
 
 from __future__ import annotations
 
@@ -6,7 +6,14 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from gigmatch.llm.common import slices
+
+#: Bytes of a batch that are worked on at once; the words, hashes and counts made of them take a multiple of that.
+STEP = 1 << 19
 
 _HELD: dict[str, object] = {}
 
@@ -37,13 +44,29 @@ def give_back() -> None:
         pass
 
 
+def cut(batches: Batches, most: int = STEP) -> Batches:
+    """The rows of ``batches`` in their order, in batches of about ``most`` bytes, of one row at least; none is copied."""
+    for batch in batches:
+        if batch.nbytes <= most:
+            yield batch
+            continue
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        sizes += max(batch.nbytes - int(sizes.sum()), 0) // batch.num_rows  # the other columns
+        for start, end in slices(sizes.tolist(), most):
+            yield batch.slice(start, end - start)
+
+
 def lean(run: Callable[[Batches], Batches], but: str | None = None) -> Callable[[Batches], Batches]:
-    """``run`` that lets go of other operators' tables (keys that don't begin with ``but``) first, and of freed memory at its end."""
+    """``run`` over batches cut small that lets go of other operators' tables (keys that don't begin with ``but``) first,
+    and of freed memory at its end."""
 
     def whole(batches: Batches) -> Batches:
         forget(but)
         try:
-            yield from run(batches)
+            yield from run(cut(batches))
         finally:
             give_back()
 
