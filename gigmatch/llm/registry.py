@@ -6,6 +6,7 @@ from gigmatch.llm import (
     exact_dedup,
     hilbert,
     language,
+    minhash,
     mixing,
     neighbours,
     packing,
@@ -26,8 +27,10 @@ QUERIES = {
     "op8_soft_membership_mixing": mixing.op8_soft_membership_mixing,
     "op9_trigram_secret_scan": secrets.op9_trigram_secret_scan,
     "op10_pattern_packing": packing.op10_pattern_packing,
+    "op13_fast_sketch_minhash": minhash.op13_fast_sketch_minhash,
 }
 SQL = {
     "op7_streaming_exact_dedup": exact_dedup.SQL,
     "op9_trigram_secret_scan": secrets.SQL,
+    "op13_fast_sketch_minhash": minhash.SQL,
 }
