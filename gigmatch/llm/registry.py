@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gigmatch.llm import (
+    alignment,
     exact_dedup,
     hilbert,
     language,
@@ -10,6 +11,7 @@ from gigmatch.llm import (
     mixing,
     neighbours,
     packing,
+    phrases,
     quality,
     secrets,
     simhash,
@@ -27,10 +29,13 @@ QUERIES = {
     "op8_soft_membership_mixing": mixing.op8_soft_membership_mixing,
     "op9_trigram_secret_scan": secrets.op9_trigram_secret_scan,
     "op10_pattern_packing": packing.op10_pattern_packing,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_fm_index_phrases": phrases.op12_fm_index_phrases,
     "op13_fast_sketch_minhash": minhash.op13_fast_sketch_minhash,
 }
 SQL = {
     "op7_streaming_exact_dedup": exact_dedup.SQL,
     "op9_trigram_secret_scan": secrets.SQL,
+    "op12_fm_index_phrases": phrases.SQL,
     "op13_fast_sketch_minhash": minhash.SQL,
 }
