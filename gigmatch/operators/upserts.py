@@ -8,35 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def first_of_key(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the first in the order of the other columns, from left to right, nulls last."""
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.distinct()
+    order = [x for c in rest for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c).alias(c))]
+    first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
+    return first.select(*key, *[F.col("_first").getField(c).alias(c) for c in rest]).select(*rows.columns)
+
+
 def new_rows(incoming: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """Incoming rows, one per key, whose key isn't stored yet."""
-    return incoming.dropDuplicates(key).join(stored.select(*key), key, "left_anti").select(*incoming.columns)
+    """Incoming rows whose key isn't stored yet, one per key: the ``first_of_key``."""
+    return first_of_key(incoming, key).join(stored.select(*key), key, "left_anti").select(*incoming.columns)
 
 
 def upsert_insert_ignore(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """The whole table after the insert; ``sources.stored.insert_ignore`` writes only what changes."""
     return stored.unionByName(new_rows(incoming, stored, key))
 
 
 def upsert_update(stored: DataFrame, incoming: DataFrame, key: list[str], update: list[str], when: dict[str, Column] | None = None) -> DataFrame:
     """Stored and incoming rows by key: where both are there, the columns of ``update`` are taken from the incoming.
 
-    ``incoming`` has one row per key.  ``when`` holds a column's update back where its condition is false.
+    ``incoming`` has one row per key.  ``when`` holds a column's update back where its condition is false.  This is
+    the whole table after the update; ``sources.stored.update`` writes only the partitions that change.
     """
+    return merged(stored, incoming, key, update, when).drop("_changed")
+
+
+def merged(stored: DataFrame, incoming: DataFrame, key: list[str], update: list[str], when: dict[str, Column] | None = None) -> DataFrame:
+    """``upsert_update`` with ``_changed``: whether a row is new or any of its columns differs from the stored one."""
     new = incoming.select(*[F.col(c).alias(f"_new_{c}") for c in incoming.columns], F.lit(True).alias("_new"))
     old = stored.withColumn("_old", F.lit(True))
     match = reduce(lambda a, b: a & b, [old[k].eqNullSafe(new[f"_new_{k}"]) for k in key])
     both = old.join(new, match, "full")
 
-    def pick(c: str) -> Column:
+    def picked(c: str) -> Column:
         if f"_new_{c}" not in new.columns:
             return F.col(c)
         fresh = F.col("_old").isNull()
         if c in update:
             changed = F.col("_new").isNotNull() & (when or {}).get(c, F.lit(True))
             fresh = fresh | changed
-        return F.when(fresh, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+        return F.when(fresh, F.col(f"_new_{c}")).otherwise(F.col(c))
 
-    return both.select(*[pick(c) for c in stored.columns])
+    differs = reduce(lambda a, b: a | b, [~picked(c).eqNullSafe(F.col(c)) for c in stored.columns])
+    return both.select(*[picked(c).alias(c) for c in stored.columns], (F.col("_old").isNull() | differs).alias("_changed"))
 
 
 def upsert_tags(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gigmatch.functions.scoring import TERMS
 from gigmatch.sources.json_feeds import RAW_EVENT
+from gigmatch.sources.stored import partitions, picked
 
 _EVENT_JSON = """array<struct<source: string, source_id: string, headliner: string, openers: array<string>, date: string,
     doors_time: string, show_time: string, venue: string, on_sale_date: string, ticket_url: string>>"""
@@ -28,12 +29,38 @@ def snapshot_rows(raw_events: DataFrame, captured_at: Column, per_value: int = 1
 
 
 def write_snapshot(raw_events: DataFrame, captured_at: Column, path: str) -> None:
-    """Append one capture; shows are stored exploded, by source, so that a large source is no single value."""
-    raw_events.withColumn("captured_at", captured_at).write.mode("append").partitionBy("source").parquet(path)
+    """Store one capture of each source: its shows, exploded, and one row (source, captured_at, event_count).
+
+    Both lie by source and capture; writing a capture again replaces it.
+    """
+    rows = raw_events.withColumn("captured_at", captured_at)
+    _replace_captures(rows, f"{path}/shows")
+    counted = rows.groupBy("source", "captured_at").agg(F.count(F.lit(1)).alias("event_count"))
+    _replace_captures(counted.coalesce(1), f"{path}/captures")  # a row per source
+
+
+def _replace_captures(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "captured_at").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, kind: str = "timestamp") -> DataFrame:
+    """All stored shows with their source and capture; ``kind`` is the type of captured_at."""
+    found = spark.read.parquet(f"{path}/shows").dtypes
+    schema = ", ".join(f"{c} {t}" for c, t in found if c not in ("source", "captured_at"))
+    return spark.read.schema(f"{schema}, source string, captured_at {kind}").parquet(f"{path}/shows")
+
+
+def read_captures(spark: SparkSession, path: str, kind: str = "timestamp") -> DataFrame:
+    """(source, captured_at, event_count) of every stored capture, without opening a show."""
+    return spark.read.schema(f"event_count bigint, source string, captured_at {kind}").parquet(f"{path}/captures")
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_capture(spark: SparkSession, path: str, n: int = 1, kind: str = "timestamp") -> DataFrame:
+    """Shows of the n-th latest capture of each source; no other capture's files are opened."""
+    order = Window.partitionBy("source").orderBy(F.desc("captured_at"))
+    wanted = read_captures(spark, path, kind).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == n)
+    wanted = partitions(wanted, ["source", "captured_at"], "capture-wanted")
+    return read_snapshots(spark, path, kind).join(picked(wanted), ["source", "captured_at"], "left_semi")
 
 
 def parse_snapshots(snapshots: DataFrame) -> DataFrame:

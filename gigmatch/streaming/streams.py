@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,19 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gigmatch.functions.scoring import HALF_LIFE_DAYS, decay_weight
 from gigmatch.operators.captures import DROP_SHARE, LEAST_RUNS, TRAILING_RUNS, anomaly
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; a temporary one only on one machine (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='gigmatch-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from gigmatch.sources.shared import shared_dir
 
 
 def drain(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
