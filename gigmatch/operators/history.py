@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gigmatch.functions.names import artist_key
 from gigmatch.functions.scoring import DAY_MICROS, HALF_LIFE_DAYS, decay_weight, discovery_signal, recency_signal
+from gigmatch.operators.neighbours import neighbour_search
 
 
 def valid_plays(parsed: DataFrame) -> DataFrame:
@@ -116,14 +117,10 @@ def adjacency(tags: DataFrame, taste: DataFrame, by: list[str] = []) -> DataFram
 def nearest_neighbors(vectors: DataFrame, top_n: int = 10, targets: DataFrame | None = None, include_self: bool = False) -> DataFrame:
     """(key, neighbor, similarity, rank): per target, the most similar keys above 0; ties by key.
 
-    Tags met by many keys make many pairs; ``targets`` (key) limits one side before pairs are formed.
+    Exact; only pairs that may be among the best are compared (``neighbours.neighbour_search``).  A vector has a
+    row per tag.
     """
-    wanted = vectors if targets is None else vectors.join(targets.select("key"), "key", "left_semi")
-    pairs = cosine(wanted, vectors).select(F.col("a").alias("key"), F.col("b").alias("neighbor"), F.round("similarity", 6).alias("similarity"))
-    pairs = pairs.filter(F.col("similarity") > 0)
-    pairs = pairs if include_self else pairs.filter(F.col("key") != F.col("neighbor"))
-    order = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbor")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+    return neighbour_search(vectors, top_n, targets, include_self)[0]
 
 
 def signals(plays: DataFrame, tags: DataFrame, matched: DataFrame, ref: Column, half_life: float = HALF_LIFE_DAYS, affinity_cap: int | None = 10_000, unplayed_recency: float = 1.0, by: list[str] = []) -> DataFrame:
