@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gigmatch.functions.names import MATCH_THRESHOLD, REVIEW_FLOOR, match_status, match_threshold, normalize_name, ratio
-
-#: Known names sent to every task at most; with more, names meet by length instead.
-BROADCAST_NAMES = 100_000
+from gigmatch.functions.names import MATCH_THRESHOLD, REVIEW_FLOOR, match_status, match_threshold, normalize_name
+from gigmatch.operators.fuzzy import most_similar
+from gigmatch.sources.shared import materialise
 
 
 def event_artist_names(events: DataFrame) -> DataFrame:
@@ -49,100 +43,19 @@ def resolve_exact(names: DataFrame, artists: DataFrame, match_empty_norm: bool =
     return _match(asked.join(_lowest(known, "norm"), "norm"), "exact")
 
 
-def letters(known: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """The characters that occur, and how often each does in each string."""
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join(known))))}
-    counts = np.zeros((len(known), len(alphabet)), np.int32)
-    for i, k in enumerate(known):
-        for c, n in Counter(k).items():
-            counts[i, alphabet[c]] = n
-    return alphabet, counts
-
-
-def best_of(asked: list[str], known: list[str], floor: float, table: tuple[dict[str, int], np.ndarray] | None = None) -> list[tuple[int, float]]:
-    """For each asked string the first known one of greatest ratio, and that ratio; (-1, 0) below ``floor``.
-
-    Two bounds are never below the ratio: twice the shorter length, and twice the characters in common, over both
-    lengths.  Known strings are tried from the highest bound down until it falls below the best found.  ``table`` is
-    ``letters`` of ``known``, for callers that ask in batches.
-    """
-    alphabet, counts = table or letters(known)
-    lengths = counts.sum(1)
-    out = []
-    for a in asked:
-        mine = np.zeros(len(alphabet), np.int32)
-        for c, n in Counter(a).items():
-            if c in alphabet:
-                mine[alphabet[c]] = n
-        both = np.maximum(lengths + len(a), 1)
-        rough = 2 * np.minimum(lengths, len(a)) / both
-        at = np.flatnonzero(rough >= floor)
-        bound = 2 * np.minimum(counts[at], mine).sum(1) / both[at]
-        best, score = -1, 0.0
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] < max(floor, score):
-                break
-            i, value = int(at[j]), ratio(a, known[at[j]])
-            if value > score or (value == score and value > 0 and i < best):
-                best, score = i, value
-        out.append((best, score) if score >= floor else (-1, 0.0))
-    return out
-
-
 def resolve_fuzzy(names: DataFrame, artists: DataFrame, threshold: float = MATCH_THRESHOLD, floor: float = REVIEW_FLOOR) -> DataFrame:
     """Names (name) to the most similar performer, matched or for review; names below ``floor`` give no row.
 
-    Distinct normal forms are compared once, however often they occur.  A bounded list of known names goes to every
-    task; a longer one meets the asked names by length, which no pair above the floor can miss.
+    Distinct normal forms are compared once, however often they occur (``fuzzy.most_similar``); of equally similar
+    performers the lowest artist_id counts.
     """
     asked = names.select("name").distinct().withColumn("norm", normalize_name(F.col("name"))).filter("norm <> ''")
     known = artists.select("artist_id", "raw_name", normalize_name(F.col("raw_name")).alias("known")).filter("known <> ''")
-    known = _lowest(known, "known")
-    forms = asked.select("norm").distinct()
-    listed = known.select("known", "artist_id").limit(BROADCAST_NAMES + 1).collect()
-    if len(listed) <= BROADCAST_NAMES:
-        order = [r["known"] for r in sorted(listed, key=lambda r: r["artist_id"])]
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            table = letters(order)
-            for batch in batches:
-                found = best_of(batch["norm"].tolist(), order, floor, table)
-                rows = [(n, order[i], s) for n, (i, s) in zip(batch["norm"], found) if i >= 0]
-                yield pd.DataFrame(rows, columns=["norm", "known", "score"]).astype({"score": "float64"})
-
-        pairs = forms.mapInPandas(near, "norm string, known string, score double")
-    else:
-        pairs = _fuzzy_by_length(forms, known, floor)
+    known = materialise(_lowest(known, "known"), "fuzzy-known")
+    pairs = most_similar(asked.select("norm").distinct(), known.select("known", "artist_id"), floor)[0]
     best = asked.join(pairs, "norm").join(known, "known")
     status = match_status(F.col("score"), match_threshold(F.col("name"), F.col("raw_name"), threshold), floor)
-    return best.select("name", "artist_id", "raw_name", F.lit("fuzzy").alias("match_type"), F.round("score", 6).alias("confidence"), status.alias("status"))
-
-
-def _fuzzy_by_length(forms: DataFrame, known: DataFrame, floor: float) -> DataFrame:
-    """Best known form per asked form where both meet under each length that the ratio allows.
-
-    Known forms of one length are dealt into blocks; each block gives its best, then the best block counts.
-    """
-    block = 2000
-    longest = F.floor(F.length("norm") * ((2 - floor) / floor)).cast("int")
-    shortest = F.ceil(F.length("norm") * (floor / (2 - floor))).cast("int")
-    sized = known.select("known", "artist_id", F.length("known").alias("size"))
-    blocks = sized.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    left = forms.select("norm", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest)).alias("size"))
-    left = left.join(F.broadcast(blocks), "size").select("norm", "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("norm"), F.lit(64)).alias("part"))
-    right = sized.join(F.broadcast(blocks), "size").select("known", "artist_id", "size", F.pmod(F.xxhash64("known"), F.col("blocks")).cast("int").alias("block"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
-
-    def compare(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        there = there.sort_values("artist_id")
-        found = best_of(asked["norm"].tolist(), there["known"].tolist(), floor) if len(there) else []
-        rows = [(n, there["known"].iloc[i], int(there["artist_id"].iloc[i]), s) for n, (i, s) in zip(asked["norm"], found) if i >= 0]
-        return pd.DataFrame(rows, columns=["norm", "known", "artist_id", "score"]).astype({"artist_id": "int64", "score": "float64"})
-
-    keys = ["size", "block", "part"]
-    each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "norm string, known string, artist_id long, score double")
-    best = F.max_by(F.struct("known", "score"), F.struct(F.col("score"), -F.col("artist_id"))).alias("_b")
-    return each.groupBy("norm").agg(best).select("norm", "_b.known", "_b.score")
+    return best.select("name", known["artist_id"], "raw_name", F.lit("fuzzy").alias("match_type"), F.round("score", 6).alias("confidence"), status.alias("status"))
 
 
 def last_write_wins(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -1,13 +1,10 @@
 """Table operators on small tables worked out by hand."""
 
 import datetime as dt
-import random
-import string
 
 import pytest
 from pyspark.sql import functions as F
 
-from gigmatch.functions.names import ratio
 from gigmatch.operators import captures, history, resolution, shows, upserts
 from gigmatch.plans import jobs
 from gigmatch.sources import files, html_feeds, json_feeds
@@ -94,26 +91,6 @@ def test_names_without_latin_letters_match_nothing(spark):
     assert resolution.resolve_exact(asked, artists, match_empty_norm=True).count() == 1
 
 
-def test_pruning_never_changes_the_winner():
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice(string.ascii_lowercase[:6] + " ") for _ in range(rng.randint(1, 14)))
-    known = list(dict.fromkeys(word() for _ in range(120)))
-    for asked in (word() for _ in range(150)):
-        best = max(range(len(known)), key=lambda i: (ratio(asked, known[i]), -i))
-        want = (best, ratio(asked, known[best])) if ratio(asked, known[best]) >= 0.55 else (-1, 0.0)
-        assert resolution.best_of([asked], known, 0.55) == [want]
-
-
-def test_fuzzy_by_length_equals_broadcast(spark, monkeypatch):
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randint(3, 12))).strip() or "a"
-    artists = spark.createDataFrame([(i, word(), None) for i in range(60)], "artist_id long, raw_name string, mbid string")
-    asked = spark.createDataFrame([(word(),) for _ in range(40)], "name string")
-    want = sorted(map(tuple, resolution.resolve_fuzzy(asked, artists).collect()))
-    monkeypatch.setattr(resolution, "BROADCAST_NAMES", 0)
-    assert sorted(map(tuple, resolution.resolve_fuzzy(asked, artists).collect())) == want
-
-
 @pytest.mark.parametrize("version", ["exact-match-v1", "discovery-v1"])
 def test_digest(spark, world, version):
     artists, plays, tags, events = world
