@@ -6,16 +6,17 @@ one that begins a word earlier.  An n-gram is an interval in both orders; one pa
 suffixes of all intervals gives every extension to the left (right), its count and its two intervals.
 
 Words that are too rare to be in any phrase are known before bigrams are counted, and bigrams before longer phrases:
-a shard gets back which of its own words and bigrams are frequent in the corpus, by a join on the shard, and extends
-over those alone.  Nothing frequent is lost by that, since a phrase is at most as frequent as its parts.
+a shard gets back which of its own words and bigrams are frequent in the corpus, from a table while that is small and
+else by a join on the shard, and extends over those alone.  Nothing frequent is lost by that, since a phrase is at most as frequent as its parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from gigmatch.llm.workers import lean
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: Words of a shard, about; a document is never cut.
 SHARD = 1 << 20
+#: Frequent words and bigrams that every task may hold, counts that a task holds, and words of a bucket of counts.
+WORDS, PAIRS, HELD, BUCKET = 1 << 18, 1 << 20, 1 << 20, 1 << 22
 #: Fixed value: characters that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _MARK = b"\xff"  # in no UTF-8 text
@@ -37,13 +40,24 @@ def piece_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().translate(_TABLE).replace(_MARK, b" " + _MARK + b" ").split()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by bytes of equal weight, which compress well when they are sorted or small."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str, width: int = 1) -> np.ndarray:
+    """Rows of ``width`` numbers from ``_planes``."""
+    size = np.dtype(kind).itemsize * width
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1, width)
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids below 2^31 by bytes of equal weight, which compress well."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return _planes(ids.astype("<u4"))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return _from_planes(data, "<u4")[:, 0].astype(np.int64)
 
 
 class _Shard:
@@ -151,40 +165,141 @@ class Index:
         return np.concatenate(longer, 1), moved, n
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards with corpus-wide ids (0 for rare words), and the counts of their bigrams."""
+def _summed(phrases: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and the sums of their counts."""
+    if not len(phrases):
+        return phrases, counts
+    order = np.lexsort(phrases.T[::-1])
+    phrases, counts = phrases[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (phrases[1:] != phrases[:-1]).any(1)]))
+    return phrases[first], np.add.reduceat(counts, first)
+
+
+class _Counts:
+    """Counts of phrases of several shards, summed before they are shuffled, dealt into buckets by a hash."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.held, self.size = buckets, {}, 0
+
+    def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
+        self.held.setdefault(phrases.shape[1], []).append((phrases.astype("<u4"), counts))
+        self.size += len(counts)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for m, parts in self.held.items():
+            phrases, counts = _summed(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+            mixed = np.zeros(len(counts), np.uint64)
+            for column in phrases.T:
+                mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            bucket = (mixed % np.uint64(self.buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(own):
+                    columns = [[m], [int(bucket[own[0]])], [_planes(phrases[own])], [_planes(counts[own].astype("<i8"))]]
+                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["m", "bucket", "phrases", "counts"])
+        self.held, self.size = {}, 0
+
+
+_COUNTS = "m int, bucket long, phrases binary, counts binary"
+
+
+def _over_shards(ids_of: Callable[[pa.RecordBatch, int], np.ndarray], buckets: int, each: Callable):
+    """``each`` of every shard's ids, adding to counts that are given out whenever enough are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(buckets)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                each(ids_of(batch, i), batch, i, counts)
+                if counts.size > HELD:
+                    yield from counts.rows()
+        yield from counts.rows()
+
+    return run
+
+
+def _by_table(words):
+    """Corpus-wide ids of a shard's local ones, by a table of all frequent words."""
+
+    def ids_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        table = words.value
+        table = table.filter(pc.equal(table.column("lang"), batch.column("lang")[i]))
+        at = pc.index_in(batch.column("words")[i].values, table.column("word").combine_chunks())
+        numbers = np.concatenate([[0], table.column("id").to_numpy()])
+        own = np.concatenate([[0], numbers[pc.fill_null(pc.add(at, 1), 0).to_numpy()]])
+        return _squeezed(own[unpacked(batch.column("ids")[i].as_py())])
+
+    return ids_of
+
+
+def _squeezed(ids: np.ndarray) -> np.ndarray:
+    """One mark between pieces is enough, for rare words as well."""
+    return ids[np.concatenate([[True], (ids[1:] > 0) | (ids[:-1] > 0)])] if len(ids) else ids
+
+
+def _stored_ids(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return unpacked(batch.column("ids")[i].as_py())
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards with corpus-wide ids, from those with a list of (local id, id)."""
     for batch in batches:
         for i in range(batch.num_rows):
             ids = unpacked(batch.column("ids")[i].as_py())
             known = batch.column("known")[i].values.flatten()
-            table = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
-            table[known[0].to_numpy()] = known[1].to_numpy()
-            ids = table[ids]
-            ids = ids[np.concatenate([[True], (ids[1:] > 0) | (ids[:-1] > 0)])]  # one mark between pieces is enough
-            index = Index(ids, 2)
-            pairs, _, n = index.extend(*index.words(), 0, None)
-            key = pairs[:, 0] << 32 | pairs[:, 1]
-            order = np.argsort(key)
-            columns = [batch.column("shard").slice(i, 1), pa.array([packed(ids)]), pa.array([key[order]], pa.list_(pa.int64())), pa.array([n[order]], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "ids", "pairs", "n"])
-
-
-def _longer(longest: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of a shard's phrases of three words and more, all of whose bigrams are frequent in the corpus."""
-        for batch in batches:
-            for i in range(batch.num_rows):
-                index = Index(unpacked(batch.column("ids")[i].as_py()), longest)
-                allowed = np.sort(batch.column("frequent")[i].values.to_numpy())
-                found = index.extend(*index.words(), 0, allowed)
-                for m in range(3, longest + 1):
-                    found = index.extend(*found, m % 2, allowed)
-                    phrases, _, n = found
-                    if not len(n):
-                        break
-                    offsets = np.arange(len(n) + 1, dtype=np.int32) * (4 * m)
-                    keys = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(phrases.astype(">u4").tobytes())])
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(n)], ["key", "n"])
+            own = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+            own[known[0].to_numpy()] = known[1].to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pa.array([packed(_squeezed(own[ids]))])], ["shard", "ids"])
+
+
+def _pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    index = Index(ids, 2)
+    phrases, _, n = index.extend(*index.words(), 0, None)
+    return phrases, n
+
+
+def _count_pairs(ids: np.ndarray, batch: pa.RecordBatch, i: int, counts: _Counts) -> None:
+    counts.add(*_pairs_of(ids))
+
+
+def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            phrases, _ = _pairs_of(_stored_ids(batch, i))
+            pairs = pa.array([phrases[:, 0] << 32 | phrases[:, 1]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pairs], ["shard", "pairs"])
+
+
+def _count_longer(longest: int, frequent=None) -> Callable:
+    """Counts phrases of three words and more, all of whose bigrams are frequent in the corpus."""
+
+    def each(ids: np.ndarray, batch: pa.RecordBatch, i: int, counts: _Counts) -> None:
+        allowed = frequent.value if frequent is not None else np.sort(batch.column("frequent")[i].values.to_numpy())
+        index = Index(ids, longest)
+        found = index.extend(*index.words(), 0, allowed)
+        for m in range(3, longest + 1):
+            found = index.extend(*found, m % 2, allowed)
+            if not len(found[2]):
+                break
+            counts.add(found[0], found[2])
+
+    return each
+
+
+def _frequent(least: int):
+    """Sums the counts of a bucket; gives the keys of ``least`` occurrences or more."""
+
+    def run(group: pa.Table) -> pa.Table:
+        m = group.column("m")[0].as_py()
+        phrases = np.concatenate([_from_planes(x, "<u4", m) for x in group.column("phrases").to_pylist()])
+        counts = np.concatenate([_from_planes(x, "<i8")[:, 0] for x in group.column("counts").to_pylist()])
+        phrases, counts = _summed(phrases, counts)
+        on = counts >= least
+        offsets = np.arange(int(on.sum()) + 1, dtype=np.int32) * (4 * m)
+        keys = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(phrases[on].astype(">u4").tobytes())])
+        return pa.table({"key": keys, "f": pa.array(counts[on])})
 
     return run
 
@@ -194,11 +309,14 @@ def _key(number: Column, size: int) -> Column:
     return F.unhex(F.lpad(F.hex(number), 2 * size, "0"))
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = SHARD, table_words: int = WORDS, table_pairs: int = PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Languages (lang, n), words (lang, word, id, key, f) and phrases (key, m, f), both of ``least`` occurrences or more.
 
-    A key is the ids of a phrase's words, four bytes each; an id belongs to a word of one language.
+    A key is the ids of a phrase's words, four bytes each; an id belongs to a word of one language.  Frequent words and
+    bigrams go to every task if there are no more of them than ``table_words`` and ``table_pairs``; beyond that every
+    shard gets its own by a join, with the same counts.
     """
+    spark = docs.sparkSession
     shards = make_shards(docs, size)
     each = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     counted = materialise(each.groupBy("lang", "word").agg(F.sum("c").alias("f")), "phrases-words")
@@ -207,29 +325,58 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     number = F.when(F.col("_rank") < (1 << 31) - 2, F.col("_rank") + 1).otherwise(F.raise_error(F.lit("more than 2^31 frequent words")))
     words = materialise(ranked.select("lang", "word", number.alias("id"), _key(number, 4).alias("key"), "f"), "phrases-frequent")
 
-    local = shards.select("shard", "lang", F.posexplode("words").alias("at", "word"))
-    numbers = words.select(F.col("lang").alias("l"), F.col("word").alias("w"), "id")
-    known = local.join(numbers, (F.col("lang") == F.col("l")) & (F.col("word") == F.col("w")))
-    known = known.groupBy("shard").agg(F.collect_list(F.struct((F.col("at") + 1).cast("long").alias("at"), "id")).alias("known"))
-    coded = shards.select("shard", "ids").join(known, "shard").mapInArrow(lean(_bigrams), "shard long, ids binary, pairs array<long>, n array<long>")
-    coded = materialise(coded, "phrases-bigrams")
-
-    pairs = coded.select("shard", F.explode(F.arrays_zip("pairs", "n")).alias("x")).select("shard", F.col("x.pairs").alias("pair"), F.col("x.n").alias("n"))
-    two = materialise(pairs.groupBy("pair").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrases-pairs")
-    frequent = pairs.select("shard", "pair").join(two.select(F.col("pair").alias("p")), F.col("pair") == F.col("p"), "left_semi")
-    frequent = frequent.groupBy("shard").agg(F.collect_list("pair").alias("frequent"))
-    more = coded.select("shard", "ids").join(frequent, "shard").select("ids", "frequent").mapInArrow(lean(_longer(longest)), "key binary, n long")
-    more = more.groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    phrases = two.select(_key(F.col("pair"), 8).alias("key"), "f").unionByName(more)
+    total = langs.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET, 1)
+    few = words.count() <= table_words
+    if few:  # every task gets the table of frequent words
+        known = spark.sparkContext.broadcast(words.select("lang", "word", "id").toArrow())
+        coded, ids_of = shards.select("lang", "ids", "words"), _by_table(known)
+    else:  # every shard gets its own words
+        numbers = words.select(F.col("lang").alias("l"), F.col("word").alias("w"), "id")
+        local = shards.select("shard", "lang", F.posexplode("words").alias("at", "word"))
+        own = local.join(numbers, (F.col("lang") == F.col("l")) & (F.col("word") == F.col("w")))
+        own = own.groupBy("shard").agg(F.collect_list(F.struct((F.col("at") + 1).cast("long").alias("at"), "id")).alias("known"))
+        coded = materialise(shards.select("shard", "ids").join(own, "shard").mapInArrow(lean(_numbered), "shard long, ids binary"), "phrases-coded")
+        ids_of = _stored_ids
+
+    def summed(rows: DataFrame, each: Callable) -> DataFrame:
+        counted = rows.mapInArrow(lean(_over_shards(ids_of, buckets, each)), _COUNTS)
+        return counted.groupBy("m", "bucket").applyInArrow(_frequent(least), "key binary, f long")
+
+    two = materialise(summed(coded, _count_pairs), "phrases-pairs")
+    pair = F.conv(F.hex("key"), 16, 10).cast("long")
+    if few and two.count() <= table_pairs:
+        allowed = spark.sparkContext.broadcast(np.sort(two.select(pair.alias("pair")).toArrow().column("pair").to_numpy()))
+        more = summed(coded, _count_longer(longest, allowed))
+    else:
+        if few:
+            coded, ids_of = materialise(_with_shard(shards, known), "phrases-coded"), _stored_ids
+        pairs = coded.mapInArrow(lean(_list_pairs), "shard long, pairs array<long>").select("shard", F.explode("pairs").alias("pair"))
+        frequent = pairs.join(two.select(pair.alias("p")), F.col("pair") == F.col("p"), "left_semi")
+        frequent = frequent.groupBy("shard").agg(F.collect_list("pair").alias("frequent"))
+        more = summed(coded.join(frequent, "shard").select("ids", "frequent"), _count_longer(longest))
+    phrases = two.unionByName(more)
     return langs, words, materialise(phrases.select("key", F.expr("length(key) div 4").cast("int").alias("m"), "f"), "phrases-counts")
 
 
+def _with_shard(shards: DataFrame, words) -> DataFrame:
+    """(shard, ids) with corpus-wide ids."""
+    ids_of = _by_table(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), pa.array([packed(ids_of(batch, i))])], ["shard", "ids"])
+
+    return shards.select("shard", "lang", "ids", "words").mapInArrow(lean(run), "shard long, ids binary")
+
+
 def _whole(a: Column, b: Column) -> Column:
     """floor(a / b) of non-negative whole decimals, without rounding."""
     return ((a - a % b) / b).cast("long")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, size: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, size: int = SHARD, table_words: int = WORDS, table_pairs: int = PAIRS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's ``first`` best phrases of two to ``longest`` words.
 
     Words are stretches without space and tab in pieces between sentence marks and line ends, A-Z lowered; a null
@@ -238,7 +385,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     ordered by count, then by the phrase's bytes.  Rows that repeat or have null ids count each; whole texts count;
     an empty table gives an empty result; further columns, whatever their names, are not read.
     """
-    langs, words, phrases = phrase_counts(docs, least, longest, size)
+    langs, words, phrases = phrase_counts(docs, least, longest, size, table_words, table_pairs)
     long = phrases.filter("m > 2")
     parts = long.select(F.expr("substring(key, 1, 4 * (m - 1))").alias("part"), "f").unionByName(long.select(F.expr("substring(key, 5)").alias("part"), "f"))
     longer = parts.groupBy("part").agg(F.max("f").alias("most"))

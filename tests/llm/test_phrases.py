@@ -72,8 +72,8 @@ def test_packing_of_ids():
     assert (phrases.unpacked(phrases.packed(ids)) == ids).all()
 
 
-@pytest.mark.parametrize("size", [40, 1 << 20])
-def test_by_brute_force(spark, size):
+@pytest.mark.parametrize("size, tables", [(40, (1 << 18, 1 << 20)), (1 << 20, (1 << 18, 1 << 20)), (40, (1 << 18, 0)), (40, (0, 0))])
+def test_by_brute_force(spark, size, tables):
     rng = np.random.default_rng(5)
     names = [*"abcdefgh", "É", "Ü|x"]
     rows = []
@@ -84,7 +84,7 @@ def test_by_brute_force(spark, size):
     rows += [("fr", None), (None, ""), ("one", "one"), ("en", ". , ;")]
     df = spark.createDataFrame(rows, "lang string, text string")
     for first in (2000, 5):
-        assert collected(phrases.collocations(df, least=6, first=first, size=size)) == brute(rows, 6, first)
+        assert collected(phrases.collocations(df, least=6, first=first, size=size, table_words=tables[0], table_pairs=tables[1])) == brute(rows, 6, first)
 
 
 def test_odd_rows(spark, odd, none):
