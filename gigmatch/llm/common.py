@@ -204,4 +204,24 @@ def only_rows(rows: DataFrame, wanted: DataFrame, name: str = "wanted") -> DataF
     return marked(rows, some, ["_bits"], lambda df: df.filter(has_bit(F.col("_bits"), F.col("_row"))).drop("_bits"))
 
 
+#: Columns of ``documents``; helpers have other names.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` (docs, …) for tables with further columns of any name: it sees them under names that clash with nothing."""
+
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        names = docs.columns
+        away = {c: f"further_{i}_{uuid.uuid4().hex}" for i, c in enumerate(names) if c not in COLUMNS}
+        if not away:
+            return stage(docs, *args, **more)
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        kept = stage(docs.select(*[quoted(c).alias(away.get(c, c)) for c in names]), *args, **more)
+        return kept.select(*[F.col(away.get(c, c)).alias(c) for c in names])
+
+    run.__doc__, run.__name__ = stage.__doc__, stage.__name__
+    return run
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bounded, documents, drop_rows, file_numbers, materialise, new_dir, only_rows, placed, row_number, with_rows
+from gigmatch.llm.common import apart, bounded, documents, drop_rows, file_numbers, materialise, new_dir, only_rows, placed, row_number, with_rows
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Disk-backed state; without allocating files ahead, which costs megabytes for each partition however small, and with
@@ -197,6 +197,7 @@ def dedup_files(spark: SparkSession, paths: list[str], folder: str, digest: Call
     return where.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", F.col("_file").alias("path"), F.col("locator").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
 
 
+@apart
 def keep_first(docs: DataFrame, stored: bool = False) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were; rows are told apart by their places."""
     rows = with_rows(docs, "dedup-rows", stored)

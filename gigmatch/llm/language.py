@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import documents, drop_rows, id_remainder, materialise, slices, with_rows
+from gigmatch.llm.common import apart, documents, drop_rows, id_remainder, materialise, slices, with_rows
 from gigmatch.llm.workers import lean
 
 ORDERS = (3, 4)
@@ -185,6 +185,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, train(rows.filter(id_remainder(F.col("doc_id"), 4) != 2)))
 
 
+@apart
 def keep_known(docs: DataFrame, least_score: float, stored: bool = False) -> DataFrame:
     """``docs`` without the rows whose language is unknown or scored below ``least_score``, all columns as they were.
 

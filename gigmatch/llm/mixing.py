@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bitmaps, documents, has_bit, marked, materialise, slices, with_rows
+from gigmatch.llm.common import apart, bitmaps, documents, has_bit, marked, materialise, slices, with_rows
 from gigmatch.llm.features import NAMES, line_features
 from gigmatch.llm.token_counts import STOP, Automaton, load_pieces
 from gigmatch.llm.words import Numbers, default_vocabulary, words
@@ -27,6 +27,10 @@ TARGETS = {"clean": 0.91, "low": 0.05, "toxic": 0.04}
 #: Expected number of labelled training documents, words taken as features at most, and the least gain (in nats over
 #: the sample) that keeps chance out of them.
 TRAIN_DOCS, WORDS, LEAST_GAIN = 6000, 300, 8.0
+#: Training documents of a domain that has so many, however rare it is among the labels; a rarer one gives all.
+LEAST_DOCS = 200
+#: Part of the first domain's expected tokens that a bounded fit may lose at most.
+LOSS = 0.03
 EPOCHS, RATE = 300, 0.05
 #: Of the training documents, every so many-th is held out to calibrate the posteriors.
 HELD_OUT = 5
@@ -81,8 +85,9 @@ class DomainModel:
     words: dict[str, int]
     scale: np.ndarray
     weights: np.ndarray
-    #: Domains that training documents had.
+    #: Domains that training documents had, and by how many nats held-out labels are likelier than by base rates.
     seen: set[str] = field(default_factory=set)
+    gain: float = np.inf
 
     def features(self, texts: list[str], table: WordTable, numbers: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.words) + 1))
@@ -143,23 +148,31 @@ def calibration(out: np.ndarray, y: np.ndarray) -> float:
     """
     factors = 2.0 ** np.linspace(-3, 1, 33)
 
-    def loss(f: float) -> float:
-        z = out * f - (out * f).max(1, keepdims=True)
-        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).sum())
-
+    loss = lambda f: _log_loss(out * f, y)
     best = min(factors, key=loss)
     return float(best) if loss(1.0) - loss(best) >= LEAST_EVIDENCE else 1.0
 
 
+def _log_loss(out: np.ndarray, y: np.ndarray) -> float:
+    z = out - out.max(1, keepdims=True)
+    return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: int = TRAIN_DOCS) -> DomainModel:
-    """Softmax regression on line shapes and telling words of about ``train_docs`` labelled documents, by a hash of the id.
+    """Softmax regression on line shapes and telling words of about ``train_docs`` labelled documents, by a hash of the id,
+    and of ``LEAST_DOCS`` of each domain or all that it has.
 
     Texts stay in the cluster; the driver gets one feature vector per training document.  How sure the posteriors are
     is set on a part of these documents that a first fit leaves out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
     known = known.filter(F.col("domain").isin(domains))
-    share = min(1.0, train_docs / max(known.count(), 1))
+    counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per domain
+    even = min(1.0, train_docs / max(sum(counts.values()), 1))
+    shares = {d: max(even, min(1.0, LEAST_DOCS / n)) for d, n in counts.items()}
+    share = F.lit(0.0)
+    for d, x in shares.items():
+        share = F.when(F.col("domain") == d, x).otherwise(share)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.groupBy("doc_id").agg(F.max("domain").alias("domain"))  # about train_docs rows
     sample = materialise(docs.join(F.broadcast(chosen), "doc_id").select("text", "domain"), "mix-sample")
@@ -184,7 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: in
         model.weights = fit_softmax(x, y, len(domains))
         out = np.arange(len(y)) % HELD_OUT == 0  # rows are in the order of their features
         if len(np.unique(y[~out])) == len(np.unique(y)) > 1 and out.sum() >= 20:
-            model.weights = model.weights * calibration(x[out] @ fit_softmax(x[~out], y[~out], len(domains)), y[out])
+            scores = x[out] @ fit_softmax(x[~out], y[~out], len(domains))
+            factor = calibration(scores, y[out])
+            model.weights = model.weights * factor
+            base = np.bincount(y[~out], minlength=len(domains)) / (~out).sum()
+            model.gain = float(np.log(base[y[out]]).sum() * -1 - _log_loss(scores * factor, y[out]))
+        # A domain of which a larger share was taken is that much rarer in truth; the last feature is 1.
+        model.weights[-1] -= np.log([shares.get(d, 1.0) / max(shares.values()) for d in domains])
     return model
 
 
@@ -281,7 +300,7 @@ def fit_kept(members: DataFrame, targets: list[float], most: float = 1.0) -> tup
 
     No domain is wanted beyond ``most`` times what it has: a scarce one keeps its documents (at 1), and no other is
     lowered in its stead.  Totals that no such rates meet are approached until a step no longer lowers the largest
-    error by a hundredth.
+    error by a hundredth, or would lose more than ``LOSS`` of the first domain's tokens.
     """
     n = len(targets)
 
@@ -319,7 +338,7 @@ def fit_kept(members: DataFrame, targets: list[float], most: float = 1.0) -> tup
             for _ in range(6):
                 after, free = totals([*steps, step.tolist()])
                 left = np.abs((after - want) / scale).max()
-                if left < error:
+                if left < error and after[0] >= (1 - LOSS) * want[0]:
                     best = step, after, free, left
                     break
                 step = step / 2
@@ -336,10 +355,14 @@ def fit_kept(members: DataFrame, targets: list[float], most: float = 1.0) -> tup
 
 
 def kept_rates(rows: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 1.0) -> DataFrame:
-    """_row and rate, from 0 to ``most``, of every row (of ``with_rows``); all are 1 if no training document has one of the domains."""
+    """_row and rate, from 0 to ``most``, of every row (of ``with_rows``).
+
+    All are 1 if no labelled document has one of the domains, or if held-out labels are no likelier by the posteriors
+    than by base rates: what can't be told apart isn't mixed.
+    """
     texts = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(texts.select("doc_id", "text"), labels, list(targets))
-    if model.seen != set(targets):
+    if model.seen != set(targets) or model.gain < LEAST_EVIDENCE:
         return texts.select("_row", F.lit(1.0).alias("rate"))
     members = materialise(memberships(texts, model, "_row"), "mix-members")
     steps, _ = fit_kept(members, list(targets.values()), most)
@@ -371,6 +394,7 @@ def draw_copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
     return marked(rows, materialise(wide, "mix-flags"), [f"_bits_{k}" for k in kinds], repeat if kinds[-1] > 1 else once).drop("_row", "_copy")
 
 
+@apart
 def sample_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 1.0, stored: bool = False) -> DataFrame:
     """``docs`` with each row as often as its own ``kept_rates`` say; with ``most`` at 1, none is repeated.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bounded, documents, drop_rows, materialise, only_rows, slices, with_rows
+from gigmatch.llm.common import apart, bounded, documents, drop_rows, materialise, only_rows, slices, with_rows
 from gigmatch.llm.components import components
 from gigmatch.llm.workers import lean
 
@@ -480,6 +480,7 @@ def _grouped(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
     )
 
 
+@apart
 def keep_one(docs: DataFrame, stored: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns as they were.
 

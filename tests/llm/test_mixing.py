@@ -123,3 +123,41 @@ def test_a_row_is_drawn_by_its_own_rate(spark, monkeypatch):
     monkeypatch.setattr(mixing, "kept_rates", rates)
     kept = mixing.sample_by_rate(docs, docs)
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "good"), (1, "good")]
+
+
+def shapes(n, seed):
+    """Documents of three kinds that lines and words tell apart."""
+    rng = np.random.default_rng(seed)
+    word = lambda kind: f"{kind}{rng.integers(0, 40)}"
+    return lambda kind: " ".join(word(kind if rng.random() < 0.5 else "w") for _ in range(n))
+
+
+def test_a_rare_domain_is_not_missed_by_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TRAIN_DOCS", 600)
+    make, rows, labels = shapes(20, 1), [], []
+    kinds = ["clean"] * 19_000 + ["low"] * 960 + ["toxic"] * 40
+    for i, kind in enumerate(kinds):
+        rows.append((i, make(kind), kind))
+        labels.append((i, int(kind != "low"), int(kind == "toxic")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(8)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = mixing.train(docs.select("doc_id", "text"), table, list(mixing.TARGETS), 600)
+    assert model.seen == set(mixing.TARGETS) and model.gain > 100
+    targets = {"clean": 0.985, "low": 0.0145, "toxic": 0.0005}
+    kept = {r.kind: r.n for r in mixing.sample_by_rate(docs, table, targets).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kept["clean"] > 0.97 * 19_000 and kept["low"] < 500 and kept.get("toxic", 0) < 25
+
+
+def test_texts_that_tell_nothing_are_not_mixed(spark):
+    rng = np.random.default_rng(2)
+    kinds = rng.choice(3, 3000, p=[0.6, 0.3, 0.1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 30))) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k != 1), int(k == 2)) for i, k in enumerate(kinds.tolist())], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in mixing.sample_by_rate(docs, labels).collect()}
+    assert len([i for i in kept if kinds[i] == 0]) >= 0.95 * (kinds == 0).sum()
+
+
+def test_weak_posteriors_don_t_cost_the_first_domain(spark):
+    members = spark.createDataFrame([(100, [0.6, 0.3, 0.1])] * 50, "tokens long, p array<double>")
+    steps, told = mixing.fit_kept(members, list(mixing.TARGETS.values()))
+    assert told["got"][0] >= (1 - mixing.LOSS) * told["have"][0]

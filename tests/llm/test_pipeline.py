@@ -67,3 +67,22 @@ def test_stages_on_an_empty_table(spark, sf1):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, sf1), "empty")
         assert docs.count() == 0
+
+
+def test_whole_run_on_odd_rows(spark, sf1, odd, tmp_path):
+    """Odd rows among plain ones, with columns whose names the library uses inside; no column changes on the way."""
+    plain = spark.read.parquet(f"{sf1}/documents.parquet")
+    both = odd.unionByName(plain.withColumn("doc_id", plain["doc_id"] + 1000), allowMissingColumns=True)
+    both.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf1}/labels.parquet").selectExpr("doc_id + 1000 AS doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, before = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    for name, stage in corpus_pipeline.STAGES:
+        after = materialise(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+        if name != "packing":
+            assert after.columns == both.columns
+            assert after.exceptAll(docs).isEmpty()
+        docs, before = after, docs
+    kept = {r.doc_id for r in before.select("doc_id").collect()}
+    assert not kept & {3, 4, 5} and {1, 9} & kept and not {2, 8} & kept
+    assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
