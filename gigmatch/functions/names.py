@@ -64,5 +64,15 @@ def similarity(event: Column, taste: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(normalize_name(event), normalize_name(taste))
 
 
+def _plain_ratios(event: pd.Series, taste: pd.Series) -> pd.Series:
+    return _ratios(event.str.lower().str.strip(), taste.str.lower().str.strip())
+
+
+def name_similarity(event: Column, taste: Column) -> Column:
+    """``similarity``; where a name has no Latin letters or digits, that of the names as they are but for case."""
+    bare = (normalize_name(event) == "") | (normalize_name(taste) == "")
+    return F.when(bare, F.pandas_udf(_plain_ratios, "double")(event, taste)).otherwise(similarity(event, taste))
+
+
 def track_match_score(artist: Column, track: Column, cand_artist: Column, cand_track: Column) -> Column:
-    return F.round(similarity(artist, cand_artist) * 0.5 + similarity(track, cand_track) * 0.5, 6)
+    return F.round(name_similarity(artist, cand_artist) * 0.5 + name_similarity(track, cand_track) * 0.5, 6)

@@ -126,6 +126,7 @@ def nearest_neighbors(vectors: DataFrame, top_n: int = 10, targets: DataFrame |
 def signals(plays: DataFrame, tags: DataFrame, matched: DataFrame, ref: Column, half_life: float = HALF_LIFE_DAYS, affinity_cap: int | None = 10_000, unplayed_recency: float = 1.0, by: list[str] = []) -> DataFrame:
     """The five signals of every key in ``matched`` (…, key).
 
+    With ``by`` and a ``matched`` of keys alone, each group has those that it played and those near its taste.
     Affinity beyond the cap counts as none.  A performer never played has full recency unless told otherwise.
     """
     affinity = decayed_affinity(plays, ref, half_life, by)
@@ -133,6 +134,8 @@ def signals(plays: DataFrame, tags: DataFrame, matched: DataFrame, ref: Column,
     taste = taste_vector(tags, affinity, by)
     near = adjacency(tags.join(matched.select("key").distinct(), "key", "left_semi"), taste, by)
     days = last_play_days(plays, ref, by)
+    if by and by[0] not in matched.columns:
+        matched = near.select(*by, "key").unionByName(days.select(*by, "key").join(matched.select("key").distinct(), "key", "left_semi").select(*by, "key")).distinct()
     joined = (
         matched.join(affinity.select(*by, "key", "weight", "play_count"), [*by, "key"], "left")
         .join(near, [*by, "key"], "left")

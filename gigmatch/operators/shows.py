@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gigmatch.functions import links, scoring, venues
 from gigmatch.functions.times import day_label, format_time_12h, show_epoch
+from gigmatch.operators.travel import first_containing
 
 SOON_SECONDS = 7200
 FEED_LIMIT, PLAYLIST_LIMIT, MAX_PLAYS, LEAST_DISCOVERY_SHARE = 2000, 30, 25, 0.5
@@ -77,24 +78,35 @@ def read_jdbc_matrix(venue_table: DataFrame, base_matrix: DataFrame, home_cell:
     )
 
 
-def read_jdbc_tables(spark: SparkSession, url: str, venue_table: str, matrix_table: str, home_cell: str, properties: dict[str, str] = {}) -> DataFrame:
-    """``read_jdbc_matrix`` of two tables in a database; only the home cell's rows leave it."""
-    venue = spark.read.jdbc(url, venue_table, properties=properties).select(F.col("venue_id"), F.col("name"))
-    matrix = spark.read.jdbc(url, matrix_table, properties=properties).select("venue_id", "cell_id", "base_seconds", "base_meters")
+def read_jdbc_tables(spark: SparkSession, url: str, venue_table: str, matrix_table: str, home_cell: str, properties: dict[str, str] = {}, partitions: int = 8) -> DataFrame:
+    """``read_jdbc_matrix`` of two tables in a database, read in ``partitions`` ranges of venue_id.
+
+    The database filters the home cell and the columns: no other row leaves it.  The ranges come from the home cell's
+    own smallest and largest id.
+    """
+    home = spark.read.jdbc(url, matrix_table, properties=properties).filter(F.col("cell_id") == home_cell)
+    low, high = (int(x or 0) for x in home.agg(F.min("venue_id"), F.max("venue_id")).first())
+
+    def ranged(table: str) -> DataFrame:
+        return spark.read.jdbc(url, table, column="venue_id", lowerBound=low, upperBound=high + 1, numPartitions=partitions, properties=properties)
+
+    matrix = ranged(matrix_table).select("venue_id", "cell_id", "base_seconds", "base_meters")
+    venue = ranged(venue_table).select("venue_id", "name").filter(F.col("venue_id").between(low, high))
     return read_jdbc_matrix(venue, matrix, home_cell)
 
 
 def venue_travel(venue_names: DataFrame, travel: DataFrame) -> DataFrame:
     """(venue, minutes, miles): the first travel row, by venue_id, whose name holds the venue's or lies in it.
 
-    Runs on distinct venue names against the small travel table, not on shows.  Empty normal forms match nothing.
+    Distinct names run through automata of the other side's (``travel.first_containing``).  Empty normal forms match
+    nothing.
     """
-    asked = venue_names.select("venue").distinct().withColumn("_v", venues.normalize_venue(F.col("venue")))
+    asked = venue_names.select("venue").distinct().withColumn("_v", venues.normalize_venue(F.col("venue"))).filter("_v <> ''")
     there = travel.select("venue_id", "minutes", "miles", venues.normalize_venue(F.col("name")).alias("_k"))
-    near = (F.col("_v") != "") & (F.col("_k") != "") & (F.col("_v").contains(F.col("_k")) | F.col("_k").contains(F.col("_v")))
-    pairs = asked.join(F.broadcast(there) if there.limit(100_001).count() <= 100_000 else there, near)
-    first = F.min_by(F.struct("minutes", "miles"), "venue_id").alias("_f")
-    return pairs.groupBy("venue").agg(first).select("venue", "_f.minutes", "_f.miles")
+    first = first_containing(asked.select(F.col("_v").alias("v")).distinct(), there.filter("_k <> ''").select(F.col("_k").alias("k"), "venue_id"))
+    one = there.groupBy("venue_id").agg(F.min(F.struct("minutes", "miles")).alias("_f")).withColumnRenamed("venue_id", "_id")
+    pairs = asked.join(first, F.col("_v") == F.col("v")).join(one, F.col("venue_id") == F.col("_id"))
+    return pairs.select("venue", "_f.minutes", "_f.miles")
 
 
 def best_link(rows: DataFrame, group: list[str], url: str = "ticket_url", ord: str = "ord") -> DataFrame:

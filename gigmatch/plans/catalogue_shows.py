@@ -635,50 +635,14 @@ def resolve_tracks(spark, sf):
 # --- streams, drained ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT user_id, scrobbled_at, artist_name, track_name FROM plays ")
-def stream_plays(spark, sf):
-    rows = views.plays(spark, sf).drop("artist_id")
-    path = streams.shared_dir(spark, "plays-in")
-    rows.repartition(2, "user_id").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    out = streams.shared_dir(spark, "plays-out")
-    once = streams.stream_plays(stream, rows.columns, "4000 days")
-    streams.drain(once, "append", streams.shared_dir(spark, "state"), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
-
-
-@query(f"SELECT user_id, key, weight, play_count FROM ({AFFINITY}) JOIN (SELECT DISTINCT user_id FROM plays) USING (user_id)")
-def stream_affinity(spark, sf):
-    rows = keyed(spark, sf).select("user_id", "key", "scrobbled_at")
-    path, out = streams.shared_dir(spark, "affinity-in"), streams.shared_dir(spark, "affinity-out")
-    rows.repartition(2).write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    epoch = F.lit("2000-01-01").cast("timestamp")
-    summed = streams.stream_affinity(stream, epoch, HALF_LIFE, ["user_id"])
-    streams.drain(summed, "complete", streams.shared_dir(spark, "state"), lambda b, i: b.write.mode("overwrite").parquet(out))
-    return streams.rescale_affinity(spark.read.parquet(out), epoch, ref(), HALF_LIFE)
-
-
-@query(f"SELECT * FROM ({DIFFS}) WHERE source IN (SELECT source FROM captures)")
-def stream_snapshot_diff(spark, sf):
-    rows = views.captures(spark, sf).select("source", "captured_at", "source_id", "openers", "headliner", "date")
-    path, out = streams.shared_dir(spark, "captures-in"), streams.shared_dir(spark, "captures-out")
-    first = F.lit("2024-01-16").cast("date")
-    rows.filter(F.col("captured_at") < first).coalesce(1).write.parquet(path)
-    rows.filter(F.col("captured_at") >= first).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    streams.stream_snapshot_diff(stream, out, streams.shared_dir(spark, "state"))
-    return spark.read.parquet(f"{out}/changes").drop("batch")
-
-
 @query(f"SELECT * FROM ({HEALTH}) WHERE source IN (SELECT source FROM captures)")
 def stream_source_health(spark, sf):
     rows = run_counts(spark, sf)
     path, out = streams.shared_dir(spark, "counts-in"), streams.shared_dir(spark, "counts-out")
-    first = F.lit("2024-01-16").cast("date")
-    rows.filter(F.col("captured_at") < first).coalesce(1).write.parquet(path)  # one row per source and day
-    rows.filter(F.col("captured_at") >= first).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("source string, captured_at date, n bigint").option("maxFilesPerTrigger", 1).parquet(path)
-    streams.stream_source_health(stream, out, streams.shared_dir(spark, "state"))
+    state, first = streams.shared_dir(spark, "state"), F.lit("2024-01-16").cast("date")
+    stream = lambda: spark.readStream.schema("source string, captured_at date, n bigint").parquet(path)
+    for part in (rows.filter(F.col("captured_at") < first), rows.filter(F.col("captured_at") >= first)):
+        part.write.mode("append").parquet(path)
+        streams.stream_source_health(stream(), out, state)
     return short_health(spark.read.parquet(f"{out}/health").drop("batch"))
 

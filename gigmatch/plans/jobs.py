@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gigmatch.functions import links, scoring
-from gigmatch.functions.names import MATCH_THRESHOLD, REVIEW_FLOOR, artist_key, normalize_name, track_match_score
+from gigmatch.functions.names import MATCH_THRESHOLD, REVIEW_FLOOR, artist_key, track_match_score
 from gigmatch.operators import captures, history, resolution, shows, upserts
+from gigmatch.operators.tracks import track_candidates
 from gigmatch.sources.json_feeds import parse_play_history
 
 TRACK_THRESHOLD, TRACK_LIMIT = 0.6, 5
@@ -65,13 +66,15 @@ def resolve_events(
 
 
 def score_shows(plays: DataFrame, artists: DataFrame, tags: DataFrame, matches: DataFrame, version: str, ref: Column, half_life: float = scoring.HALF_LIFE_DAYS, by: list[str] = []) -> DataFrame:
-    """Scores of all matched shows, per listener if ``by`` is given: signals once per performer, best one per show."""
+    """Scores of all matched shows: signals once per performer, best one per show.
+
+    Per listener if ``by`` is given: for the matched performers that a listener has played or that share a tag with the
+    listener's taste.  All others have the same score for everyone, that of no taste, and no row.
+    """
     keyed = history.plays_with_artist(plays, artists, by)
     rows = history.tag_rows(artists, tags)
     who = shows.matched_only(matches).join(artists.select("artist_id", artist_key(F.col("mbid"), F.col("raw_name")).alias("key")), "artist_id")
     matched = who.select("key").distinct()
-    if by:
-        matched = keyed.select(*by, "key").distinct().join(matched, "key", "left_semi")
     signals = scoring.score_terms(history.signals(keyed, rows, matched, ref, half_life, by=by), version)
     scored = who.select("event_id", "artist_id", "key").join(signals, "key").drop("key", *scoring.TERMS)
     return shows.best_score_per_event(scored, by)
@@ -93,11 +96,10 @@ def build_show_feed(events: DataFrame, scores: DataFrame, matches: DataFrame, ar
 def resolve_tracks(requests: DataFrame, catalog: DataFrame, threshold: float = TRACK_THRESHOLD, limit: int = TRACK_LIMIT) -> DataFrame:
     """Requests (artist_name, track_name) with the best track of a catalogue (uri, name, artists) and all candidates.
 
-    Candidates are the catalogue's tracks of the same normalised artist.
+    Candidates are the catalogue's tracks of the same performer, and those that share rare words with the request
+    (``tracks.track_candidates``).  Names without Latin letters are compared as they are.
     """
-    left = requests.select("artist_name", "track_name", normalize_name(F.col("artist_name")).alias("norm"))
-    right = catalog.select("uri", "name", "artists", normalize_name(F.col("artists")).alias("norm"))
-    pairs = left.join(right, "norm")
+    pairs = track_candidates(requests, catalog)
     score = track_match_score(F.col("artist_name"), F.col("track_name"), F.col("artists"), F.col("name"))
     ranked = shows.rank_candidates(pairs.withColumn("match_score", score), ["artist_name", "track_name"], limit)
     listed = F.array_sort(F.collect_list(F.struct("rank", "uri", "name", "match_score")))

@@ -5,13 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gigmatch.functions.scoring import HALF_LIFE_DAYS, decay_weight
+from gigmatch.functions.scoring import DAY_MICROS, HALF_LIFE_DAYS, days_since, decay_weight
 from gigmatch.operators.captures import DROP_SHARE, LEAST_RUNS, TRAILING_RUNS, anomaly
-from gigmatch.sources.shared import shared_dir
+from gigmatch.sources.shared import shared_dir  # noqa: F401
+from gigmatch.sources.stored import StoredTable, insert_ignore
+
+
+#: Half-lives of one landmark of decayed sums: weights within it stay below 2^100.
+SPAN = 100.0
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def drain(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -19,40 +28,128 @@ def drain(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFra
     query.awaitTermination()
 
 
+def _drain_on_disk(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
+    """``drain`` with keyed state on disk; the session's choice of a store is as before afterwards."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        drain(stream, "update", checkpoint, each)
+    finally:
+        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
+
+
 def stream_plays(stream: DataFrame, key: list[str], watermark: str = "30 days", ts: str = "scrobbled_at") -> DataFrame:
     """Plays once per key; repeats within the watermark are dropped, and rows later than it are never seen."""
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)
 
 
-def stream_affinity(stream: DataFrame, epoch: Column, half_life: float = HALF_LIFE_DAYS, by: list[str] = []) -> DataFrame:
-    """(…, key, weight, play_count): decayed sums relative to a fixed epoch; the state per key is two numbers."""
-    weight = F.sum(decay_weight(F.col("scrobbled_at"), epoch, half_life))
-    return stream.groupBy(*by, "key").agg(weight.alias("weight"), F.count(F.lit(1)).alias("play_count"))
+def sink_plays(stream: DataFrame, table: StoredTable, checkpoint: str, watermark: str = "30 days", ts: str = "scrobbled_at") -> None:
+    """``stream_plays`` into a stored table, each batch exactly once.
+
+    A batch adds the plays whose key isn't stored; its number is noted below ``checkpoint`` when it is done.  A batch
+    that comes again is skipped if it is noted, and adds only what is missing if it broke off before.
+    """
+    once = stream_plays(stream, table.key, watermark, ts)
+    drain(once, "append", checkpoint, lambda batch, number: insert_batch(table, batch, number, f"{checkpoint}/applied"))
+
+
+def insert_batch(table: StoredTable, batch: DataFrame, number: int, applied: str) -> int:
+    """Adds a numbered batch to ``table`` unless ``applied`` notes it; how many rows were added."""
+    spark = batch.sparkSession
+    noted = spark.createDataFrame([], "number bigint, added bigint")
+    try:
+        noted = spark.read.schema(noted.schema).parquet(applied)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if not noted.filter(F.col("number") == number).isEmpty():
+        return 0
+    added = insert_ignore(table, batch)
+    spark.createDataFrame([(number, added)], noted.schema).coalesce(1).write.mode("append").parquet(applied)
+    return added
+
+
+def _landmark(ts: Column, epoch: Column, half_life: float, span: float) -> Column:
+    return F.floor(-days_since(ts, epoch) / F.lit(half_life * span))
+
 
+def _landmark_time(number: Column, epoch: Column, half_life: float, span: float) -> Column:
+    return F.timestamp_micros((F.unix_micros(epoch) + number * F.lit(half_life * span * DAY_MICROS)).cast("long"))
 
-def rescale_affinity(state: DataFrame, epoch: Column, ref: Column, half_life: float = HALF_LIFE_DAYS) -> DataFrame:
-    """Weights as of ``ref``: all of them move by one factor."""
-    return state.withColumn("weight", F.round(F.col("weight") * decay_weight(epoch, ref, half_life), 6))
+
+def stream_affinity(stream: DataFrame, epoch: Column, half_life: float = HALF_LIFE_DAYS, by: list[str] = [], span: float = SPAN) -> DataFrame:
+    """(…, key, landmark, weight, play_count): decayed sums, each relative to its landmark.
+
+    Landmarks lie ``span`` half-lives apart, from ``epoch`` on in both directions, and move on with the plays: no sum
+    overflows, however far the epoch lies back.  The state per key and landmark is two numbers.
+    """
+    number = _landmark(F.col("scrobbled_at"), epoch, half_life, span)
+    weight = F.sum(decay_weight(F.col("scrobbled_at"), _landmark_time(F.col("landmark"), epoch, half_life, span), half_life))
+    rows = stream.withColumn("landmark", number)
+    return rows.groupBy(*by, "key", "landmark").agg(weight.alias("weight"), F.count(F.lit(1)).alias("play_count"))
+
+
+def sink_affinity(stream: DataFrame, epoch: Column, out: str, checkpoint: str, half_life: float = HALF_LIFE_DAYS, by: list[str] = [], span: float = SPAN) -> None:
+    """Keep ``stream_affinity`` below ``out``: a batch writes the keys that it changes, and replaces its own folder."""
+    summed = stream_affinity(stream, epoch, half_life, by, span)
+    drain(summed, "update", checkpoint, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+
+
+def read_affinity(spark: SparkSession, out: str, epoch: Column, ref: Column, half_life: float = HALF_LIFE_DAYS, by: list[str] = [], span: float = SPAN) -> DataFrame:
+    """(…, key, weight, play_count) as of ``ref``: the latest sum of each landmark, moved by one factor, added up."""
+    rows = spark.read.parquet(out)
+    latest = rows.groupBy(*by, "key", "landmark").agg(F.max_by(F.struct("weight", "play_count"), "batch").alias("x"))
+    moved = F.col("x.weight") * decay_weight(_landmark_time(F.col("landmark"), epoch, half_life, span), ref, half_life)
+    return latest.groupBy(*by, "key").agg(F.round(F.sum(moved), 6).alias("weight"), F.sum("x.play_count").alias("play_count"))
+
+
+CHANGE = "source string, captured_at date, source_id string, change_type string, opener string"
+
+
+class _CaptureDiff(StatefulProcessor):
+    """State of a source: its last two captures' days, and of each show the last capture that lists it and its openers."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.shows = handle.getMapState("shows", "source_id string", "captured_at date, openers array<string>")
+        self.runs = handle.getValueState("runs", "last date, before date")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        last, before = self.runs.get() if self.runs.exists() else (None, None)
+        known: dict[str, tuple] = {}
+        out = []
+        for day, shows in pd.concat(list(rows)).sort_values(["captured_at", "source_id"], kind="stable").groupby("captured_at", sort=True):
+            if last is not None and day < last:
+                raise ValueError(f"capture {day} of {key[0]} came after {last}")
+            if day != last:
+                last, before = day, last
+            for show, openers in zip(shows["source_id"], shows["openers"]):
+                openers = list(dict.fromkeys(openers)) if openers is not None else []
+                then = known.get(show) or (self.shows.getValue((show,)) if self.shows.containsKey((show,)) else None)
+                if then is None or then[0] != before:
+                    out.append((key[0], day, show, "new_event", ""))
+                else:
+                    out += [(key[0], day, show, "opener_added", o) for o in openers if o not in set(then[1])]
+                known[show] = (day, openers)
+        for show, state in known.items():
+            self.shows.updateValue((show,), state)
+        self.runs.update((last, before))
+        yield pd.DataFrame(out, columns=["source", "captured_at", "source_id", "change_type", "opener"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_snapshot_diff(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Write changes of each capture against the one before of its source, as captures arrive in order.
 
-    Each micro-batch holds whole captures.  The last openers of every show are a table per batch, read back by the
-    next one; a batch that runs again replaces its own folder.
+    Each micro-batch holds whole captures.  The last openers of every show are a map per source in state on disk, of
+    which a capture touches its own shows; sources that don't arrive cost nothing.  A show that left out a capture is
+    new again.  A batch that runs again replaces its own folder.
     """
-    spark = stream.sparkSession
-    schema = "source string, captured_at date, source_id string, openers array<string>, headliner string, date date"
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("source", "captured_at", "source_id", "openers", "headliner", "date")
-        if batch_id:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{out}/last/{batch_id - 1}"))
-        diff_all(rows, batch).write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
-        latest = rows.groupBy("source").agg(F.max("captured_at").alias("captured_at"))
-        rows.join(latest, ["source", "captured_at"]).select(*rows.columns).write.mode("overwrite").parquet(f"{out}/last/{batch_id}")
-
-    drain(stream, "append", checkpoint, each)
+    rows = stream.select("source", "captured_at", "source_id", "openers")
+    changes = rows.groupBy("source").transformWithStateInPandas(_CaptureDiff(), CHANGE, "Update", "None")
+    _drain_on_disk(changes, checkpoint, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/changes/batch={i}"))
 
 
 def diff_all(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
