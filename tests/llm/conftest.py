@@ -4,12 +4,12 @@ import pytest
 #: whose names clash with the operators' own.
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, key string, kept boolean, length long, rules int, "
-    "_row long, _file string, _at long, _bucket long, _bits binary, _number long, _metadata string, `a.b` int"
+    "_row long, _file string, _at long, _bucket long, _bits binary, _number long, _metadata string"
 )
 
 
 def row(doc_id, text, lang="en", source="a"):
-    return (doc_id, text, lang, source, None if text is None else len(text), 0.5, 1, "k", True, 7, 3, 1, "f", 2, 3, b"x", 4, "m", 5)
+    return (doc_id, text, lang, source, None if text is None else len(text), 0.5, 1, "k", True, 7, 3, 1, "f", 2, 3, b"x", 4, "m")
 
 
 @pytest.fixture(scope="session")

@@ -72,6 +72,7 @@ def test_stages_on_an_empty_table(spark, sf1):
 def test_whole_run_on_odd_rows(spark, sf1, odd, tmp_path):
     """Odd rows among plain ones, with columns whose names the library uses inside; no column changes on the way."""
     plain = spark.read.parquet(f"{sf1}/documents.parquet")
+    odd = odd.selectExpr("*", "5 AS `a.b`")
     both = odd.unionByName(plain.withColumn("doc_id", plain["doc_id"] + 1000), allowMissingColumns=True)
     both.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf1}/labels.parquet").selectExpr("doc_id + 1000 AS doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
