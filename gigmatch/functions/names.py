@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MATCH_THRESHOLD, REVIEW_FLOOR = 0.75, 0.55
@@ -64,6 +64,16 @@ def similarity(event: Column, taste: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(normalize_name(event), normalize_name(taste))
 
 
+def register_similarity(spark: SparkSession, name: str = "similarity") -> None:
+    """Makes the ratio of two normal forms callable from SQL: ``name(event, taste)``."""
+
+    def ratios(event: pd.Series, taste: pd.Series) -> pd.Series:
+        plain = lambda names: names.str.lower().str.replace("[^a-z0-9]+", " ", regex=True).str.strip(" ")
+        return _ratios(plain(event), plain(taste))
+
+    spark.udf.register(name, F.pandas_udf(ratios, "double"))
+
+
 def _plain_ratios(event: pd.Series, taste: pd.Series) -> pd.Series:
     return _ratios(event.str.lower().str.strip(), taste.str.lower().str.strip())
 

@@ -195,11 +195,21 @@ def venue_counts(feed: DataFrame) -> DataFrame:
     return counted.select("size", F.try_element_at(table, F.col("size")).alias("label"), "venue", "n")
 
 
-def feed_by_day(feed: DataFrame, sort_mode: str = "date") -> DataFrame:
-    """(day, shows): ids of each day's shows by time, or by score with unscored ones last."""
+def _day_order(sort_mode: str) -> list[Column]:
     by_time = [F.col("timestamp"), F.col("event_id")]
-    order = by_time if sort_mode == "date" else [F.col("score_total").isNull(), -F.coalesce("score_total", F.lit(0)), *by_time]
-    listed = F.array_sort(F.collect_list(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("event_id").alias("id"))))
+    return by_time if sort_mode == "date" else [F.col("score_total").isNull(), -F.coalesce("score_total", F.lit(0)), *by_time]
+
+
+def feed_day_rows(feed: DataFrame, sort_mode: str = "date") -> DataFrame:
+    """(day, place, event_id): a row per show, placed in its day by time, or by score with unscored ones last."""
+    place = F.row_number().over(Window.partitionBy("date").orderBy(*_day_order(sort_mode)))
+    return feed.select(F.col("date").alias("day"), place.alias("place"), "event_id")
+
+
+def feed_by_day(feed: DataFrame, sort_mode: str = "date") -> DataFrame:
+    """(day, shows): ids of each day's shows in the order of ``feed_day_rows``, for days that fit one value."""
+    keys = [c.alias(f"k{i}") for i, c in enumerate(_day_order(sort_mode))]
+    listed = F.array_sort(F.collect_list(F.struct(*keys, F.col("event_id").alias("id"))))
     return feed.groupBy(F.col("date").alias("day")).agg(F.transform(listed, lambda s: s["id"]).alias("shows"))
 
 

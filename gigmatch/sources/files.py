@@ -36,7 +36,7 @@ def write_snapshot(raw_events: DataFrame, captured_at: Column, path: str) -> Non
     rows = raw_events.withColumn("captured_at", captured_at)
     _replace_captures(rows, f"{path}/shows")
     counted = rows.groupBy("source", "captured_at").agg(F.count(F.lit(1)).alias("event_count"))
-    _replace_captures(counted.coalesce(1), f"{path}/captures")  # a row per source
+    _replace_captures(counted, f"{path}/captures")
 
 
 def _replace_captures(rows: DataFrame, path: str) -> None:

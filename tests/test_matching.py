@@ -89,3 +89,11 @@ def test_matrix_is_read_in_ranges_of_the_home_cell(spark):
     assert "EqualTo(CELL_ID,home)" in plan or "EqualTo(cell_id,home)" in plan
     assert "numPartitions=4" in plan and {r.minutes for r in got.collect()} == set(range(1, 101))
     assert shows.read_jdbc_tables(spark, url, "venue", "matrix", "no'where").count() == 0
+
+
+def test_similarity_from_sql(spark):
+    name_functions.register_similarity(spark)
+    df = spark.createDataFrame([("Mt. Joy", "Mount Joy"), ("  A-b ", "a B"), (None, "x"), ("東京", "x")], "a string, b string")
+    df.createOrReplaceTempView("named")
+    got = [r.s for r in spark.sql("SELECT similarity(a, b) AS s FROM named").collect()]
+    assert got == [r.s for r in df.select(name_functions.similarity(F.col("a"), F.col("b")).alias("s")).collect()]
