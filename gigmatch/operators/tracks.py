@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gigmatch.functions.names import normalize_name
-from gigmatch.sources.shared import materialise
+from gigmatch.sources.shared import bounded, materialise
 
 #: Tracks of a token from which on it is frequent, blocks that a request looks into, and tracks that it keeps.
 FREQUENT, RAREST, KEPT = 500, 6, 20
@@ -53,6 +53,9 @@ def track_candidates(requests: DataFrame, catalog: DataFrame, rarest: int = RARE
     asked = materialise(with_tokens(requests.select("artist_name", "track_name").distinct(), "artist_name", "track_name").select(number, "*"), "tracks-asked")
     there = materialise(with_tokens(catalog.select("uri", "name", "artists"), "artists", "name").select(number, "*"), "tracks-there")
     left, right = (t.select("id", F.explode("tokens").alias("token")) for t in (asked, there))
+    # Tokens that no request has make no blocks.
+    some = materialise(left.select(F.col("token").alias("some")).distinct(), "tracks-some")
+    right = right.join(bounded(some), F.col("token") == F.col("some"), "left_semi")
     counts = right.groupBy(F.col("token").alias("hot")).agg(F.count(F.lit(1)).alias("n"))
     frequent = materialise(counts.filter(F.col("n") > many).select("hot"), "tracks-frequent")
 

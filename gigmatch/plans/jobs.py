@@ -12,6 +12,7 @@ from gigmatch.functions.names import MATCH_THRESHOLD, REVIEW_FLOOR, artist_key,
 from gigmatch.operators import captures, history, resolution, shows, upserts
 from gigmatch.operators.tracks import track_candidates
 from gigmatch.sources.json_feeds import parse_play_history
+from gigmatch.sources.shared import materialise
 
 TRACK_THRESHOLD, TRACK_LIMIT = 0.6, 5
 PLAY_KEY = ["scrobbled_at", "artist_name", "track_name"]
@@ -115,7 +116,7 @@ def build_playlist(scores: DataFrame, matches: DataFrame, artists: DataFrame, pl
     counts = history.play_counts(plays, artists).select("artist_id", F.col("n").alias("plays"))
     chosen = shows.select_artists(candidates.join(counts, "artist_id"), limit)
     first = shows.tracks_per_artist(top_tracks).select(F.col("artist_name").alias("raw_name"), "track_name")
-    wanted = chosen.join(first, "raw_name")
+    wanted = materialise(chosen.join(first, "raw_name"), "playlist-wanted")  # a playlist's rows, read by several steps
     resolved = resolve_tracks(wanted.select(F.col("raw_name").alias("artist_name"), "track_name"), catalog)
     uris = resolved.select(F.col("artist_name").alias("raw_name"), F.col("chosen_uri").alias("uri"))
     return wanted.join(uris, "raw_name").select("rank", "artist_id", "raw_name", "track_name", "score", "plays", "under_explored", "uri")
