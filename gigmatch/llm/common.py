@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 300_000
 #: Bits of one of Spark's bitmaps (4 KB each), and how many bitmaps one broadcast may hold (64 MB).
 BITS, BITMAPS = 32_768, 16_384
+#: How many files one broadcast may name.
+FILES = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,24 +66,24 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
-def with_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def with_rank(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
     """Materialise ``df`` in the total order of ``order`` with ``_pid`` (range partition) and ``_pos`` (place in it).
 
     Rows are dealt by range, so a run of equal leading keys is cut by the later ones and no partition has to
     take a whole group.  Positions are stored with the rows: they can't change when something is computed again.
     """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return materialise(ordered.select("*", F.spark_partition_id().alias("_pid"), place.alias("_pos")), name)
 
 
-def partition_offsets(ranked: DataFrame) -> DataFrame:
-    """One row per range partition: rows before it (``_before``) and in all (``_total``).
+def partition_offsets(ranked: DataFrame, size: Column | None = None) -> DataFrame:
+    """One row per range partition: rows before it (``_before``) and in all (``_total``), or sums of ``size`` instead.
 
     The window runs over one row per partition, never over the data.
     """
-    sizes = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = ranked.groupBy("_pid").agg((F.count(F.lit(1)) if size is None else F.sum(size)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return sizes.select(
@@ -116,10 +118,44 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return materialise(docs.select("*", F.monotonically_increasing_id().alias("_row")), name)
 
 
+def file_ranks(files: DataFrame, name: str) -> DataFrame:
+    """``files`` (_file, …; one row per file) by range partitions of paths, with ``_pid`` and ``_pos``; none grows beyond ``FILES``."""
+    files = materialise(files, f"{name}-list")
+    return with_rank(files, ["_file"], name, 2 * files.count() // FILES + 1)
+
+
 def file_numbers(files: DataFrame, first: int = 0) -> DataFrame:
     """(_file, _number) of the distinct paths in ``files`` (_file), in order from ``first``; one row per file."""
-    order = Window.orderBy("_file")  # over one row per file, never over the data
-    return materialise(files.select("_file").distinct().select("_file", (F.row_number().over(order) + (first - 1)).cast("long").alias("_number")), "files")
+    ranked = file_ranks(files.select("_file").distinct(), "file-ranks")
+    joined = ranked.join(F.broadcast(partition_offsets(ranked)), F.col("_pid") == F.col("_opid"))
+    return materialise(joined.select("_file", (F.col("_before") + F.col("_pos") + F.lit(first)).cast("long").alias("_number")), "files")
+
+
+def file_starts(found: DataFrame) -> DataFrame:
+    """(_file, _first): how many places the files before have, by order of paths; only places are read, no column."""
+    ranked = file_ranks(found.groupBy("_file").agg((F.max("_at") + F.lit(1)).alias("_n")), "file-ranks")
+    within = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0))
+    joined = ranked.join(F.broadcast(partition_offsets(ranked, F.col("_n"))), F.col("_pid") == F.col("_opid"))
+    return materialise(joined.select("_file", before.cast("long").alias("_first")), "files")
+
+
+def beside_files(found: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of ``found`` (_file) whose file is in ``files`` (_file, …; materialised, one row per file), with its columns.
+
+    At most ``FILES`` files are broadcast at once: more are cut into ranges of paths, and each range reads its own
+    files only, as Spark leaves out files by their path.
+    """
+    if files.count() <= FILES:
+        return found.join(F.broadcast(files), "_file")
+    ranked = global_rank(files.select("_file"), ["_file"], "file-cuts")
+    cuts = sorted(r["_file"] for r in ranked.filter(F.col("_rank") % FILES == 0).select("_file").collect())  # one per range
+    parts = []
+    for low, high in zip([None, *cuts[1:]], [*cuts[1:], None]):
+        own = F.lit(True) if low is None else F.col("_file") >= low
+        own = own if high is None else own & (F.col("_file") < high)
+        parts.append(found.filter(own).join(F.broadcast(files.filter(own)), "_file"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def placed(docs: DataFrame) -> DataFrame | None:
@@ -139,14 +175,19 @@ def row_number(number: Column, at: Column) -> Column:
 def with_rows(docs: DataFrame, name: str, stored: bool = False) -> DataFrame:
     """``docs`` with ``_row``, a number of its own for every row that each scan gives it again.
 
-    ``stored`` says that ``docs`` reads files and repeats none of their rows: a row is then known by its file and its
-    place there, and nothing is written but the list of files.  Otherwise a numbered copy is written.
+    ``stored`` says that ``docs`` reads files and repeats none of their rows: a row's number is then its place in its
+    file after the rows of all files before, ``_file`` is the path, and nothing is written but the list of files.
+    Otherwise a numbered copy is written.
     """
     found = placed(docs) if stored else None
     if found is None:
         return numbered(docs, name)
-    numbers = file_numbers(found)
-    return found.join(F.broadcast(numbers), "_file").select(*docs.columns, row_number(F.col("_number"), F.col("_at")).alias("_row"))
+    return beside_files(found, file_starts(found)).select(*docs.columns, (F.col("_first") + F.col("_at")).alias("_row"), "_file")
+
+
+def narrow(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``rows`` (of ``with_rows``) and what tells its rows apart."""
+    return rows.select(*columns, *[c for c in ("_row", "_file") if c in rows.columns])
 
 
 def bitmaps(rows: DataFrame, name: str, by: list[str] = []) -> DataFrame:
@@ -163,12 +204,30 @@ def has_bit(bits: Column, row: Column) -> Column:
     return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
 
 
+def _ranges(rows: DataFrame, cuts: list[int]) -> list[Column]:
+    """Conditions that cut ``rows`` into ranges of ``_row``, each true for its own rows only and telling Spark which files to read.
+
+    Files of a table that lies where it was are told by their paths, from a scan that reads no column; in a numbered
+    copy Parquet's own minima and maxima of ``_row`` tell.
+    """
+    edges = [-1, *cuts, 1 << 62]
+    own = [(F.col("_row") >= low) & (F.col("_row") < high) for low, high in zip(edges, edges[1:])]
+    if "_file" not in rows.columns:
+        return own
+    held = rows.groupBy("_file").agg(F.min("_row").alias("low"), F.max("_row").alias("high"))
+    part = lambda c: sum((F.when(F.col(c) >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    spread = held.select("_file", F.explode(F.sequence(part("low"), part("high"))).alias("part"))
+    paths = {r["part"]: r for r in spread.groupBy("part").agg(F.min("_file").alias("low"), F.max("_file").alias("high")).collect()}  # one row per range
+    return [own[i] & F.col("_file").between(r["low"], r["high"]) for i, r in sorted(paths.items())]
+
+
 def marked(rows: DataFrame, bits: DataFrame, columns: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``keep`` of ``rows`` (with ``_row``) beside the bitmaps ``columns`` of its bucket (null where there are none).
+    """``keep`` of ``rows`` (of ``with_rows``) beside the bitmaps ``columns`` of its bucket (null where there are none).
 
     Only bitmaps are broadcast, an eighth of a byte per row and column, and no row of ``rows`` is ever shuffled: beyond
     ``BITMAPS`` of them the row numbers are cut into ranges, each joined with its own bitmaps.  A range of numbers is
-    a range of files, so each file is read for one or two of them.
+    a range of files and opens no other, so all ranges together read the table once, and again only the files
+    that a cut goes through: at most one a range.
     """
 
     def join(part: DataFrame, own: DataFrame) -> DataFrame:
@@ -179,29 +238,26 @@ def marked(rows: DataFrame, bits: DataFrame, columns: list[str], keep: Callable[
     n = bits.count()
     if n <= most:
         return join(rows, bits)
-    cuts = [r["_bucket"] for r in global_rank(bits.select("_bucket"), ["_bucket"], "bucket-ranks").filter(F.col("_rank") % most == 0).select("_bucket").collect()]
-    edges = [None, *sorted(cuts)[1:], None]
+    ranked = global_rank(bits.select("_bucket"), ["_bucket"], "bucket-ranks")
+    firsts = sorted(r["_bucket"] for r in ranked.filter(F.col("_rank") % most == 0).select("_bucket").collect())[1:]  # one per range
     parts = []
-    for low, high in zip(edges, edges[1:]):
-        part, own = rows, bits
-        if low is not None:
-            part, own = part.filter(F.col("_row") >= (low - 1) * BITS), own.filter(F.col("_bucket") >= low)
-        if high is not None:
-            part, own = part.filter(F.col("_row") < (high - 1) * BITS), own.filter(F.col("_bucket") < high)
-        parts.append(join(part, own))
+    for i, own in enumerate(_ranges(rows, [(b - 1) * BITS for b in firsts])):
+        held = F.lit(True) if i == 0 else F.col("_bucket") >= firsts[i - 1]
+        held = held if i == len(firsts) else held & (F.col("_bucket") < firsts[i])
+        parts.append(join(rows.filter(own), bits.filter(held)))
     return reduce(DataFrame.unionByName, parts)
 
 
 def drop_rows(rows: DataFrame, dropped: DataFrame, name: str = "gone") -> DataFrame:
-    """``rows`` (of ``with_rows``) without those whose number is in ``dropped`` (_row), and without ``_row``."""
+    """``rows`` (of ``with_rows``) without those whose number is in ``dropped`` (_row), and without ``_row`` and ``_file``."""
     gone = bitmaps(dropped, name)
-    return marked(rows, gone, ["_bits"], lambda df: df.filter(~has_bit(F.col("_bits"), F.col("_row"))).drop("_bits", "_row"))
+    return marked(rows, gone, ["_bits"], lambda df: df.filter(~has_bit(F.col("_bits"), F.col("_row"))).drop("_bits", "_row", "_file"))
 
 
 def only_rows(rows: DataFrame, wanted: DataFrame, name: str = "wanted") -> DataFrame:
-    """The ``rows`` (of ``with_rows``) whose number is in ``wanted`` (_row)."""
+    """The ``rows`` (of ``with_rows``) whose number is in ``wanted`` (_row), without ``_file``."""
     some = bitmaps(wanted, name)
-    return marked(rows, some, ["_bits"], lambda df: df.filter(has_bit(F.col("_bits"), F.col("_row"))).drop("_bits"))
+    return marked(rows, some, ["_bits"], lambda df: df.filter(has_bit(F.col("_bits"), F.col("_row"))).drop("_bits", "_file"))
 
 
 #: Columns of ``documents``; helpers have other names.

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import apart, bounded, documents, drop_rows, file_numbers, materialise, new_dir, only_rows, placed, row_number, with_rows
+from gigmatch.llm.common import apart, beside_files, bounded, documents, drop_rows, file_numbers, materialise, narrow, new_dir, only_rows, placed, row_number, with_rows
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Disk-backed state; without allocating files ahead, which costs megabytes for each partition however small, and with
@@ -137,7 +137,7 @@ def _decide(rows: DataFrame, digest: Callable[[Column], Column], files_per_trigg
     if log.isEmpty():
         return log.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "locator")
     state = stream_state(spark, f"{base}/log", f"{base}/index", f"{base}/checkpoint", files_per_trigger)
-    return _decisions(spark, log, state, digest, lambda hits: only_rows(rows.select("text", "_row"), hits, "dedup-hits"))
+    return _decisions(spark, log, state, digest, lambda hits: only_rows(narrow(rows, "text"), hits, "dedup-hits"))
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int = 1000, stored: bool = False) -> DataFrame:
@@ -171,29 +171,30 @@ def dedup_files(spark: SparkSession, paths: list[str], folder: str, digest: Call
     known = _stored(spark, "_file string, _number bigint, run int", f"{folder}/files")
     held = known.agg(F.max("_number").alias("n"), F.max("run").alias("run")).first()
     found = placed(spark.read.parquet(*paths).select("doc_id", "text"))
-    fresh = found.join(F.broadcast(known.select("_file")), "_file", "left_anti")
+    unseen = found.select("_file").distinct().join(known.select("_file"), "_file", "left_anti")  # paths only
     run = 0 if held["run"] is None else held["run"] + 1
-    numbers = file_numbers(fresh, 0 if held["n"] is None else held["n"] + 1)
+    numbers = file_numbers(unseen, 0 if held["n"] is None else held["n"] + 1)
     if not numbers.isEmpty():
-        rows = fresh.join(F.broadcast(numbers), "_file").select("doc_id", "text", row_number(F.col("_number"), F.col("_at")).alias("_row"))
+        rows = beside_files(found, numbers).select("doc_id", "text", row_number(F.col("_number"), F.col("_at")).alias("_row"))
         _write_log(rows, digest, f"{folder}/log/run={run}")
         numbers.write.mode("overwrite").parquet(f"{folder}/files/run={run}")  # from here on the run counts
     log = spark.read.schema(f"{LOG}, run int").parquet(f"{folder}/log").drop("run")
     files = spark.read.schema("_file string, _number bigint, run int").parquet(f"{folder}/files").drop("run")
-    log = log.withColumn("_number", F.shiftright("locator", 33)).join(F.broadcast(files), "_number", "left_semi").drop("_number")  # not of a run that failed
+    near = bounded(files)  # for joins of narrow tables
+    log = log.withColumn("_number", F.shiftright("locator", 33)).join(near, "_number", "left_semi").drop("_number")  # not of a run that failed
     state = stream_state(spark, f"{folder}/log", f"{folder}/index", f"{folder}/checkpoint", files_per_trigger)
 
     def texts(hits: DataFrame) -> DataFrame:
         hits = materialise(hits, "dedup-hits")
-        named = hits.select(F.shiftright("_row", 33).alias("_number")).distinct().join(F.broadcast(files), "_number")
+        named = hits.select(F.shiftright("_row", 33).alias("_number")).distinct().join(near, "_number")
         holding = sorted(unquote(r["_file"]) for r in named.select("_file").collect())  # file names only
         if not holding:
             return spark.createDataFrame([], "text string, _row bigint")
-        there = placed(spark.read.parquet(*holding).select("text")).join(F.broadcast(files), "_file")
-        return only_rows(there.select("text", row_number(F.col("_number"), F.col("_at")).alias("_row")), hits, "dedup-hit-bits")
+        there = beside_files(placed(spark.read.parquet(*holding).select("text")), files)
+        return only_rows(there.select("text", row_number(F.col("_number"), F.col("_at")).alias("_row"), "_file"), hits, "dedup-hit-bits")
 
     decided = _decisions(spark, log, state, digest, texts)
-    where = decided.withColumn("_number", F.shiftright("locator", 33)).join(F.broadcast(files), "_number")
+    where = decided.withColumn("_number", F.shiftright("locator", 33)).join(near, "_number")
     return where.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", F.col("_file").alias("path"), F.col("locator").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
 
 
@@ -201,7 +202,7 @@ def dedup_files(spark: SparkSession, paths: list[str], folder: str, digest: Call
 def keep_first(docs: DataFrame, stored: bool = False) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were; rows are told apart by their places."""
     rows = with_rows(docs, "dedup-rows", stored)
-    found = _decide(rows.select("doc_id", "text", "_row"), sha256, 1000)
+    found = _decide(narrow(rows, "doc_id", "text"), sha256, 1000)
     return drop_rows(rows, found.filter(~F.col("kept")).select(F.col("locator").alias("_row")), "dedup-gone")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import bounded, documents, materialise, only_rows, slices, with_rows
+from gigmatch.llm.common import bounded, documents, materialise, narrow, only_rows, slices, with_rows
 from gigmatch.llm.components import components
 from gigmatch.llm.workers import lean
 
@@ -176,7 +176,7 @@ def set_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     members = materialise(members, "minhash-members")
 
     wanted = members.select(F.col("cls").alias("_row")).distinct()
-    texts = only_rows(rows.select("text", "_row"), wanted, "minhash-wanted")
+    texts = only_rows(narrow(rows, "text"), wanted, "minhash-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

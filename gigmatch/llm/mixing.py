@@ -382,7 +382,7 @@ def draw_copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
     counted = materialise(drawn.select("_row", times.alias("times")).filter("times <> 1"), "mix-times")
     kinds = sorted(r["times"] for r in counted.select("times").distinct().collect())  # at most the largest rate's number
     if not kinds:
-        return rows.drop("_row")
+        return rows.drop("_row", "_file")
     flags = bitmaps(counted, "mix-bits", ["times"])
     wide = flags.groupBy("_bucket").agg(*[F.max(F.when(F.col("times") == k, F.col("_bits"))).alias(f"_bits_{k}") for k in kinds])
     held = [has_bit(F.col(f"_bits_{k}"), F.col("_row")) for k in kinds]
@@ -391,7 +391,7 @@ def draw_copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
         many = F.when(flag, F.lit(k)).otherwise(many)
     repeat = lambda df: df.withColumn("_copies", many).filter("_copies > 0").select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     once = lambda df: df.filter(many > 0).select(*rows.columns)
-    return marked(rows, materialise(wide, "mix-flags"), [f"_bits_{k}" for k in kinds], repeat if kinds[-1] > 1 else once).drop("_row", "_copy")
+    return marked(rows, materialise(wide, "mix-flags"), [f"_bits_{k}" for k in kinds], repeat if kinds[-1] > 1 else once).drop("_row", "_file", "_copy")
 
 
 @apart

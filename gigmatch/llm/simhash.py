@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gigmatch.llm.common import apart, bounded, documents, drop_rows, materialise, only_rows, slices, with_rows
+from gigmatch.llm.common import apart, bounded, documents, drop_rows, materialise, narrow, only_rows, slices, with_rows
 from gigmatch.llm.components import components
 from gigmatch.llm.workers import lean
 
@@ -276,7 +276,7 @@ def similar_links(numbered: DataFrame, banded: DataFrame, similar: float) -> Dat
 
     wanted = members.select(F.col("tid").alias("want")).distinct()
     one = banded.join(wanted, banded["tid"] == wanted["want"], "left_semi").groupBy("tid").agg(F.min("_row").alias("_row"))
-    texts = only_rows(numbered.select("text", "_row"), one.select("_row"), "simhash-wanted")
+    texts = only_rows(narrow(numbered, "text"), one.select("_row"), "simhash-wanted")
     texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,7 +488,7 @@ def keep_one(docs: DataFrame, stored: bool = False) -> DataFrame:
     ``docs`` reads files and repeats no row of them; else a copy is written.
     """
     rows = with_rows(docs, "simhash-rows", stored)
-    by_row = _similar(rows.select(F.col("_row").alias("doc_id"), "text", "_row"), SIMILAR)
+    by_row = _similar(narrow(rows.withColumn("doc_id", F.col("_row")), "doc_id", "text"), SIMILAR)
     found = by_row.select(F.col("doc_id").alias("r"), "component_id")
     found = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("id")), found["r"] == F.col("_row"))
     found = materialise(found.select("r", "id", "component_id"), "simhash-found")
