@@ -2,8 +2,9 @@
 
 The neighbour graph of a bounded sample is cut into balanced parts; a small classifier learns to tell a vector's
 part.  Every vector is stored under its most probable part, a query goes to its several most probable ones, and all
-vectors found there are ranked by their exact distance.  How many parts a query visits is set on the sample, by the
-recall reached there against all of the sample.
+vectors found there are ranked by their exact distance.  A query visits parts until their probabilities add up to a
+total, so a clear one visits fewer; the total is set on vectors left out of the fit, by the recall that they reach
+against all of the sample.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ NEAREST, QUERY_EVERY = 10, 100
 #: Sample for the graph and the classifier, its neighbours per vector, and stored vectors wanted per part.
 SAMPLE, GRAPH, PART_ROWS = 6000, 10, 400
 HIDDEN, EPOCHS, BATCH, RATE = 128, 40, 256, 0.003
-#: Recall wanted on the sample; the number of visited parts is the smallest that reaches it.
-WANTED = 0.97
+#: Recall wanted on vectors of the sample that the router wasn't fitted on (a tenth, at most ``ASKED``).
+WANTED, ASKED = 0.97, 600
+#: Divisors of the router's outputs that are tried.
+HEATS = (1.0, 2.0, 4.0, 8.0)
 #: Stored vectors and queries that are compared in one group.
 BLOCK = 1024
 
@@ -84,7 +87,10 @@ def balanced_parts(x: np.ndarray, neighbours: np.ndarray, parts: int, rounds: in
 
 @dataclass
 class Router:
-    """A one-hidden-layer classifier over parts, and the number of parts that a query visits."""
+    """A one-hidden-layer classifier over parts, and the probability that the parts a query visits add up to.
+
+    ``heat`` divides the classifier's outputs, so that probabilities are spread as vectors it wasn't fitted on need it.
+    """
 
     mean: np.ndarray
     spread: np.ndarray
@@ -92,28 +98,61 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    visits: int = 1
-
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(0, (x - self.mean) / self.spread @ self.w1 + self.b1) @ self.w2 + self.b2
-
-    def top(self, x: np.ndarray, k: int) -> np.ndarray:
-        """The k most probable parts, most probable first."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :k]
-
-
-def fit(x: np.ndarray, parts: int, seed: int = 5) -> Router:
-    n, dim = x.shape
+    mass: float = 1.0
+    heat: float = 1.0
+
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row all parts, most probable first, and the probability of the parts before each."""
+        out = (np.maximum(0, (x - self.mean) / self.spread @ self.w1 + self.b1) @ self.w2 + self.b2) / self.heat
+        order = np.argsort(-out, axis=1, kind="stable").astype(np.int32)
+        p = np.exp(np.take_along_axis(out, order, 1) - out.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        return order, np.concatenate([np.zeros((len(p), 1)), np.cumsum(p, 1)[:, :-1]], axis=1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each row, where it is stored."""
+        return self.ranked(x)[0][:, 0]
+
+    def visited(self, x: np.ndarray, held: np.ndarray, least: int) -> list[np.ndarray]:
+        """Per row its most probable parts, until they add up to ``mass`` and hold ``least`` of the ``held`` ids by part."""
+        order, before = self.ranked(x)
+        there = held[order]
+        wanted = (before < self.mass) | (np.cumsum(there, 1) - there < least)
+        return [parts[: max(many, 1)] for parts, many in zip(order, wanted.sum(1))]
+
+
+def tune(router: Router, x: np.ndarray, asked: np.ndarray, near: np.ndarray) -> None:
+    """Sets ``mass`` and ``heat``: the fewest visits by which the rows ``asked`` of ``x`` find ``WANTED`` of their ``near``."""
+    best, home = None, router.home(x)
+    for heat in HEATS:
+        router.heat = heat
+        order, before = router.ranked(x[asked])
+        place = np.argsort(order, axis=1)  # of each part in a row's order
+        needed = np.sort(np.take_along_axis(before, np.take_along_axis(place, home[near], 1), 1), axis=None)
+        mass = float(np.nextafter(needed[int(np.ceil(WANTED * len(needed))) - 1], 2.0))
+        visits = (before < mass).sum()
+        if best is None or visits < best[0]:
+            best = visits, mass, heat
+    _, router.mass, router.heat = best
+
+
+def fit(sample: np.ndarray, parts: int, seed: int = 5) -> Router:
+    """A router fitted on ``sample`` but for a tenth of it (at most ``ASKED``), by which its visits are tuned."""
     rng = np.random.default_rng(seed)
-    k = min(GRAPH, n - 1)
-    near = _nearest(x, x, k, np.arange(n)) if k > 0 else np.zeros((n, 0), np.int64)
-    label = balanced_parts(x, near, parts)
+    mixed = rng.permutation(len(sample))
+    asked, x = mixed[: min(len(sample) // 10, ASKED)], sample
+    if parts > 1:
+        x = sample[np.sort(mixed[len(asked) :])]
+    n, dim = x.shape
     router = Router(
         x.mean(0), np.maximum(x.std(0), 1e-9), rng.normal(0, dim**-0.5, (dim, HIDDEN)), np.zeros(HIDDEN),
         rng.normal(0, HIDDEN**-0.5, (HIDDEN, parts)), np.zeros(parts),
     )
     if parts == 1:
         return router
+    k = min(GRAPH, n - 1)
+    near = _nearest(x, x, k, np.arange(n))
+    label = balanced_parts(x, near, parts)
     # The target is the spread of a vector's neighbours (and itself) over the parts, not its own part alone.
     target = np.zeros((n, parts))
     np.add.at(target, (np.repeat(np.arange(n), k), label[near].ravel()), 1.0)
@@ -134,20 +173,15 @@ def fit(x: np.ndarray, parts: int, seed: int = 5) -> Router:
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 state[name] = (m, v)
                 setattr(router, name, getattr(router, name) - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
-    asked = rng.choice(n, min(n, 600), replace=False)
-    true = _nearest(x, x[asked], k, asked)
-    home, ranked = router.top(x, 1)[:, 0], router.top(x[asked], parts)
-    place = np.argsort(ranked, axis=1)  # of each part in a query's order
-    needed = np.take_along_axis(place, home[true], 1)
-    for visits in range(1, parts + 1):
-        router.visits = visits
-        if (needed < visits).mean() >= WANTED:
-            break
+    tune(router, sample, asked, _nearest(sample, sample[asked], k, asked))
     return router
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of double): not null, not all zero, all components there and finite, of the usual length."""
+    """vec_id and v (array of double): not null, not all zero, all components there and finite, of the usual length.
+
+    Vectors of another length than the most frequent (of several, the smallest) have no distance to it and take no part.
+    """
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
@@ -166,8 +200,8 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, part_
     """query_id, rank, vec_id, score: the k nearest found (Euclidean) of the rows whose id ``every`` divides.
 
     Equal vectors are stored once with their k + 1 smallest ids: no more of them can be in any answer, as ties go to
-    smaller ids.  Rows repeated whole count once.  If a query's parts hold fewer than k candidates it visits all.
-    An empty table gives an empty result.
+    smaller ids.  Rows repeated whole count once.  A query whose parts hold fewer than k candidates goes on to its next
+    most probable ones until they do, or to all.  An empty table gives an empty result.
     """
     rows = materialise(usable(vectors), "vectors").distinct()
     total = rows.count()
@@ -183,24 +217,25 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, part_
     x = np.stack([np.array(v) for v in taken]) if len(taken) > 1 else np.array(stored.limit(2).toPandas()["v"].tolist())
     x = x[np.lexsort(x.T[::-1])]
     router = fit(x, max(1, min(n // part_rows, len(x) // 50)))
-    sparse = n <= router.visits * (k + 1)
 
-    def routed(visits: int):
+    def routed(name: str, route):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
                 if not batch.num_rows:
                     continue
-                top = router.top(flat.reshape(batch.num_rows, -1), visits)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(top.astype(np.int32)))], [*batch.schema.names, "parts"])
+                found = pa.array(route(flat.reshape(batch.num_rows, -1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
         return run
 
-    parts = len(router.b2)
-    visits = parts if sparse else router.visits
-    index = stored.mapInArrow(routed(1), "v array<double>, ids array<long>, parts array<int>")
-    index = materialise(index.select("v", "ids", F.get("parts", F.lit(0)).alias("part")), "vectors-index")
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(routed(visits), "vec_id long, v array<double>, parts array<int>")
+    index = stored.mapInArrow(routed("part", router.home), "v array<double>, ids array<long>, part int")
+    index = materialise(index, "vectors-index")
+    held = np.zeros(len(router.b2), np.int64)
+    for r in index.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect():  # one row per part
+        held[r["part"]] = r["n"]
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    queries = asked.mapInArrow(routed("parts", lambda x: router.visited(x, held, k + 1)), "vec_id long, v array<double>, parts array<int>")
     queries = materialise(queries.select("vec_id", "v", F.explode("parts").alias("part")), "vectors-queries")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -218,11 +253,16 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, part_
     def compare(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(there) and len(asked):
-            y, ids = np.stack(there["v"]), there["ids"].tolist()
-            for query, v in zip(asked["vec_id"], asked["v"]):
-                d = np.sqrt(((y - v) ** 2).sum(1))
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
-                pairs = sorted((d[i], other) for i in near for other in ids[i] if other != query)
+            # Rough squares of distances by one product tell which few get exact ones; the slack is far above their error.
+            y, q, ids = np.stack(there["v"]), np.stack(asked["v"]), there["ids"].tolist()
+            norms, last = (y * y).sum(1), min(k, len(y) - 1)
+            rough = norms - 2 * q @ y.T
+            slack = 1e-9 * (norms.max() + (q * q).sum(1))
+            for query, v, r, more in zip(asked["vec_id"], q, rough, slack):
+                sure = np.isfinite(r).all() and np.isfinite(more)
+                near = np.flatnonzero(r <= np.partition(r, last)[last] + more) if sure else np.arange(len(y))
+                d = np.sqrt(((y[near] - v) ** 2).sum(1))
+                pairs = sorted((s, other) for i, s in zip(near, d) for other in ids[i] if other != query)
                 out += [(query, other, score) for score, other in pairs[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

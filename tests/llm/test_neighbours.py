@@ -41,6 +41,42 @@ def test_recall_with_many_parts_and_blocks(spark, monkeypatch):
     assert compare(got, brute(rows, 20, 10)) >= 0.9
 
 
+def test_few_rows_are_visited_where_vectors_have_structure(spark, monkeypatch):
+    kept = {}
+
+    def keep(df, name, write=neighbours.materialise):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(neighbours, "materialise", keep)
+    rng = np.random.default_rng(4)
+    centres, share = rng.normal(size=(30, 24)) * 2, rng.dirichlet(np.ones(30) * 2)
+    cluster = rng.choice(30, 6000, p=share)
+    rows = [(i, (centres[c] + rng.normal(size=24)).tolist()) for i, c in enumerate(cluster)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, every=20, part_rows=100).collect()
+    assert compare(got, brute(rows, 20, 10)) >= 0.9
+    sizes = {r["part"]: r["count"] for r in kept["vectors-index"].groupBy("part").count().collect()}
+    visits = [sizes.get(r["part"], 0) for r in kept["vectors-queries"].select("part").collect()]
+    assert sum(visits) < 0.25 * 300 * 6000
+
+
+def test_visits_end_at_the_total_and_not_before_enough_ids():
+    odds, held = np.log([0.2, 0.5, 0.3]), np.array([1, 2, 9])
+    router = neighbours.Router(np.zeros(2), np.ones(2), np.zeros((2, 4)), np.zeros(4), np.zeros((4, 3)), odds, mass=0.6)
+    visited = lambda least: [p.tolist() for p in router.visited(np.ones((2, 2)), held, least)]
+    assert visited(1) == [[1, 2]] * 2
+    router.mass = 0.1
+    assert visited(2) == [[1]] * 2 and visited(3) == [[1, 2]] * 2 and visited(12) == [[1, 2, 0]] * 2 and visited(99) == [[1, 2, 0]] * 2
+
+
+def test_huge_and_close_vectors_keep_exact_order(spark):
+    rows = [(i * 100, [1e8 + i * 1e-3, 1.0]) for i in range(40)] + [(5000 + i, [1e200, float(i)]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with np.errstate(over="ignore"):
+        assert compare(neighbours.search(df).collect(), brute(rows, 100, 10)) == 1.0
+
+
 def test_copies_ties_and_bad_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [(100, [1.0, 2.5]), (101, [1.0, nan]), (102, [inf, 1.0]), (103, None), (104, [0.0, 0.0]), (105, [None, 1.0]), (200, [-1.0, 2.0]), (200, [-1.0, 2.0])]
