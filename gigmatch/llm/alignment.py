@@ -41,6 +41,8 @@ SPACE = "▁"
 #: A single space between two characters that no tokenizer could take for one: neither vocabulary's tokens cross it.
 _INNER = "[^\\s" + "".join(map(chr, (0x180E, 0x200B, 0xFEFF, 0x2581))) + "]"
 _CUT = re.compile(f"(?<={_INNER}) (?={_INNER})")
+#: Stretches that begin and end with such characters; next to a space that joins them, others could share tokens.
+_JOINS = re.compile(f"{_INNER}(?:.*{_INNER})?", re.DOTALL)
 
 
 def public_path(name: str) -> str:
@@ -85,7 +87,7 @@ class Coder:
 
     def _forget(self) -> None:
         self.numbers, self.sizes = Numbers(), [0, 0]
-        self.good = [np.zeros(0, bool)]
+        self.good, self.places = [np.zeros(0, bool)], [np.zeros(0, np.int64)]
         self.ids = [[np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
         self.ends = [[np.zeros(1, np.int64)], [np.zeros(1, np.int64)]]
 
@@ -95,16 +97,22 @@ class Coder:
         return [e.ids for e in self.first.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
 
     def _learn(self) -> None:
-        """Encodes new stretches, many as one text whose tokens can't cross them; one by one where that isn't lossless."""
+        """Encodes new stretches, many as one text whose tokens can't cross them; one by one where they could, or where that isn't lossless."""
         new = self.numbers.new
-        for start in range(0, len(new), TOGETHER):
-            part = new[start : start + TOGETHER]
+        joins = np.array([_JOINS.fullmatch(s) is not None for s in new], bool)
+        order, n = np.argsort(~joins, kind="stable"), int(joins.sum())  # they are kept in this order, those that join first
+        places = np.empty(len(new), np.int64)
+        places[order] = np.arange(len(new)) + sum(map(len, self.good))
+        self.places.append(places)
+        bounds = [*range(0, n, TOGETHER), *range(n, len(new), TOGETHER), len(new)]
+        for start, end in zip(bounds, bounds[1:]):
+            part = [new[i] for i in order[start:end].tolist()]
             spaced = [(" " + s).encode("utf-8", "replace") for s in part]
             stops, whole = np.cumsum(list(map(len, spaced))), b"".join(spaced)
             good = np.ones(len(part), bool)
             for side, (names, sizes) in enumerate(((self.bytes_a, self.size_a), (self.bytes_b, self.size_b))):
-                got = self._encoded(side, [" ".join(part)])[0]
-                if b"".join(map(names.__getitem__, got)) == whole:
+                got = self._encoded(side, [" ".join(part)])[0] if start < n else []
+                if got and b"".join(map(names.__getitem__, got)) == whole:
                     flat = np.array(got, np.int32)
                     ends = np.searchsorted(np.cumsum(sizes[flat]), stops) + 1
                 else:
@@ -116,7 +124,7 @@ class Coder:
                 self.sizes[side] += len(flat)
             self.good.append(good)
         new.clear()
-        self.good = [np.concatenate(self.good)]
+        self.good, self.places = [np.concatenate(self.good)], [np.concatenate(self.places)]
         self.ids, self.ends = ([[np.concatenate(x)] for x in both] for both in (self.ids, self.ends))
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
@@ -126,7 +134,7 @@ class Coder:
         look = self.numbers.__getitem__
         cut = [np.array(list(map(look, _CUT.split(t))) if t else [], np.int64) for t in texts]
         self._learn()
-        good = self.good[0]
+        good, cut = self.good[0], [self.places[0][c] for c in cut]
         cut = [c if good[c].all() else c[:0] for c in cut]
         at = np.concatenate(cut) if cut else np.zeros(0, np.int64)
         rows = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])

@@ -94,6 +94,17 @@ def test_remembered_ids_start_anew(tokenizers, monkeypatch):
         assert b.to_pylist()[0] == tokenizers[1].encode(text)
 
 
+def test_white_space_at_the_ends_of_neighbouring_texts(spark, tokenizers):
+    ends = ["", " ", "  ", "\n", " \n", "\t ", "\u00a0 ", "\x1c"]
+    texts = [f"{before}word{i}{after}" for i, (before, after) in enumerate((b, a) for b in ends for a in ends)]
+    coder = alignment.Coder(alignment.public_path("byte_bpe_50k.json"), alignment.public_path("piece_bpe_32k.model"))
+    a, b = coder.encode(texts)  # learnt together
+    assert a.to_pylist() == [tokenizers[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert b.to_pylist() == [tokenizers[1].encode(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r for _, r in sorted(rows_of(alignment.align_tokenizers(df)))] == brute(texts, *tokenizers)
+
+
 def test_odd_rows(spark, odd, none, tokenizers):
     got = rows_of(alignment.align_tokenizers(odd))
     rows = odd.collect()
