@@ -8,8 +8,10 @@ ranks among the pieces of a length go to which pattern; only then are the pieces
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,21 @@ CAPACITY = 4096
 END_OF_DOCUMENT = 1
 #: Distinct words whose ids a worker remembers at most; then it keeps the frequent ones.
 WORDS_KEPT = 300_000
+#: New words that are encoded as one text.
+TOGETHER = 256
 #: Steps of the least-squares fit, and second and third lengths tried in patterns of three and four.
 FIT_STEPS, SECOND, THIRD = 200, 32, 8
 #: Patterns leave at most this part of a sequence free; looser ones are left to the packing of residuals.
 LOOSE = 50
 
 
+def _with_room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``values``, of which the first ``used`` count, or a longer copy with zeros behind them if ``more`` don't fit."""
+    if used + more <= len(values):
+        return values
+    return np.concatenate([values[:used], np.zeros(more + (used + more) // 4, values.dtype)])
+
+
 class Encoder:
     """Token ids of whole texts.
 
@@ -39,44 +50,57 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads of its own would keep memory each
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.path = path
+        # For plain words alone, which need no normalisation and are cut already: its model is the vocabulary's own.
+        self.by_word = Tokenizer.from_file(path)
+        self.by_word.normalizer = None
+        self.by_word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.by_word.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith(END)]] = True
         self._forget()
 
+    @cached_property
+    def tokenizer(self):
+        """The tokeniser as it is, for texts that aren't plain."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self, keep: list[str] = ()) -> None:
         self.numbers = Numbers()
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.uses = np.zeros(0, np.int64)
+        # Of word i, flat[ends[i]:ends[i + 1]] are the ids; these arrays have room to grow beyond what is known.
+        self.ends, self.flat, self.uses = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for word in keep:
             self.numbers[word]
 
     def _learn(self) -> None:
         new, ids = self.numbers.new, []
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            got = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+        if not new:
+            return
+        for i in range(0, len(new), TOGETHER):
+            part = new[i : i + TOGETHER]
+            got = np.array(self.by_word.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             if np.count_nonzero(self.last[got]) != len(part):
                 raise ValueError("the vocabulary doesn't mark word ends")
             ids.append(got)
-        if not ids:
-            return
         flat = np.concatenate(ids)
-        ends = np.flatnonzero(self.last[flat]) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
-        self.lengths = np.concatenate([self.lengths, ends - starts])
-        self.flat = np.concatenate([self.flat, flat])
-        self.uses = np.concatenate([self.uses, np.zeros(len(ends), np.int64)])
+        known = len(self.numbers) - len(new)
+        used = int(self.ends[known])
+        self.flat = _with_room(self.flat, used, len(flat))
+        self.flat[used : used + len(flat)] = flat
+        self.ends, self.uses = _with_room(self.ends, known + 1, len(new)), _with_room(self.uses, known, len(new))
+        self.ends[known + 1 : len(self.numbers) + 1] = used + np.flatnonzero(self.last[flat]) + 1
         new.clear()
 
     def _trim(self) -> None:
         if len(self.numbers) > WORDS_KEPT:
             names = list(self.numbers)
-            often = np.flatnonzero(self.uses >= max(3, np.sort(self.uses)[-WORDS_KEPT // 2]))
+            uses = self.uses[: len(names)]
+            often = np.flatnonzero(uses >= max(3, np.sort(uses)[-WORDS_KEPT // 2]))
             self._forget([names[i] for i in often])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -90,11 +114,12 @@ class Encoder:
             if at is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            n = self.lengths[at]
+            first = self.ends[at]
+            n = self.ends[at + 1] - first
             np.add.at(self.uses, at, 1)
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)])
+            out.append(self.flat[np.repeat(first - (ends - n), n) + np.arange(total)])
         return out
 
 

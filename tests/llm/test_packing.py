@@ -88,3 +88,22 @@ def test_equal_lengths_over_many_partitions(spark):
     pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(30).cast("long").alias("length"))
     rows = packing.pack(pieces, 100).collect()
     assert check(rows, 100) == math.ceil(5000 / 3)
+
+
+def test_new_plain_words_cost_less_than_the_whole_tokenizer():
+    import time
+
+    coder = packing.Encoder(packing.default_vocabulary())
+    letters = "etaoinshrdlucmfwypvbgkqjxz\u00e9\u00fc"
+    found = list(dict.fromkeys("".join(letters[(i * 7 + k * (i % 89 + 1)) % 28] for k in range(4 + i % 9)) + letters[i // 28 % 28] + letters[i // 784 % 28] for i in range(20_000)))
+    text, times = " ".join(found), {"words": [], "whole": []}
+    for _ in range(3):
+        coder._forget()
+        start = time.process_time()
+        got = coder.encode([text])[0].tolist()
+        times["words"].append(time.process_time() - start)
+        start = time.process_time()
+        whole = [i for k in range(0, len(found), 4096) for i in coder.tokenizer.encode(" ".join(found[k : k + 4096]), add_special_tokens=False).ids]
+        times["whole"].append(time.process_time() - start)
+        assert got == whole
+    assert min(times["words"]) < 0.85 * min(times["whole"]), times
