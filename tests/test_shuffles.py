@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gigmatch.operators import history
-from gigmatch.plans import catalogue
+from gigmatch.operators import history, shows
+from gigmatch.plans import catalogue, catalogue_stored
 
 PLAY = "user_id long, key string, raw_name string, scrobbled_at timestamp"
 
@@ -45,3 +45,23 @@ def test_taste_by_listener_is_taste_of_affinity(spark, listened, most):
 def test_taste_is_not_shuffled_by_tag(spark, sf):
     got = dealt_by(catalogue.QUERIES["taste_vector_by_user"](spark, sf))
     assert ["user_id"] in got and not [x for x in got if "tag" in x or "key" in x]
+
+
+@pytest.mark.parametrize("most, rows", [(100_000, 2_000_000), (100_000, 60), (20, 60)])
+def test_best_score_by_group_with_ties_and_a_null_group(spark, most, rows):
+    who = [(e, a, f"k{a % 7}") for e in range(30) for a in range(e % 4, 40, 9)] + [(90, 3, "nobody's"), (91, 4, None)]
+    total = lambda g, k: (g or 0) * k % 5 / 4  # noqa: E731  ties in every group
+    scores = [(g, f"k{k}", total(g, k), k * 1.0, "v") for g in (1, 2, 3, None) for k in range(7) if g != 3 or k < 2]
+    frames = [spark.createDataFrame(who, "event_id long, artist_id long, key string"), spark.createDataFrame(scores, "nation int, key string, score_total double, taste_score double, scoring_version string")]
+    got = {(r.nation, r.event_id): (r.artist_id, r.score_total, r.taste_score, r.scoring_version) for r in shows.best_score_by_group(*frames, ["nation"], most, rows).collect()}
+    want = {}
+    for e, a, k in who:
+        for g, key, score, taste, version in scores:
+            if key == k:
+                want[g, e] = max(want.get((g, e), (-1, 0)), (score, -a, taste, version))
+    assert got == {x: (-a, score, taste, version) for x, (score, a, taste, version) in want.items()}
+
+
+def test_shows_are_not_shuffled_once_per_group(spark, sf):
+    got = dealt_by(catalogue_stored.QUERIES["score_shows_by_group"](spark, sf))
+    assert not [x for x in got if "nation" in x]
