@@ -1,5 +1,6 @@
 """What jobs over large histories send through shuffles: plays, not the rows that they are joined to."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from gigmatch.operators import history, shows
 from gigmatch.plans import catalogue, catalogue_stored
+from gigmatch.sources import shared
+from gigmatch.streaming import streams
 
 PLAY = "user_id long, key string, raw_name string, scrobbled_at timestamp"
 
@@ -65,3 +68,37 @@ def test_best_score_by_group_with_ties_and_a_null_group(spark, most, rows):
 def test_shows_are_not_shuffled_once_per_group(spark, sf):
     got = dealt_by(catalogue_stored.QUERIES["score_shows_by_group"](spark, sf))
     assert not [x for x in got if "nation" in x]
+
+
+def test_affinity_batches_keep_no_state_and_count_once_when_they_run_again(spark, tmp_path):
+    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, epoch, ref = "key string, scrobbled_at timestamp", F.lit("2020-01-01").cast("timestamp"), F.lit("2026-06-01").cast("timestamp")
+
+    def arrive(*keys):
+        spark.createDataFrame([(k, dt.datetime(2026, 1, 1 + i)) for i, k in enumerate(keys)], schema).write.mode("append").parquet(path)
+
+    def drained():
+        streams.sink_affinity(spark.readStream.schema(schema).parquet(path), epoch, out, state, 30.0)
+        return {r.key: (r.weight, r.play_count) for r in streams.read_affinity(spark, out, epoch, ref, 30.0).collect()}
+
+    arrive("a", "a", "b")
+    first = drained()
+    assert {k: n for k, (_, n) in first.items()} == {"a": 2, "b": 1}
+    arrive("a", "c")
+    second = drained()
+    assert {k: n for k, (_, n) in second.items()} == {"a": 3, "b": 1, "c": 1} and not (tmp_path / "state/state").exists()
+    assert {(r.batch, r.key): r.play_count for r in spark.read.parquet(out).collect()} == {(0, "a"): 2, (0, "b"): 1, (1, "a"): 1, (1, "c"): 1}
+    for name in ("1", ".1.crc"):  # as if it broke off after writing
+        (tmp_path / "state/commits" / name).unlink()
+    assert drained() == second
+    whole = history.decayed_affinity(spark.read.schema(schema).parquet(path).withColumn("raw_name", F.col("key")), ref, 30.0)
+    assert second == {r.key: (pytest.approx(r.weight, abs=1e-6), r.play_count) for r in whole.collect()}
+
+
+def test_written_tables_leave_no_shuffle_files_only_inside_freed(spark):
+    name = shared._CLEANUP
+    before = spark.conf.get(name, None)
+    with pytest.raises(ValueError), shared.freed(spark):
+        assert spark.conf.get(name) == "true"
+        raise ValueError
+    assert spark.conf.get(name, None) == before
